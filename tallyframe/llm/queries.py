@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, mixing, simhash, token_counts, token_output
+from . import decontam, media, mixing, simhash, token_counts, token_output
 
 QUERIES = {
     "op1_bit_planes": token_output.op1_bit_planes,
     "op2_mixing": mixing.op2_mixing,
+    "op3_decontamination": decontam.op3_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash": simhash.op7_simhash,
     "op10_media": media.op10_media,
