@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, media, mixing, simhash, token_counts, token_output
+from . import decontam, media, mixing, simhash, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_bit_planes": token_output.op1_bit_planes,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash": simhash.op7_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_media": media.op10_media,
 }
 ORACLES = {"op2_mixing": mixing.ORACLE}
