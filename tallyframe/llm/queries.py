@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, media, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
+from . import decontam, html_extract, media, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_bit_planes": token_output.op1_bit_planes,
     "op2_mixing": mixing.op2_mixing,
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_html_extract": html_extract.op4_html_extract,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash": simhash.op7_simhash,
