@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_extract, media, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
+from . import decontam, html_extract, line_dedup, media, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_bit_planes": token_output.op1_bit_planes,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash": simhash.op7_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_media": media.op10_media,
 }
-ORACLES = {"op2_mixing": mixing.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
