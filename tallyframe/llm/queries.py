@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontam, html_extract, line_dedup, media, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
@@ -15,5 +17,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_media": media.op10_media,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op2_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
