@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _c(v: Vec) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def at(v: Vec, index: Vec) -> Column:
+    """The element at a 0-based index."""
+    return F.element_at(_c(v), (_c(index) + 1).cast("int"))
+
+
 def vsum(v: Vec) -> Column:
     return F.aggregate(_c(v), F.lit(0.0), lambda s, x: s + x)
 
@@ -69,7 +76,7 @@ def topk_mask(v: Vec, k: int) -> Column:
 
 def rank_of(v: Vec, index: Vec) -> Column:
     """1-based rank of an element in ``ranked`` order, by counting what is above it."""
-    own = F.element_at(_c(v), _c(index) + 1)
+    own = at(v, index)
     above = F.filter(_c(v), lambda x, i: (x > own) | ((x == own) & (i > _c(index))))
     return F.size(above) + 1
 
@@ -90,16 +97,20 @@ def vec_map(v: Vec, op: str, **p) -> Column:
     }
     if op == "prelu":
         slopes, per = p["slopes"], p.get("per_channel", 1)
-        at = lambda i: F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), ((i / per).cast("int") % len(slopes)) + 1)
-        return F.transform(_c(v), lambda x, i: F.greatest(x, F.lit(0.0)) + at(i) * F.least(x, F.lit(0.0)))
+        table = F.array(*[F.lit(float(s)) for s in slopes])
+        return F.transform(_c(v), lambda x, i: F.greatest(x, F.lit(0.0)) + at(table, (i / per).cast("int") % len(slopes)) * F.least(x, F.lit(0.0)))
     return F.transform(_c(v), maps[op])
 
 
+def _times(v: Column, w: float) -> Column:
+    return F.transform(v, lambda x: x * F.lit(float(w)))
+
+
 def eltwise(vs: list[Vec], op: str = "sum", coeffs: list[float] | None = None) -> Column:
     """Product, coefficient sum or maximum of several vectors; coefficients count for sums only."""
     cols = [_c(v) for v in vs]
     if op == "sum":
-        scaled = [F.transform(c, lambda x, w=w: x * F.lit(float(w))) for c, w in zip(cols, coeffs or [1.0] * len(cols), strict=True)]
+        scaled = [_times(c, w) for c, w in zip(cols, coeffs or [1.0] * len(cols), strict=True)]
     else:
         scaled = cols
     join = {"prod": lambda x, y: x * y, "sum": lambda x, y: x + y, "max": lambda x, y: F.when(x > y, x).otherwise(y)}[op]
@@ -130,8 +141,8 @@ def mvn(v: Vec, channels: int = 1, variance: bool = True, eps: float = 1e-9) ->
 def preprocess(v: Vec, means: list[float] | Column, scale: float = 1.0, per_channel: int | None = None) -> Column:
     """scale * (x - mean); one mean an element, or one for each ``per_channel`` elements."""
     table = means if isinstance(means, Column) else F.array(*[F.lit(float(m)) for m in means])
-    at = lambda i: (i / per_channel).cast("int") if per_channel else i
-    return F.transform(_c(v), lambda x, i: F.lit(float(scale)) * (x - F.element_at(table, at(i) + 1)))
+    own = lambda i: (i / per_channel).cast("int") if per_channel else i
+    return F.transform(_c(v), lambda x, i: F.lit(float(scale)) * (x - at(table, own(i))))
 
 
 def scale_bias(v: Vec, scale: Vec | None = None, bias: Vec | None = None) -> Column:
@@ -161,9 +172,6 @@ def remove_at(v: Vec, index: Vec) -> Column:
 
 def binary_encode(v: Vec, bits: int) -> Column:
     """The first bits of the float32 payload, least significant bit of each byte first."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def encode(s: pd.Series) -> pd.Series:
         return s.map(lambda a: np.unpackbits(np.asarray(a, "<f4").view(np.uint8), bitorder="little")[:bits].tolist())
@@ -173,9 +181,6 @@ def binary_encode(v: Vec, bits: int) -> Column:
 
 def inner_product(v: Vec, weights: list[list[float]], bias: list[float] | None = None) -> Column:
     """W x + b of every row, a batch at a time."""
-    import numpy as np
-    import pandas as pd
-
     w, b = np.asarray(weights, float), np.asarray(bias if bias is not None else np.zeros(len(weights)), float)
 
     @F.pandas_udf("array<double>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,9 +20,6 @@ def iou(a: str, b: str) -> Column:
 def nms(dets: DataFrame, keys: list[str], overlap: float = 0.3, id_col: str = "det_id") -> DataFrame:
     """Rows kept by greedy suppression within each key: best score first (ties: smaller id), a box goes if its overlap with a
     kept one is above ``overlap``."""
-    import numpy as np
-    import pandas as pd
-
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", id_col], ascending=[False, True])
         x1, y1, x2, y2 = (pdf[c].to_numpy(float) for c in ("xmin", "ymin", "xmax", "ymax"))
@@ -98,9 +97,6 @@ def polygon_area(points: Column | str) -> Column:
 
 def polygon_iou(a: str, b: str) -> Column:
     """Intersection over union of two convex polygons, by clipping one with the edges of the other."""
-    import numpy as np
-    import pandas as pd
-
     def area(q) -> float:
         q = np.asarray(q, float)
         return 0.0 if len(q) < 3 else 0.5 * float((q[:, 0] * np.roll(q[:, 1], -1) - q[:, 1] * np.roll(q[:, 0], -1)).sum())

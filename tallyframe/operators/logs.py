@@ -75,7 +75,7 @@ def fix_first_lr(df: DataFrame, lr: str = "lr", order: str = "iteration") -> Dat
 def elapsed_seconds(df: DataFrame, ts: str = "ts", value: str = "value") -> DataFrame:
     """Adds seconds since the run's first line that says Solving."""
     start = F.min(F.when(F.col(value).contains("Solving"), F.col(ts))).over(Window.partitionBy("run"))
-    micros = lambda c: F.unix_micros(c)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
     return df.withColumn("seconds", (micros(F.col(ts)) - micros(start)) / 1e6)
 
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, softmax, sq_distance, vsum
+from ..functions.vectors import at, dot, softmax, sq_distance, vsum
 
 #: Smallest normal float32, and the floor of probabilities in the multinomial loss; fixed values.
 FLT_MIN, LOG_FLOOR = 1.1754943508222875e-38, 1e-20
 
 
 def softmax_loss_row(x: str, label: str, weights: list[float] | None = None) -> Column:
-    p = F.greatest(F.element_at(softmax(x), F.col(label) + 1), F.lit(FLT_MIN))
-    w = F.element_at(F.array(*[F.lit(float(v)) for v in weights]), F.col(label) + 1) if weights else F.lit(1.0)
+    p = F.greatest(at(softmax(x), label), F.lit(FLT_MIN))
+    w = at(F.array(*[F.lit(float(v)) for v in weights]), label) if weights else F.lit(1.0)
     return -w * F.log(p)
 
 
@@ -25,7 +25,7 @@ def softmax_log_loss(df: DataFrame, x: str = "x", label: str = "label", ignore:
 
 
 def log_loss(df: DataFrame, probs: str = "probs", label: str = "label") -> DataFrame:
-    return df.agg(F.avg(-F.log(F.greatest(F.element_at(probs, F.col(label) + 1), F.lit(LOG_FLOOR)))).alias("loss"))
+    return df.agg(F.avg(-F.log(F.greatest(at(probs, label), F.lit(LOG_FLOOR)))).alias("loss"))
 
 
 def infogain_loss(df: DataFrame, h: DataFrame, probs: str = "probs", label: str = "label") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import argmax, rank_of, sq_distance
+from ..functions.vectors import argmax, at, rank_of, sq_distance
 
 
 def _ratio(a: Column, b: Column, default: float | None = None) -> Column:
@@ -95,7 +95,7 @@ def combine_models(df: DataFrame, key: str = "id", probs: str = "probs", label:
 
 def transform_weights(df: DataFrame, hard: bool = False, probs: str = "probs", label: str = "label") -> DataFrame:
     """transform, weight: mean probability of the true label, or share of right votes."""
-    w = (argmax(probs) == F.col(label)).cast("double") if hard else F.element_at(probs, F.col(label) + 1)
+    w = (argmax(probs) == F.col(label)).cast("double") if hard else at(probs, label)
     return df.groupBy("transform").agg(F.avg(w).alias("weight"))
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vectors import at
+
 Model = Callable[[np.ndarray], np.ndarray | dict[str, np.ndarray]]
 
 
@@ -76,7 +78,7 @@ def predict_tiled(tiles: DataFrame, model: Model, key: str = "id", **options) ->
 def label_patches(patches: DataFrame, model: Model, n: int, key: str = "patch", label: str = "label", **options) -> DataFrame:
     """key, label, p (of the true label) of at most n patches, least keys first."""
     made = score(patches, model, vec="values", **options)
-    return made.select(key, label, F.element_at("probs", F.col(label) + 1).alias("p")).orderBy(key).limit(n)
+    return made.select(key, label, at("probs", label).alias("p")).orderBy(key).limit(n)
 
 
 class RowOp(Protocol):

@@ -74,7 +74,7 @@ def read_windows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def parse_sidecars(files: DataFrame, sep: str = ",") -> DataFrame:
     """path, fields (map) of ``files(path, value)``: a line of names, a line of values."""
     lines = F.split(F.trim(F.regexp_replace("value", "\r", "")), "\n")
-    names, values = F.transform(F.split(lines[0], sep), F.trim), F.transform(F.split(lines[1], sep), F.trim)
+    names, values = (F.transform(F.split(lines[i], sep), lambda x: F.trim(x)) for i in (0, 1))
     return files.where(F.size(lines) >= 2).select("path", F.map_from_entries(F.arrays_zip(names, F.slice(F.concat(values, F.array_repeat(F.lit(""), F.size(names))), F.lit(1), F.size(names)))).alias("fields"))
 
 
