@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,15 +55,12 @@ def pairwise_distances(df: DataFrame, key: str = "id", vec: str = "vec", block:
     This is an all-pairs table by its own meaning: its size is the square of the input's, so it is for tables of
     models or categories.  With ``nearest`` only that many partners a row leave a block pair, before one merge.
     """
-    import numpy as np
-    import pandas as pd
-
     numbered = df.select(key, F.col(vec).alias("vec"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("h"))
     n = max(1, -(-df.count() // block))
     blocks = numbered.withColumn("g", (F.col("h") % n).cast("int"))
     left = blocks.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("g"), o).alias("i"), F.greatest(F.col("g"), o).alias("j")))))
 
-    def run(pair, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pair: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pair
         a, b = pdf[pdf["g"] == i], pdf[pdf["g"] == j]
         if not len(a) or not len(b):

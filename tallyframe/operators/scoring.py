@@ -142,7 +142,8 @@ def resize_center_crop(df: DataFrame, side: int) -> DataFrame:
                 y, x = (nh - side) // 2, (nw - side) // 2
                 keys.append(k)
                 out.append(big[y : y + side, x : x + side].ravel().tolist())
-            yield pd.DataFrame({"key": keys, "pixels": out})
+            if keys:
+                yield pd.DataFrame({"key": keys, "pixels": out})
 
     schema = T.StructType([df.schema["key"], T.StructField("pixels", T.ArrayType(T.DoubleType()))])
     return df.select("key", "height", "width", "pixels").mapInPandas(run, schema)
