@@ -58,3 +58,14 @@ def with_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     base = spark.createDataFrame(offsets, T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_base", T.LongType())]))
     ranked = numbered.join(F.broadcast(base), "_part")
     return ranked.withColumn(name, F.col("_base") + F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_part", "_mid", "_base")
+
+
+def hash_sample(rows: DataFrame, by: list[str], n: int, total: int | None = None) -> DataFrame:
+    """The n rows of least hash of ``by`` (or fewer), found from about 1.5 n of them however many there are.
+
+    ``total`` saves a count if it is known.  Rows of one hash are taken in any order.
+    """
+    total = rows.count() if total is None else total
+    part = F.pmod(F.xxhash64(*by), F.lit(1 << 30))
+    near = rows if total <= 2 * n else rows.where(part < int(1.5 * n / total * (1 << 30)) + 1)
+    return near.orderBy(part, *by).limit(n)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, hash_sample, table
 
 FOLDS = 5
 #: Training sample: documents of each class, and characters of the longest; scoring has no such bounds.
@@ -218,12 +218,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     Labels of one doc_id count as toxic if any is; null labels and ids are left out.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, longest)).join(known, "doc_id")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts, toxic = [], []
     for y in (0, 1):
-        part = rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text")
-        got = [r["text"] for r in part.toLocalIterator()]
+        # at most 3 * sample ids; some have no text, or one too long
+        chosen = hash_sample(known.where(F.col("toxic") == y), ["doc_id"], 3 * sample, counts.get(y, 0)).select("doc_id")
+        rows = docs.select("doc_id", "text").where(F.length("text").between(1, longest)).join(F.broadcast(chosen), "doc_id")
+        got = [r["text"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text").toLocalIterator()]
         texts += got
         toxic += [y] * len(got)
     if len(set(toxic)) < 2:
