@@ -2,8 +2,8 @@
 
 A line is its set of lower-cased words.  Lines of one set are a class.  Words are ordered from rare to common;
 two sets with Jaccard of at least ``SIMILARITY`` share one of the first ``n - ceil(t n) + 1`` of them.  Classes
-are joined on these words, thinned by their sizes and by how many words can still agree after the shared
-position, and the survivors' sets are fetched and compared.
+are joined on these words, thinned by their sizes, by how many words can still agree after the shared
+position and by a 128-bit parity of the sets, and the survivors' sets are fetched and compared.
 
 Rarity is counted over all lines in 65,536 bins of the words' hashes, which is a byte a bin for every task, of
 one size however large the corpus.  The order need only be the same everywhere to be exact; the bins make it
@@ -17,36 +17,41 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import WORD, stage, table
 
 SIMILARITY, BINS = 0.8, 1 << 16
-_WHITE = r"[\x20\x09-\x0D]+"
+
+
+def words(text: Column) -> Column:
+    """Lower-cased words cut at single white characters; empty ones are among them."""
+    return F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     "), " ")
 
 
 def tokens(line: Column) -> Column:
     """Distinct hashes of the words of a line."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(line), _WHITE), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def rarity(lines: DataFrame) -> Column:
-    """A byte for each bin as one binary literal: the eighth-octave of the count of its words."""
-    seen = lines.select(F.explode(tokens(F.col("line"))).alias("t")).groupBy(F.pmod("t", F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n"))
+def rarity(docs: DataFrame) -> Column:
+    """A byte for each bin as one binary literal: quarter-octaves of the count of its words in all texts."""
+    seen = docs.select(F.explode(words(F.col("text"))).alias("w")).where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n"))
     levels = bytearray(BINS)
     for r in seen.collect():  # at most BINS rows
-        levels[r["bin"]] = min(255, 1 + int(8 * log2(r["n"]) / 2))
+        levels[r["bin"]] = min(255, 1 + int(4 * log2(r["n"])))
     return F.lit(bytes(levels))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows
-
-
-def _keyed(lines: DataFrame, order: Column) -> DataFrame:
-    """Adds ranked (the words as structs, rare first), n and key (of the set); lines without words go."""
+def keyed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, h, line_no, key (of the set), n (its size), low, high (parity of its words' hashes in 128 places) and prefix (the
+    hashes of its rarest words, as many as a similar set must meet one of) of all lines that have words."""
+    order = rarity(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
     level = lambda t: F.substring(order, F.pmod(t, F.lit(BINS)).cast("int") + 1, F.lit(1))
-    ranked = F.sort_array(F.transform(tokens(F.col("line")), lambda t: F.struct(level(t).alias("level"), t.alias("t"))))
-    return lines.withColumn("ranked", ranked).withColumn("n", F.size("ranked")).where("n > 0").withColumn("key", F.xxhash64("ranked"))
+    ranked = rows.select("doc_id", "h", "line_no", F.sort_array(F.transform(tokens(F.col("line")), lambda t: F.struct(level(t).alias("level"), t.alias("t")))).alias("ranked"))
+    n = F.size("ranked")
+    prefix = F.transform(F.slice("ranked", F.lit(1), n - _least(similarity, n) + 1), lambda s: s["t"])
+    bits = lambda half: F.expr(f"aggregate(ranked, 0L, (b, s) -> b ^ if((s.t & 64) = {half}, shiftleft(1L, cast(s.t & 63 as int)), 0L))")
+    return ranked.select("doc_id", "h", "line_no", F.xxhash64("ranked").alias("key"), n.alias("n"), bits(0).alias("low"), bits(64).alias("high"), prefix.alias("prefix"))
 
 
 def _least(similarity: float, n: Column) -> Column:
@@ -55,16 +60,19 @@ def _least(similarity: float, n: Column) -> Column:
 
 
 def candidates(keyed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of class keys, a < b, that pass the prefix, length and position filters."""
-    prefix = F.col("n") - _least(similarity, F.col("n")) + 1
-    posts = keyed.select("key", "n", F.posexplode(F.transform(F.slice("ranked", F.lit(1), prefix), lambda s: s["t"])).alias("pos", "t"))
+    """Pairs (a, b) of class keys, a < b, that pass the prefix, length, position and parity filters.
+
+    Two sets differ in at least as many words as their parities differ in bits, which bounds what they can share.
+    """
+    posts = keyed.select("key", "n", "low", "high", F.posexplode("prefix").alias("pos", "t"))
     posts = posts.repartition("t").dropDuplicates(["t", "key"])
     a, b = posts.alias("a"), posts.alias("b")
+    both = F.col("a.n") + F.col("b.n")
     small, large = F.least(F.col("a.n"), F.col("b.n")), F.greatest(F.col("a.n"), F.col("b.n"))
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
-    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    # before the first shared word, the earlier positions cannot agree with anything at the other's
-    ok = (F.col("a.key") < F.col("b.key")) & (small >= large * F.lit(similarity) - F.lit(1e-9)) & (left + F.least(F.col("a.pos"), F.col("b.pos")) >= need)
+    need = F.ceil(both * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) + F.least(F.col("a.pos"), F.col("b.pos"))
+    differ = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
+    ok = (F.col("a.key") < F.col("b.key")) & (both - differ >= 2 * need) & (small >= large * F.lit(similarity) - F.lit(1e-9)) & (left >= need)
     return a.join(b, (F.col("a.t") == F.col("b.t")) & ok).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
 
@@ -74,9 +82,8 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     ``first`` is the earliest place of a class, (no id, doc_id, line_no); links are all pairs of different classes with a
     Jaccard of at least ``similarity``.
     """
-    raw = _lines(docs)
-    keyed = _keyed(raw, rarity(raw))
-    lines = stage(keyed.select("doc_id", "h", "line_no", "key"), "lines")
+    keyed = stage(keyed_lines(docs, similarity), "lines")
+    lines = keyed.select("doc_id", "h", "line_no", "key")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "h")
     classes = stage(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n_lines")), "lineclasses")
     pairs = stage(candidates(keyed, similarity), "linepairs")
