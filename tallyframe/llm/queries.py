@@ -19,6 +19,6 @@ QUERIES = {
     "op10_media": media.op10_media,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

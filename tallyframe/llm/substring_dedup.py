@@ -216,3 +216,21 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     made = dedup_passages(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)
+), r AS (
+  SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), c AS (
+  SELECT DISTINCT doc_id, i + o AS p FROM w JOIN r USING (k), (SELECT unnest(range(0, 35)) AS o)
+), p AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d
+), k AS (
+  SELECT p.doc_id, count(c.p) AS n_removed, string_agg(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY p.p) AS kept FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.p GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
