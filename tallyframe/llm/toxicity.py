@@ -153,8 +153,7 @@ def fit(texts: list[str], toxic: list[int], prior: float) -> Model:
             ahead, back = forward(e, moves), backward(e, lengths, moves)
             odds = ahead * back
             error = np.where(inside, odds / (1 + odds) - gold, 0)
-            for k, i in enumerate(group):
-                by_word += np.bincount(docs[i], error[k, : lengths[k]], len(number))
+            by_word += np.bincount(np.concatenate([docs[i] for i in group]), error[inside], len(number))
             # expected moves less those of the labels
             x = np.exp(np.clip(e[:, 1:], -30, 30)) * back[:, 1:]
             r, pair = ahead[:, :-1], inside[:, 1:]
@@ -196,14 +195,17 @@ class Tagger:
         return float(self.model.weights[features(word.decode())].sum())
 
     def run(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().split() for t in texts]
-        if len(self.known) > KEPT:
-            self.known = {}
-        known = self.known
-        for w in {w for ws in words for w in ws}.difference(known):
-            known[w] = self._emission(w)
-        get = known.__getitem__
-        return marginals([np.fromiter(map(get, ws), np.float64, len(ws)) for ws in words], self.model.moves)
+        emissions = []
+        for at in range(0, len(texts), 500):
+            words = [t.encode().split() for t in texts[at : at + 500]]
+            if len(self.known) > KEPT:
+                self.known = {}
+            known = self.known
+            for w in {w for ws in words for w in ws}.difference(known):
+                known[w] = self._emission(w)
+            get = known.__getitem__
+            emissions += [np.fromiter(map(get, ws), np.float64, len(ws)) for ws in words]
+        return marginals(emissions, self.model.moves)  # all together, so that long documents share their steps
 
 
 def held_out(doc_id: Column) -> Column:
@@ -248,8 +250,8 @@ def tag(docs: DataFrame, model: Model | None) -> DataFrame:
         model = shared.value
         tagger = Tagger(model) if model else None
         for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
+            for at in range(0, len(pdf), 10_000):
+                part = pdf.iloc[at : at + 10_000]
                 texts = [t or "" for t in part["text"]]
                 probs = tagger.run(texts) if tagger else [np.zeros(len(t.split())) for t in texts]
                 expected = np.array([p.sum() for p in probs])
@@ -288,7 +290,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
             if tagger is None:
                 yield pd.Series(np.zeros(len(s)))
                 continue
-            expected = np.concatenate([np.array([p.sum() for p in tagger.run([t or "" for t in s[at : at + 1000]])]) for at in range(0, len(s), 1000)] or [np.empty(0)])
+            expected = np.array([p.sum() for p in tagger.run([t or "" for t in s])])
             a, b = tagger.model.line
             yield pd.Series(1 / (1 + np.exp(-np.clip(a + b * np.log(expected + 1e-3), -700, 700))))
 
