@@ -35,7 +35,7 @@ def r6(c: Column | str) -> Column:
 
 
 def sql6(x: str) -> str:
-    return f"(round({x}, 6) + 0.0)"
+    return f"(round(CAST({x} AS DOUBLE), 6) + 0.0)"
 
 
 def rounded(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
