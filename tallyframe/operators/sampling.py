@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stages import stage
+
+#: Sources that ``mix_sources`` takes at most: their table of cumulative weights is sent to every task.
+MOST_SOURCES = 100_000
 #: A draw is a linear congruential step of the key, which any SQL engine can repeat; fixed values.
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
 
@@ -22,11 +26,11 @@ def draw(key: Column | str, seed: int, below: Column | int | None = None) -> Col
 
 
 def with_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
-    """0-based position in a global order, without a single-task window: range parts are counted, and the counts of the
-    parts before (a row a part) are added."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    """0-based position in a global order, without a single-task window: range parts are numbered and written once, and the
+    counts of the parts before (a row a part) are added.  Bounds are sampled, so the parts may not be computed twice."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = stage(parts.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")), "index")
+    counts = local.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
 
@@ -89,10 +93,13 @@ def assign_batches(df: DataFrame, batch_size: int, order: str, source: str) -> D
 def mix_sources(df: DataFrame, weights: DataFrame | None, n_batches: int, batch_size: int, order: str, source: str = "source", seed: int = 0) -> DataFrame:
     """mix_batch, slot and the row: each drawn batch is of one source, by weight (or by size), and sources wrap around.
 
-    The weights are a row a source, in the sources' order; so is the running sum over them.
+    The weights are a row a source, in the sources' order; so is the running sum over them.  More than ``MOST_SOURCES``
+    sources raise ValueError.
     """
     rows = assign_batches(df, batch_size, order, source)
     sizes = rows.groupBy(source).agg(F.count("*").alias("size"))
+    if (n := sizes.count()) > MOST_SOURCES:
+        raise ValueError(f"{n} sources; group them first")
     w = sizes.withColumn("weight", F.col("size").cast("double")) if weights is None else sizes.join(weights, source)
     total = w.agg(F.sum("weight").alias("total"))
     run = F.sum("weight").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, 0))
