@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words are maximal runs of characters outside these: space and the controls 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see: ``spark.checkpoint.dir`` if the cluster names one.
-
-    Where it is unset, a local session (one machine, as in tests) gets a fresh temporary
-    folder and a cluster gets a folder in its warehouse, which is shared as well.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            base = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..sources.stages import shared_dir, stage
 
+__all__ = ["WORD", "hash_sample", "shared_dir", "stage", "table", "with_rank"]
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it read back (cuts the lineage)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words are maximal runs of characters outside these: space and the controls 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

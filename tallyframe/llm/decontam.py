@@ -87,7 +87,7 @@ def _match(doc: np.ndarray, items: list[tuple[int | None, np.ndarray]], min_matc
 _MATCH = "item_id long, n_item_words long, n_covered long, n_tiles long, tiles array<array<long>>"
 
 
-def _scan_small(items: list[tuple[int | None, bytes, list[int]]], min_match: int, shared):
+def _scan_small(min_match: int, shared):
     """Tile every document against the items that it shares a seed with; the items travel in the broadcast."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +149,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"matches array<struct<{_MATCH.replace('array<array<long>>', 'array<array<bigint>>').replace(' long', ':bigint').replace('tiles array', 'tiles:array')}>>"])
     if broadcast:
         packed = [(r["item_id"], bytes(r["words"]), list(r["seeds"])) for r in items.toLocalIterator()]
-        return docs.mapInPandas(_scan_small(packed, min_match, spark.sparkContext.broadcast(packed)), out)
+        return docs.mapInPandas(_scan_small(min_match, spark.sparkContext.broadcast(packed)), out)
     return _shuffled(docs, items, min_match, out)
 
 
