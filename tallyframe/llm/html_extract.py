@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash_sample, table
 from .html_blocks import DIM, Block, blocks, vectors
 
-#: Pages whose texts the training pages are made of, training pages, and the rest of the training.
+#: Pages whose texts the training pages are made of (so many characters of each at most), training pages, and the rest of the training.
+TRAIN_CHARS = 20_000
 SAMPLE, PAGES, HIDDEN, EPOCHS, BATCH, RATE, SEED = 200, 900, 24, 10, 30, 0.01, 7
 
 #: Names under which sites keep what is, and what is not, the article.
@@ -258,8 +259,9 @@ def training_set(texts: list[str], pages: int = PAGES, seed: int = SEED) -> tupl
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """Labeller trained on ``PAGES`` laid-out pages, with texts of ``sample`` of the given ones (least hashed html first)."""
-    rows = pages.where("html is not null").select(F.substring("html", 1, 20_000).alias("html"), F.xxhash64("html").alias("h")).orderBy("h", "html").limit(sample)
+    """Labeller trained on ``PAGES`` laid-out pages, with texts from the first
+    ``TRAIN_CHARS`` characters of ``sample`` of the given ones (least hash first)."""
+    rows = hash_sample(pages.select("page_id", "html").where("html is not null"), ["page_id", "html"], sample).select(F.substring("html", 1, TRAIN_CHARS).alias("html"))
     texts = [b.text for r in rows.collect() for b in blocks(r["html"])] or ["some plain words of text"]
     return Labeller().fit(*training_set(texts))
 
