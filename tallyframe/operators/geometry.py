@@ -20,20 +20,26 @@ def iou(a: str, b: str) -> Column:
 def nms(dets: DataFrame, keys: list[str], overlap: float = 0.3, id_col: str = "det_id") -> DataFrame:
     """Rows kept by greedy suppression within each key: best score first (ties: smaller id), a box goes if its overlap with a
     kept one is above ``overlap``."""
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", id_col], ascending=[False, True])
-        x1, y1, x2, y2 = (pdf[c].to_numpy(float) for c in ("xmin", "ymin", "xmax", "ymax"))
-        area, alive, kept = (x2 - x1) * (y2 - y1), np.ones(len(pdf), bool), []
-        for i in range(len(pdf)):
+    def kept(x1, y1, x2, y2) -> list[int]:
+        area, alive, out = (x2 - x1) * (y2 - y1), np.ones(len(x1), bool), []
+        for i in range(len(x1)):
             if not alive[i]:
                 continue
-            kept.append(i)
+            out.append(i)
             inter = np.maximum(np.minimum(x2[i], x2) - np.maximum(x1[i], x1), 0) * np.maximum(np.minimum(y2[i], y2) - np.maximum(y1[i], y1), 0)
             with np.errstate(invalid="ignore", divide="ignore"):
                 alive &= ~(inter / (area[i] + area - inter) > overlap)
-        return pdf.iloc[kept]
+        return out
 
-    return dets.groupBy(*keys).applyInPandas(keep, dets.schema)
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", id_col], ascending=[False, True], ignore_index=True)
+        boxes = pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float)
+        rows = [at[kept(*boxes[at].T)] for at in pdf.groupby(keys, dropna=False).indices.values()]
+        return pdf.iloc[np.sort(np.concatenate(rows))].drop(columns="_bucket")
+
+    # many small groups a call; a group is whole in its bucket
+    spread = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 16
+    return dets.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(spread))).groupBy("_bucket").applyInPandas(keep, dets.schema)
 
 
 def best_windows(dets: DataFrame, cls: str = "cls", score: str = "score") -> DataFrame:
