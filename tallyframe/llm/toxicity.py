@@ -25,7 +25,7 @@ FOLDS = 5
 #: Training sample: documents of each class, and characters of the longest; scoring has no such bounds.
 SAMPLE, LONGEST = 2000, 20_000
 DIM, EPOCHS, RATE, SHRINK = 1 << 18, 40, 0.3, 1e-3
-KEPT = 1_000_000
+KEPT = 500_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -250,8 +250,8 @@ def tag(docs: DataFrame, model: Model | None) -> DataFrame:
         model = shared.value
         tagger = Tagger(model) if model else None
         for pdf in batches:
-            for at in range(0, len(pdf), 10_000):
-                part = pdf.iloc[at : at + 10_000]
+            for at in range(0, len(pdf), 2500):
+                part = pdf.iloc[at : at + 2500]
                 texts = [t or "" for t in part["text"]]
                 probs = tagger.run(texts) if tagger else [np.zeros(len(t.split())) for t in texts]
                 expected = np.array([p.sum() for p in probs])
@@ -290,7 +290,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
             if tagger is None:
                 yield pd.Series(np.zeros(len(s)))
                 continue
-            expected = np.array([p.sum() for p in tagger.run([t or "" for t in s])])
+            expected = np.array([p.sum() for at in range(0, len(s), 2500) for p in tagger.run([t or "" for t in s[at : at + 2500]])])
             a, b = tagger.model.line
             yield pd.Series(1 / (1 + np.exp(-np.clip(a + b * np.log(expected + 1e-3), -700, 700))))
 
