@@ -13,7 +13,7 @@ from .common import WORD, stage, with_rank
 
 #: Sources weigh 5, 2, 1, repeating, by code point.
 WEIGHT_CYCLE = (5, 2, 1)
-SHARE, MAX_EPOCHS, SEED, BINS = 1.5, 2, 17, 1 << 16
+SHARE, MAX_EPOCHS, SEED, BINS, GROUP = 1.5, 2, 17, 1 << 16, 256
 
 
 def word_count(text: Column) -> Column:
@@ -53,6 +53,13 @@ def water_fill(weighted: DataFrame, share: float = SHARE, max_epochs: float = MA
     return weighted.withColumn("target", F.least(free, cap))
 
 
+def _level(parts: DataFrame, order: list[str], targets: DataFrame, start: Column) -> DataFrame:
+    """The part of each source in which its running size (from ``start``) passes its rest, with the size before it."""
+    run = F.sum("n").over(Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = parts.withColumn("_run", F.coalesce(run, F.lit(0))).join(targets, F.col("source").eqNullSafe(F.col("_source")))
+    return rows.withColumn("before", start + F.col("_run")).where("before <= rest and rest < before + n")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """Mix ``docs(doc_id, text, source, ...)`` to the water-filled targets.
 
@@ -87,10 +94,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE,
         weighted = sizes.join(given, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     filled = water_fill(weighted, share, max_epochs).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     filled = filled.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    # the fill level: the bin where the running size passes what is missing
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = bins.withColumn("before", before).alias("b").join(filled.alias("f"), F.col("b.source").eqNullSafe(F.col("f.source")))
-    at = at.where("before <= rest and rest < before + n").select(F.col("b.source").alias("_source"), F.col("bin").alias("_level"), "before")
+    # the fill level: the bin where the running size passes what is missing; first among groups of bins, then inside one
+    targets = filled.select(F.col("source").alias("_source"), "rest")
+    coarse = bins.groupBy("source", F.floor(F.col("bin") / GROUP).alias("group")).agg(F.sum("n").alias("n"))
+    above = _level(coarse, ["group"], targets, F.lit(0)).select("_source", F.col("group").alias("_group"), F.col("before").alias("_above"), "rest")
+    inside = bins.join(above, F.col("source").eqNullSafe(F.col("_source")) & (F.floor(F.col("bin") / GROUP) == F.col("_group")))
+    at = _level(inside.select("source", "bin", "n"), ["bin"], above.select("_source", "rest", "_above"), F.col("_above"))
+    at = at.select("_source", F.col("bin").alias("_level"), "before")
     plan = filled.join(at, F.col("source").eqNullSafe(F.col("_source")), "left").select(
         F.col("source").alias("_src"), "source_size", "target", "whole", "rest", F.coalesce("_level", F.lit(BINS)).alias("_level"), F.coalesce("before", F.lit(0)).alias("_before")
     )
