@@ -1,6 +1,6 @@
 """From raw documents to token files: five stages, each one operator, each written and read again.
 
-toxicity drops what the tagger rejects, near_duplicates keeps one document of each SimHash class,
+toxicity drops what the tagger rejects, near_duplicates keeps one document of each class of similar texts,
 decontamination drops documents that hold a benchmark item, mixing takes each source to its target (repeated
 documents are repeated rows), tokens writes the ids as planes and returns what is read back from them.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontam, mixing, simhash, token_output, toxicity
+from tallyframe.llm import decontam, mixing, shingle_join, token_output, toxicity
 from tallyframe.llm.common import stage, table
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of fingerprints within 3 bits: the one of smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each class of texts linked by a 5-word Jaccard of 0.8 or more: the one of smallest doc_id."""
+    return shingle_join.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

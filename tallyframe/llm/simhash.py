@@ -126,6 +126,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataF
     return prints.join(made, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of ``docs`` of smallest doc_id in each class of ``rooted(doc_id, row, root)``; row is the hash of all columns."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row"))).alias("first")
+    keep = rooted.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row")).distinct()
+    rows = docs.withColumn("_dup_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_dup_row") == F.col("_row")), "left_semi")
+    # rows alike in every column: one of them
+    repeated = rooted.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    alike = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_dup_row") == F.col("_row")), "left_semi")
+    single = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_dup_row") == F.col("_row")), "left_anti")
+    return single.unionByName(alike.dropDuplicates(["doc_id", "_dup_row"])).drop("_dup_row")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataFrame:
     """One row of ``docs`` for each class: that of the smallest doc_id (nulls last; equal doc_ids: the smaller row hash).
 
@@ -134,15 +147,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, **options) ->
     row = F.xxhash64(*[F.col(c) for c in docs.columns])
     prints = stage(with_fingerprint(docs.select("doc_id", "text", row.alias("row")), "fp", shingle).select("doc_id", "row", "fp"), "fingerprints")
     made = stage(classes(prints, **options), "classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row"))).alias("first")
-    keep = prints.join(made, "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row")).distinct()
-    rows = docs.withColumn("_dup_row", row)
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_dup_row") == F.col("_row")), "left_semi")
-    # rows alike in every column: one of them
-    repeated = prints.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    alike = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_dup_row") == F.col("_row")), "left_semi")
-    single = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_dup_row") == F.col("_row")), "left_anti")
-    return single.unionByName(alike.dropDuplicates(["doc_id", "_dup_row"])).drop("_dup_row")
+    return first_rows(docs, prints.join(made, "fp").select("doc_id", "row", "root"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontam, hashing, html_blocks, html_extract, line_dedup, media, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
+from tallyframe.llm import decontam, hashing, html_blocks, html_extract, line_dedup, media, mixing, shingle_join, simhash, substring_dedup, token_counts, token_output, toxicity
 from tallyframe.llm.pieces import PieceEncoder, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -346,6 +346,54 @@ def test_near_duplicates_odd(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+# near-duplicates of the pipeline
+
+
+def _kept_brute(texts, least=0.8, k=5):
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= least * len(a | sets[j]) - 1e-9:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return sorted(set(root))
+
+
+@pytest.mark.parametrize("options", [{}, {"most": 0, "rounds": 2}, {"most": 1 << 40}])
+def test_near_duplicates_of_the_pipeline_against_brute_force(spark, options):
+    rng = random.Random(8)
+    texts = ["", " ", "one two", "One  two", "one two three"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 30, 120]))]
+        for _ in range(8):
+            at = rng.randrange(len(base))
+            base = base[:at] + ["new" + str(rng.random())] + base[at + rng.randrange(2) :]
+            texts.append(" ".join(base))
+    rng.shuffle(texts)
+    got = shingle_join.drop_near_duplicates(docs_of(spark, texts).repartition(3), **options)
+    assert sorted(r["doc_id"] for r in got.collect()) == _kept_brute(texts)
+
+
+def test_near_duplicates_of_the_pipeline_reach_a_similarity_of_08(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = [" ".join(words), " ".join(words[:40] + ["x"] + words[41:80] + ["y"] + words[81:])]
+    bits = bin((simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])) & (2**64 - 1)).count("1")
+    assert bits > 3 and _kept_brute(texts) == [0]
+    assert ids(corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, texts), "")) == ["0"]
+
+
+def test_near_duplicates_of_the_pipeline_odd(spark, odd, none):
+    kept = shingle_join.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and ids(kept) == ids(simhash.drop_near_duplicates(odd))
+    assert shingle_join.drop_near_duplicates(none).count() == 0
+
+
 # 8: toxicity
 
 
