@@ -12,17 +12,29 @@ from ..sources.stages import stage
 MOST_SOURCES = 100_000
 #: A draw is a linear congruential step of the key, which any SQL engine can repeat; fixed values.
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
+#: Places that one draw reaches, and what keys are multiplied by for the second one.
+DRAWN, LCG_B = 1 << 25, 69069
 
 
 def draw(key: Column | str, seed: int, below: Column | int | None = None) -> Column:
-    """Integer draw from a whole-number key: two congruential steps; in 0 .. below - 1 if ``below`` is given."""
+    """Integer draw from a whole-number key: two congruential steps; in 0 .. below - 1 if ``below`` is given.
+
+    Up to 2^25 places and keys of 31 bits take one draw, larger ones 53 bits of two.
+    """
     k = F.col(key) if isinstance(key, str) else key
     step = lambda x: (x * F.lit(LCG_A) + F.lit(LCG_C)) % F.lit(LCG_M)
-    d = step(F.floor(step((k + F.lit(seed)) % F.lit(LCG_M)) / 8))
+    twice = lambda x: step(F.floor(step(x % F.lit(LCG_M)) / 8))
+    whole = (k + F.lit(seed)).cast("long")
+    # keys beyond 2^31 bring their high part in by a draw of its own, so that draws do not repeat
+    high = F.shiftright(F.abs(whole), 31)
+    drawn = lambda of: F.when(high == 0, twice(of(whole))).otherwise(twice(twice(of(whole)) + twice(of(high))))
+    d = drawn(lambda x: x % F.lit(LCG_M))
     if below is None:
         return d
     below = F.lit(below) if isinstance(below, int) else below
-    return F.floor(d / 64) % below
+    other = drawn(lambda x: x % F.lit(LCG_M) * F.lit(LCG_B) + F.lit(1))
+    wide = F.floor(other / 8) * F.lit(DRAWN) + F.floor(d / 64)
+    return F.when(below <= F.lit(DRAWN), F.floor(d / 64) % below).otherwise(wide % below)
 
 
 def with_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:

@@ -255,3 +255,19 @@ def test_empty_tables(spark):
     assert losses.log_loss(df).first()["loss"] is None
     assert stats.mean_vector(df, "x").count() == 0
     assert logs.best_iteration(spark.createDataFrame([], "run int, iteration int, value double")).count() == 0
+
+
+def test_draws_reach_every_place_of_large_tables(spark):
+    size = 200_000_000
+    keys = spark.range(100_000)
+    row = keys.select(sampling.draw("id", 9, size).alias("d")).agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.countDistinct("d").alias("n"), F.sum((F.col("d") >= size // 2).cast("int")).alias("upper")).first()
+    assert 0 <= row["lo"] < size // 100 and size - size // 100 < row["hi"] < size
+    assert row["n"] > 99_000 and abs(row["upper"] - 50_000) < 2_000
+    # keys that are alike in 31 bits do not repeat their draws
+    again = keys.where((sampling.draw("id", 9, size) == sampling.draw(F.col("id") + 2**31, 9, size)) | (sampling.draw("id", 9, size) == sampling.draw(F.col("id") + 2**32, 9, size)))
+    assert again.count() < 100
+    # up to 2^25 places the draws of 31-bit keys are as in the SQL
+    c, m = 12345, 2**31
+    narrow = lambda k: (((k + 9) % m * 1103515245 + c) % m // 8 * 1103515245 + c) % m // 64
+    got = [r["d"] for r in keys.limit(50).select(sampling.draw("id", 9, 1 << 25).alias("d")).collect()]
+    assert got == [narrow(k) % (1 << 25) for k in range(50)]
