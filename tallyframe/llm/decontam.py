@@ -125,6 +125,11 @@ def _scan_small(min_match: int, shared):
     return run
 
 
+def _place(item) -> tuple[bool, int, int]:
+    """Order of the matches of a document: by item_id, nulls last, then by the number that the item was staged with."""
+    return item["item_id"] is None, item["item_id"] or 0, item["item"]
+
+
 def _broadcastable(items: DataFrame) -> bool:
     size = items.agg(F.coalesce(F.sum(F.length("words") + F.size("seeds") * 8 + 16), F.lit(0)).alias("n")).first()["n"]
     return size <= BROADCAST_BYTES
@@ -142,13 +147,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     if "matches" in docs.columns:
         raise ValueError("the column matches would be overwritten")
     spark = docs.sparkSession
-    items = stage(benchmark_words(benchmark, min_match), "items")
+    items = stage(benchmark_words(benchmark, min_match).withColumn("item", F.monotonically_increasing_id()), "items")
     if broadcast is None:
         broadcast = _broadcastable(items)
     schema = docs.select("*").schema
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"matches array<struct<{_MATCH.replace('array<array<long>>', 'array<array<bigint>>').replace(' long', ':bigint').replace('tiles array', 'tiles:array')}>>"])
     if broadcast:
-        packed = [(r["item_id"], bytes(r["words"]), list(r["seeds"])) for r in items.toLocalIterator()]
+        rows = sorted(items.toLocalIterator(), key=_place)
+        packed = [(r["item_id"], bytes(r["words"]), list(r["seeds"])) for r in rows]
         return docs.mapInPandas(_scan_small(min_match, spark.sparkContext.broadcast(packed)), out)
     return _shuffled(docs, items, min_match, out)
 
@@ -163,8 +169,8 @@ def _shuffled(docs: DataFrame, items: DataFrame, min_match: int, out: str) -> Da
         return pd.Series([np.unique(np.concatenate([run_hashes(w, n) for n in lengths] or [np.empty(0, np.uint64)])).view(np.int64).tolist() for w in parts])
 
     keyed = docs.withColumn("_text", F.xxhash64("text"))
-    near = keyed.select("_text", F.explode(seeds_of("text")).alias("seed")).join(items.select("item_id", "words", F.explode("seeds").alias("seed")), "seed")
-    pairs = near.groupBy("_text").agg(F.collect_set(F.struct("item_id", "words")).alias("_items"))
+    near = keyed.select("_text", F.explode(seeds_of("text")).alias("seed")).join(items.select("item", "item_id", "words", F.explode("seeds").alias("seed")), "seed")
+    pairs = near.groupBy("_text").agg(F.collect_set(F.struct("item", "item_id", "words")).alias("_items"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -174,7 +180,7 @@ def _shuffled(docs: DataFrame, items: DataFrame, min_match: int, out: str) -> Da
                     hits.append([])
                     continue
                 doc, _ = word_hashes([(text or "").encode().lower()])
-                own = sorted(((x["item_id"], np.frombuffer(x["words"], np.uint64)) for x in items), key=lambda x: (x[0] is None, x[0] or 0))
+                own = [(x["item_id"], np.frombuffer(x["words"], np.uint64)) for x in sorted(items, key=_place)]
                 hits.append(_match(doc, own, min_match))
             yield pdf.drop(columns=["_items"]).assign(matches=hits)
 

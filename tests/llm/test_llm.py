@@ -162,6 +162,15 @@ def test_decontamination(spark, odd, none):
         decontam.find_matches(odd.withColumn("matches", F.lit(1)), bench)
 
 
+def test_repeated_benchmark_rows_are_items_of_their_own_on_both_paths(spark):
+    words = "a b c d e f g h"
+    items = spark.createDataFrame([(2, words), (1, words), (1, words), (None, words), (None, words), (3, "not in it at all is this")], "item_id long, text string")
+    docs = docs_of(spark, [f"x {words} y", "nothing of it"])
+    got = [{r["doc_id"]: r["matches"] for r in decontam.find_matches(docs, items, broadcast=b).collect()} for b in (True, False)]
+    assert [m["item_id"] for m in got[0][0]] == [1, 1, 2, None, None]
+    assert got[0] == got[1] and got[0][1] == []
+
+
 # 4: HTML
 
 
