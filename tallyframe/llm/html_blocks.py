@@ -25,6 +25,8 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    # a foreign element that closes itself; a slash at the end of an unquoted value does not close it
+    r"|<(?:svg|math)(?=[\s/])(?:\"[^\"]*\"|'[^']*'|=\s*+(?:[^\s>\"'][^\s>]*+)?+|[^>\"'=/]|/(?!>))*+/>"
     rf"|<(?P<raw>{'|'.join(RAW.split())})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"

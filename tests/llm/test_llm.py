@@ -181,6 +181,17 @@ def test_blocks():
     assert [b.text for b in html_blocks.blocks("a < b and <p class='x>y'>c")][-1] == "c"
 
 
+@pytest.mark.parametrize("icon", ['<svg class="i" viewBox="0 0 1 1"/>', "<svg/>", "<SVG a='x>y' />", "<math/>", "<svg width=1 />"])
+def test_text_after_a_self_closed_icon(icon):
+    assert [b.text for b in html_blocks.blocks(f"<p>a</p>{icon}<p>article</p>")] == ["a", "article"]
+    assert [b.text for b in html_blocks.blocks(f"<p>a</p><svg><g/>{icon}<text>no</text></svg>{icon}<p>b</p><svg>no</svg>c")] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("icon", ["<svg><path d='x'/></svg>", "<svg width=1/><text>no</text></svg>", '<svg a="/"><text>no</text></svg>'])
+def test_icons_with_an_end_tag(icon):
+    assert [b.text for b in html_blocks.blocks(f"<p>a</p>{icon}<p>article</p>")] == ["a", "article"]
+
+
 def test_gradients():
     model = html_extract.Labeller(5, 3, 1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
