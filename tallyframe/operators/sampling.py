@@ -66,7 +66,7 @@ def rand_skip(df: DataFrame, n: int, order: str, seed: int = 0) -> DataFrame:
 def thin(df: DataFrame, key: str, max_gap: int, seed: int = 0, by: str | None = None) -> DataFrame:
     """A row, then again after a drawn gap of 1 .. ``max_gap`` rows: those where the running sum of gaps passes their place.
 
-    Without ``by`` the place is the global one; with it, the place within each group.
+    The place is that within each group of ``by``; without ``by`` it raises ValueError, as the global form is not built.
     """
     gap = draw(key, seed, max_gap) + 1
     if by is None:
