@@ -2,31 +2,59 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Stage folders of this process that are not dropped yet, with the session that wrote them.
+_open: dict[str, SparkSession] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see: ``spark.checkpoint.dir`` if the cluster names one.
 
-    Where it is unset, a local session (one machine, as in tests) gets a fresh temporary
-    folder and a cluster gets a folder in its warehouse, which is shared as well.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and every executor see: ``spark.checkpoint.dir`` if the cluster names one, else a folder
+    in the session's warehouse, which is shared as well."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            base = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages").rstrip("/")
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, dropped with ``drop_path`` or when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _open[path] = spark
+    return path
 
 
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it read back (cuts the lineage)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stage_path = path
+    return made
+
+
+def drop_path(path: str) -> None:
+    """Remove a stage folder, through Hadoop's file system, so that it may be in any store."""
+    spark = _open.pop(path, None)
+    if spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def drop_stage(*stages: DataFrame) -> None:
+    """Remove the files of tables that ``stage`` returned and that no later result reads."""
+    for df in stages:
+        drop_path(df._stage_path)
+
+
+@atexit.register
+def _drop_open() -> None:
+    """What results still read goes when the process ends, if its session is still there."""
+    for path, spark in list(_open.items()):
+        try:
+            if spark.sparkContext._jsc is not None:
+                drop_path(path)
+        except Exception:  # the session went first; the folder is then left to the cluster's own clearing
+            _open.pop(path, None)
