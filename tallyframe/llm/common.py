@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.stages import shared_dir, stage
+from ..sources.stages import drop_stage, shared_dir, stage
 
-__all__ = ["WORD", "hash_sample", "shared_dir", "stage", "table", "with_rank"]
+__all__ = ["WORD", "drop_stage", "free_names", "hash_sample", "shared_dir", "stage", "table", "with_rank"]
 
 #: Words are maximal runs of characters outside these: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names`` changed so that none is a name of ``columns``, letter case aside (Spark's names ignore it)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        new, n = f"_{name}", 0
+        while new.lower() in taken:
+            new, n = f"_{name}_{n}", n + 1
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
 def with_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     """Add the 0-based position of each row in a global order, without a single-task window.
 

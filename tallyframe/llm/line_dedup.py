@@ -1,147 +1,213 @@
 """Line deduplication by an exact set-similarity join; DataFrame functions only.
 
-A line is its set of lower-cased words.  Lines of one set are a class.  Words are ordered from rare to common;
-two sets with Jaccard of at least ``SIMILARITY`` share one of the first ``n - ceil(t n) + 1`` of them.  Classes
-are joined on these words, thinned by their sizes, by how many words can still agree after the shared
-position and by a 128-bit parity of the sets, and the survivors' sets are fetched and compared.
+A line is its set of lower-cased words, and lines of one set are a class.  Classes are made first, so a line that
+many documents share is one row in all that follows.  Words are ordered from rare to common; two sets with Jaccard
+of at least ``SIMILARITY`` share one of the first ``n - ceil(t n) + 1`` of them.  Classes meet on these words, thinned
+by their sizes, by how many words can still agree after the shared position and by a 128-bit parity of the sets,
+and the survivors' sets are fetched and compared.
 
-Rarity is counted over all lines in 65,536 bins of the words' hashes, which is a byte a bin for every task, of
+A class goes if it has one earlier similar class, so it need not meet all of them.  The first round compares each
+class with a few earlier ones that share a rare word, which settles the members of groups of near copies; only
+what is still open then meets all earlier classes.  So a group gives rows in proportion to its size.
+
+Rarity is counted over all lines in 65,536 bins of the words' hashes, which is a number a bin for every task, of
 one size however large the corpus.  The order need only be the same everywhere to be exact; the bins make it
 close to that of the words' own counts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WORD, stage, table
+from .common import WORD, drop_stage, free_names, stage, table
 
 SIMILARITY, BINS = 0.8, 1 << 16
+#: The rarest words of a class by which the first round looks for earlier ones, and how many before it in order are tried.
+NEAR_WORDS, NEAR_STEPS = 4, (1, 2)
+#: Stands for no doc_id where rows are put in order; ties with a real id are told apart later.
+_NO_ID = (1 << 63) - 1
 
 
-def words(text: Column) -> Column:
+def words(line: Column) -> Column:
     """Lower-cased words cut at single white characters; empty ones are among them."""
-    return F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     "), " ")
+    low = F.lower(line)
+    return F.split(F.when(low.rlike(r"[\x09\x0B-\x0D]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low), " ")
 
 
 def tokens(line: Column) -> Column:
     """Distinct hashes of the words of a line."""
-    return F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A byte for each bin as one binary literal: quarter-octaves of the count of its words in all texts."""
-    seen = docs.select(F.explode(words(F.col("text"))).alias("w")).where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n"))
-    levels = bytearray(BINS)
+def rarity(lines: DataFrame) -> Column:
+    """The level of each bin as an array literal: thirds of octaves of how often ``lines(tokens)`` have a word of it, from 0 to 127."""
+    seen = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    levels = [0] * BINS
     for r in seen.collect():  # at most BINS rows
-        levels[r["bin"]] = min(255, 1 + int(4 * log2(r["n"])))
-    return F.lit(bytes(levels))
+        levels[r["bin"]] = min(127, 1 + int(3 * log2(r["n"])))
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
+
+
+def _least(similarity: float, n: Column) -> Column:
+    """ceil(t n), safe from rounding."""
+    return F.ceil(n * F.lit(similarity) - F.lit(1e-9)).cast("int")
 
 
 def keyed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, h, line_no, key (of the set), n (its size), low, high (parity of its words' hashes in 128 places) and prefix (the
-    hashes of its rarest words, as many as a similar set must meet one of) of all lines that have words."""
-    order = rarity(docs)
+    """doc_id, h (of the text), line_no, key, low, high (which name the set: a hash of it and the parity of its words in 128 places),
+    n (its size) and prefix (its rarest words, as many as a similar set must meet one of) of all lines that have words.
+
+    Texts are cut into words once: the words' hashes are staged, counted, and then put in order.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
-    level = lambda t: F.substring(order, F.pmod(t, F.lit(BINS)).cast("int") + 1, F.lit(1))
-    ranked = rows.select("doc_id", "h", "line_no", F.sort_array(F.transform(tokens(F.col("line")), lambda t: F.struct(level(t).alias("level"), t.alias("t")))).alias("ranked"))
+    hashed = stage(rows.select("doc_id", "h", "line_no", tokens(F.col("line")).alias("tokens")), "linetokens", "snappy")
+    levels = rarity(hashed)
+    # a word is one number: its level above 56 bits of its hash, so that numbers sort from rare to common
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BINS - 1)).cast("int")), F.lit(0)).cast("long")
+    number = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    ranked = hashed.select("doc_id", "h", "line_no", F.sort_array(F.transform("tokens", number)).alias("ranked"))
     n = F.size("ranked")
-    prefix = F.transform(F.slice("ranked", F.lit(1), n - _least(similarity, n) + 1), lambda s: s["t"])
-    bits = lambda half: F.expr(f"aggregate(ranked, 0L, (b, s) -> b ^ if((s.t & 64) = {half}, shiftleft(1L, cast(s.t & 63 as int)), 0L))")
-    return ranked.select("doc_id", "h", "line_no", F.xxhash64("ranked").alias("key"), n.alias("n"), bits(0).alias("low"), bits(64).alias("high"), prefix.alias("prefix"))
+    bits = lambda half: F.expr(f"aggregate(ranked, 0L, (b, t) -> if((t & 64) = {half}, b ^ shiftleft(1L, cast(t & 63 as int)), b))")
+    made = stage(ranked.select("doc_id", "h", "line_no", F.xxhash64("ranked").alias("key"), bits(0).alias("low"), bits(64).alias("high"), n.alias("n"), F.slice("ranked", F.lit(1), n - _least(similarity, n) + 1).alias("prefix")), "keyedlines", "snappy")
+    drop_stage(hashed)
+    return made
 
 
-def _least(similarity: float, n: Column) -> Column:
-    """ceil(t n), safe from rounding."""
-    return F.ceil(n * F.lit(similarity) - F.lit(1e-9)).cast("int")
+ID = ["key", "low", "high"]
+
+
+def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(lines, classes): lines(doc_id, h, line_no, key, low, high) and classes(key, low, high, n, prefix, first, n_lines).
+
+    ``first`` is the earliest place of a class, (no id, doc_id, line_no, h).
+    """
+    keyed = keyed_lines(docs, similarity)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "h")
+    classes = stage(keyed.groupBy(*ID).agg(F.min(place).alias("first"), F.count("*").alias("n_lines"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "lineclasses")
+    lines = stage(keyed.select("doc_id", "h", "line_no", *ID), "lines")
+    drop_stage(keyed)
+    return lines, classes
+
+
+def _posts(classes: DataFrame, *extra: str) -> DataFrame:
+    """A row for each rare word of each class: t, pos, n, the class, and doc (its first id)."""
+    doc = F.coalesce("first.doc_id", F.lit(_NO_ID)).alias("doc")
+    return classes.select(*ID, "n", doc, *extra, F.posexplode("prefix").alias("pos", "t"))
 
 
-def candidates(keyed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of class keys, a < b, that pass the prefix, length, position and parity filters.
+def _may_match(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes, places of the shared word and parities leave room for the similarity.
 
     Two sets differ in at least as many words as their parities differ in bits, which bounds what they can share.
     """
-    posts = keyed.select("key", "n", "low", "high", F.posexplode("prefix").alias("pos", "t"))
-    posts = posts.repartition("t").dropDuplicates(["t", "key"])
+    an, bn, ap, bp = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
+    need = F.ceil((an + bn) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    left = F.least(an - ap, bn - bp) + F.least(ap, bp)
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}"))) for h in ("low", "high")])
+    return (F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - F.lit(1e-9)) & (left >= need) & (an + bn - differ >= 2 * need)
+
+
+def _id(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ID])
+
+
+def near_candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of classes that share one of their rarest words and stand near each other, or b with the first, in its order of ids."""
+    posts = _posts(classes.withColumn("prefix", F.slice("prefix", 1, NEAR_WORDS)))
+    me = F.struct(*ID, "n", "pos")
+    order = Window.partitionBy("t").orderBy("doc", *ID)
+    others = F.array(F.first(me).over(order.rowsBetween(Window.unboundedPreceding, -1)), *[F.lag(me, k).over(order) for k in NEAR_STEPS])
+    near = posts.select(me.alias("b"), others.alias("others")).select("b", F.explode("others").alias("a")).where(F.col("a").isNotNull() & _may_match("a", "b", similarity))
+    return near.select(_id("a").alias("a"), _id("b").alias("b")).distinct()
+
+
+def open_candidates(classes: DataFrame, gone: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of classes that pass all filters, where the later one is not among ``gone``."""
+    known = gone.select(*ID, F.lit(True).alias("_gone"))
+    posts = _posts(classes.join(known, ID, "left").withColumn("open", F.col("_gone").isNull()), "open").repartition("t")
     a, b = posts.alias("a"), posts.alias("b")
-    both = F.col("a.n") + F.col("b.n")
-    small, large = F.least(F.col("a.n"), F.col("b.n")), F.greatest(F.col("a.n"), F.col("b.n"))
-    need = F.ceil(both * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
-    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) + F.least(F.col("a.pos"), F.col("b.pos"))
-    differ = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
-    ok = (F.col("a.key") < F.col("b.key")) & (both - differ >= 2 * need) & (small >= large * F.lit(similarity) - F.lit(1e-9)) & (left >= need)
-    return a.join(b, (F.col("a.t") == F.col("b.t")) & ok).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    tie = (F.col("a.doc") == F.col("b.doc")) & (_id("a") < _id("b"))  # which is the later one is seen when sets are compared
+    wanted = F.when(F.col("a.doc") < F.col("b.doc"), F.col("b.open")).when(tie, F.col("a.open") | F.col("b.open")).otherwise(False)
+    return a.join(b, (F.col("a.t") == F.col("b.t")) & wanted & _may_match("a", "b", similarity)).select(_id("a").alias("a"), _id("b").alias("b")).distinct()
 
 
-def similar_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes, links): lines(doc_id, h, line_no, key); classes(key, first, n_lines); links(a, b), a < b.
+def later_ones(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The class of each of ``pairs(a, b)`` that starts at the later place, of those whose whole sets are similar.
 
-    ``first`` is the earliest place of a class, (no id, doc_id, line_no); links are all pairs of different classes with a
-    Jaccard of at least ``similarity``.
+    A line's set is read from the first document that has it.
     """
-    keyed = stage(keyed_lines(docs, similarity), "lines")
-    lines = keyed.select("doc_id", "h", "line_no", "key")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "h")
-    classes = stage(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n_lines")), "lineclasses")
-    pairs = stage(candidates(keyed, similarity), "linepairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key")
-    wanted = wanted.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "key")).alias("want"))
+    pairs = stage(pairs, "linepairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select(F.struct(*ID).alias("id"), "first"), "id")
+    wanted = stage(wanted.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")).agg(F.collect_list(F.struct("id", "first")).alias("want")), "linewanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    got = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    got = got.withColumn("all", F.split("text", "\n")).select(F.explode(F.transform("want", lambda w: F.struct(w["key"].alias("key"), F.element_at("all", w["line_no"] + 1).alias("line")))).alias("w"))
-    sets = stage(got.select(F.col("w.key").alias("key"), tokens(F.col("w.line")).alias("set")).dropDuplicates(["key"]), "linesets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(shared >= (F.size("sa") + F.size("sb") - shared) * F.lit(similarity) - F.lit(1e-9)).select("a", "b")
-    return lines, classes, stage(links, "linelinks")
+    got = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).withColumn("all", F.split("text", "\n"))
+    got = got.select(F.inline(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["first"].alias("first"), F.get("all", w["first"]["line_no"]).alias("line")))))
+    sets = stage(got.select("id", F.struct("first.none", "first.doc_id", "first.line_no").alias("place"), tokens(F.col("line")).alias("set")).dropDuplicates(["id"]), "linesets")
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("place").alias(f"place_{s}"), F.col("set").alias(f"set_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    same = both.where(shared >= (F.size("set_a") + F.size("set_b") - shared) * F.lit(similarity) - F.lit(1e-9))
+    later = F.when(F.col("place_a") < F.col("place_b"), F.col("b")).when(F.col("place_b") < F.col("place_a"), F.col("a"))
+    made = stage(same.select(later.alias("id")).where("id is not null").distinct().select("id.*"), "linelater")
+    drop_stage(pairs, wanted, sets)
+    return made
+
+
+def repeated_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """key, low, high of the classes that are similar to a class with an earlier place."""
+    gone = later_ones(near_candidates(classes, similarity), docs, classes, similarity)
+    rest = later_ones(open_candidates(classes, gone, similarity), docs, classes, similarity)
+    return gone.unionByName(rest).distinct()
 
 
 def find_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, h (hash of the text) and marks: an array of (line_no, removed, links) of the lines that are removed or have links.
+    """doc_id, h (hash of the text) and removed: the numbers of its lines that go, in order; texts that lose none are left out.
 
-    A line is removed if a line at an earlier place has a Jaccard of at least ``similarity`` with it, equal sets
-    included; links counts the other classes that its own is similar to.  Places are ordered by doc_id (nulls last),
-    then line number; of rows with one doc_id, none is earlier by it, so lines of one number stay in both.
+    A line goes if a line at an earlier place has a Jaccard of at least ``similarity`` with it, equal sets included, be
+    that line kept or not.  Places are ordered by doc_id (nulls last), then line number; of rows with one doc_id, none is
+    earlier by it, so lines of one number stay in both.
     """
-    lines, classes, links = similar_classes(docs, similarity)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = both.join(classes.select(F.col("key").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("key")).agg(F.min("other").alias("other"), F.count("*").alias("links"))
-    known = classes.join(around, "key", "left").where("n_lines > 1 or links > 0").select("key", F.least("first", F.coalesce("other", "first")).alias("best"), F.coalesce("links", F.lit(0)).alias("links"))
-    place = lambda s: [F.col(f"{s}.none"), F.col(f"{s}.doc_id"), F.col(f"{s}.line_no")]
-    rows = lines.join(known, "key").withColumn("here", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no"))
-    rows = rows.withColumn("removed", F.struct(*place("best")) < F.col("here"))
-    marks = F.array_sort(F.collect_set(F.struct("line_no", "removed", "links")))
-    return rows.where("removed or links > 0").groupBy("doc_id", "h").agg(marks.alias("marks"))
-
-
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs(doc_id, text, ...)`` without repeated lines, with ``line_marks`` (see ``find_repeats``) added.
-
-    Blank lines stay.  A null text stays null; ids may be null or repeated; an empty table stays empty.
+    lines, classes = line_classes(docs, similarity)
+    later = repeated_classes(docs, classes, similarity).withColumn("later", F.lit(True))
+    known = stage(classes.join(later, ID, "left").where("n_lines > 1 or later").select(*ID, "first", F.coalesce("later", F.lit(False)).alias("later")), "lineknown")
+    drop_stage(classes)
+    here, first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no"), F.struct("first.none", "first.doc_id", "first.line_no")
+    rows = lines.join(known, ID).where(F.col("later") | (first < here))
+    made = stage(rows.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "linemarks")
+    drop_stage(lines, known)
+    return made
+
+
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, removed: str | None = None) -> DataFrame:
+    """``docs(doc_id, text, ...)`` without repeated lines (see ``find_repeats``); all columns keep their names and places.
+
+    ``removed`` names a column to add, with the numbers of the lines that went; a name that docs has raises ValueError.
+    Blank lines stay, and a text that loses all its lines is the empty one.  A null text stays null.  Ids may be null or
+    repeated, other columns may have any name, and an empty table stays empty.
     """
-    marks = find_repeats(docs, similarity)
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    rows = rows.join(marks.select(F.col("doc_id").alias("_id"), F.col("h").alias("_mh"), F.col("marks").alias("line_marks")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_mh")), "left")
-    gone = F.transform(F.filter("line_marks", lambda m: m["removed"]), lambda m: m["line_no"])
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return rows.withColumn("text", F.when(F.size(gone) > 0, kept).otherwise(F.col("text"))).select(*docs.columns, "line_marks")
+    if removed is not None and removed.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the column {removed} would be overwritten")
+    doc, h, doc2, h2, gone = free_names(docs.columns, "doc", "h", "doc2", "h2", "gone")
+    marks = find_repeats(docs.select("doc_id", "text"), similarity).select(F.col("doc_id").alias(doc2), F.col("h").alias(h2), F.col("removed").alias(gone))
+    rows = docs.withColumns({doc: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
+    rows = rows.join(marks, F.col(doc).eqNullSafe(F.col(doc2)) & (F.col(h) == F.col(h2)), "left")
+    all_ = F.split("text", "\n")
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(gone)), lambda i: F.get(all_, i)), "\n")
+    text = F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text"))
+    out = [text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*out, *([F.coalesce(F.col(gone), F.array().cast("array<int>")).alias(removed)] if removed else []))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links and the md5 of the text that is kept (null text: of the empty one)."""
+    """doc_id, n_lines, n_removed and the md5 of the text that is kept (null text: of the empty one) of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    made = dedup_lines(docs)
-    marks = F.coalesce("line_marks", F.array().cast("array<struct<line_no:int,removed:boolean,links:bigint>>"))
-    return made.select(
-        "doc_id",
-        F.greatest(F.col("n_lines"), F.lit(0)).alias("n_lines"),
-        F.size(F.filter(marks, lambda m: m["removed"])).cast("long").alias("n_removed"),
-        F.aggregate(marks, F.lit(0).cast("long"), lambda s, m: s + m["links"]).alias("n_links"),
-        F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"),
-    )
+    made = dedup_lines(docs, removed="removed")
+    return made.select("doc_id", F.greatest(F.col("n_lines"), F.lit(0)).alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
 ORACLE = r"""
@@ -165,12 +231,12 @@ WITH l AS (
 ), e AS (
   SELECT a, b FROM v UNION ALL SELECT b, a FROM v
 ), g AS (
-  SELECT c.k, c.ws, least(min(c.first), min(o.first)) AS best, count(e.b) AS links FROM c LEFT JOIN e ON e.a = c.k LEFT JOIN c o ON o.k = e.b GROUP BY c.k, c.ws
+  SELECT c.k, c.ws, least(min(c.first), min(o.first)) AS best FROM c LEFT JOIN e ON e.a = c.k LEFT JOIN c o ON o.k = e.b GROUP BY c.k, c.ws
 ), m AS (
-  SELECT l.doc_id, l.line_no, l.line, coalesce(g.best < l.doc_id * 1000000 + l.line_no, false) AS removed, coalesce(g.links, 0) AS links FROM l LEFT JOIN g ON g.ws = l.ws
+  SELECT l.doc_id, l.line_no, l.line, coalesce(g.best < l.doc_id * 1000000 + l.line_no, false) AS removed FROM l LEFT JOIN g ON g.ws = l.ws
 )
-SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN removed THEN 1 ELSE 0 END) AS BIGINT) AS n_removed, CAST(sum(links) AS BIGINT) AS n_links,
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN removed THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
        md5(coalesce(string_agg(CASE WHEN removed THEN NULL ELSE line END, chr(10) ORDER BY line_no), '')) AS kept_md5
 FROM m GROUP BY doc_id
-UNION ALL SELECT doc_id, 0, 0, 0, md5('') FROM documents WHERE text IS NULL
+UNION ALL SELECT doc_id, 0, 0, md5('') FROM documents WHERE text IS NULL
 """
