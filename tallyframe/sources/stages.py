@@ -44,9 +44,14 @@ def drop_path(path: str) -> None:
 
 
 def drop_stage(*stages: DataFrame) -> None:
-    """Remove the files of tables that ``stage`` returned and that no later result reads."""
+    """Remove the files of tables that ``stage`` returned and that no later result reads.
+
+    The driver's JVM is asked to collect as well: only then does Spark's cleaner see that the plans that wrote them are
+    done, and remove their shuffle files from the executors' disks.
+    """
     for df in stages:
         drop_path(df._stage_path)
+    stages[0].sparkSession._jvm.System.gc()
 
 
 @atexit.register
