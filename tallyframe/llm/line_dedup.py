@@ -7,7 +7,7 @@ by their sizes, by how many words can still agree after the shared position and
 and the survivors' sets are fetched and compared.
 
 A class goes if it has one earlier similar class, so it need not meet all of them.  The first round compares each
-class with a few earlier ones that share a rare word, which settles the members of groups of near copies; only
+class with a few earlier ones that share two of their least hashes, which settles the members of groups of near copies; only
 what is still open then meets all earlier classes.  So a group gives rows in proportion to its size.
 
 Rarity is counted over all lines in 65,536 bins of the words' hashes, which is a number a bin for every task, of
@@ -17,18 +17,18 @@ close to that of the words' own counts.
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, drop_stage, free_names, stage, table
+from .common import WORD, drop_stage, free_names, likely, stage, table
 
 SIMILARITY, BINS = 0.8, 1 << 16
-#: The rarest words of a class by which the first round looks for earlier ones, and how many before it in order are tried.
-NEAR_WORDS, NEAR_STEPS = 4, (1, 2)
+#: How many of a set's least hashes the first round pairs up to look for earlier classes, and how many before a class in order it tries.
+NEAR_WORDS, NEAR_STEPS = 3, 6
 #: Stands for no doc_id where rows are put in order; ties with a real id are told apart later.
 _NO_ID = (1 << 63) - 1
 
@@ -60,7 +60,7 @@ def _least(similarity: float, n: Column) -> Column:
 
 def keyed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, h (of the text), line_no, key, low, high (which name the set: a hash of it and the parity of its words in 128 places),
-    n (its size) and prefix (its rarest words, as many as a similar set must meet one of) of all lines that have words.
+    n (its size), prefix (its rarest words, as many as a similar set must meet one of) and least (its least hashes) of all lines that have words.
 
     Texts are cut into words once: the words' hashes are staged, counted, and then put in order.
     """
@@ -70,10 +70,10 @@ def keyed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # a word is one number: its level above 56 bits of its hash, so that numbers sort from rare to common
     level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BINS - 1)).cast("int")), F.lit(0)).cast("long")
     number = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    ranked = hashed.select("doc_id", "h", "line_no", F.sort_array(F.transform("tokens", number)).alias("ranked"))
+    ranked = hashed.select("doc_id", "h", "line_no", F.sort_array(F.transform("tokens", number)).alias("ranked"), F.slice(F.sort_array("tokens"), 1, NEAR_WORDS).alias("least"))
     n = F.size("ranked")
     bits = lambda half: F.expr(f"aggregate(ranked, 0L, (b, t) -> if((t & 64) = {half}, b ^ shiftleft(1L, cast(t & 63 as int)), b))")
-    made = stage(ranked.select("doc_id", "h", "line_no", F.xxhash64("ranked").alias("key"), bits(0).alias("low"), bits(64).alias("high"), n.alias("n"), F.slice("ranked", F.lit(1), n - _least(similarity, n) + 1).alias("prefix")), "keyedlines", "snappy")
+    made = stage(ranked.select("doc_id", "h", "line_no", F.xxhash64("ranked").alias("key"), bits(0).alias("low"), bits(64).alias("high"), n.alias("n"), F.slice("ranked", F.lit(1), n - _least(similarity, n) + 1).alias("prefix"), "least"), "keyedlines", "snappy")
     drop_stage(hashed)
     return made
 
@@ -82,34 +82,37 @@ ID = ["key", "low", "high"]
 
 
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes): lines(doc_id, h, line_no, key, low, high) and classes(key, low, high, n, prefix, first, n_lines).
+    """(lines, classes): lines(doc_id, h, line_no, key, low, high) and classes(key, low, high, n, prefix, least, first, n_lines).
 
     ``first`` is the earliest place of a class, (no id, doc_id, line_no, h).
     """
     keyed = keyed_lines(docs, similarity)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "h")
-    classes = stage(keyed.groupBy(*ID).agg(F.min(place).alias("first"), F.count("*").alias("n_lines"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "lineclasses")
+    classes = stage(keyed.groupBy(*ID).agg(F.min(place).alias("first"), F.count("*").alias("n_lines"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("least").alias("least")), "lineclasses")
     lines = stage(keyed.select("doc_id", "h", "line_no", *ID), "lines")
     drop_stage(keyed)
     return lines, classes
 
 
-def _posts(classes: DataFrame, *extra: str) -> DataFrame:
-    """A row for each rare word of each class: t, pos, n, the class, and doc (its first id)."""
-    doc = F.coalesce("first.doc_id", F.lit(_NO_ID)).alias("doc")
-    return classes.select(*ID, "n", doc, *extra, F.posexplode("prefix").alias("pos", "t"))
+def _doc() -> Column:
+    """The first id of a class, to put classes in order."""
+    return F.coalesce("first.doc_id", F.lit(_NO_ID)).alias("doc")
+
+
+def _differ(a: str, b: str) -> Column:
+    """In how many words two sets differ at least: the bits in which their parities do."""
+    return F.bit_count(F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low"))) + F.bit_count(F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high")))
 
 
 def _may_match(a: str, b: str, similarity: float) -> Column:
-    """Whether sizes, places of the shared word and parities leave room for the similarity.
+    """Whether sizes and parities leave room for the similarity."""
+    an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - F.lit(1e-9)) & (an + bn - _differ(a, b) >= 2 * _need(an, bn, similarity))
 
-    Two sets differ in at least as many words as their parities differ in bits, which bounds what they can share.
-    """
-    an, bn, ap, bp = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
-    need = F.ceil((an + bn) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
-    left = F.least(an - ap, bn - bp) + F.least(ap, bp)
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}"))) for h in ("low", "high")])
-    return (F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - F.lit(1e-9)) & (left >= need) & (an + bn - differ >= 2 * need)
+
+def _need(an: Column, bn: Column, similarity: float) -> Column:
+    """Words that two similar sets of these sizes share at least."""
+    return F.ceil((an + bn) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
 
 
 def _id(side: str) -> Column:
@@ -117,23 +120,33 @@ def _id(side: str) -> Column:
 
 
 def near_candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of classes that share one of their rarest words and stand near each other, or b with the first, in its order of ids."""
-    posts = _posts(classes.withColumn("prefix", F.slice("prefix", 1, NEAR_WORDS)))
-    me = F.struct(*ID, "n", "pos")
+    """Pairs (a, b) of classes that share two of their least hashes and stand near each other, or b with the first, in the order of ids."""
+    least = lambda i: F.get("least", F.lit(i))
+    keys = F.array(F.xxhash64(least(0)), *[F.xxhash64(least(i), least(j)) for i, j in combinations(range(NEAR_WORDS), 2)])
+    keys = F.when(F.size("least") < NEAR_WORDS, F.slice(keys, 1, 1)).otherwise(F.slice(keys, 2, NEAR_WORDS * (NEAR_WORDS - 1) // 2))
+    posts = classes.select(*ID, "n", _doc(), F.explode(keys).alias("t"))
+    me = F.struct(*ID, "n")
     order = Window.partitionBy("t").orderBy("doc", *ID)
-    others = F.array(F.first(me).over(order.rowsBetween(Window.unboundedPreceding, -1)), *[F.lag(me, k).over(order) for k in NEAR_STEPS])
-    near = posts.select(me.alias("b"), others.alias("others")).select("b", F.explode("others").alias("a")).where(F.col("a").isNotNull() & _may_match("a", "b", similarity))
-    return near.select(_id("a").alias("a"), _id("b").alias("b")).distinct()
+    others = {"a0": F.first(me).over(order.rowsBetween(Window.unboundedPreceding, -1))} | {f"a{k}": F.lag(me, k).over(order) for k in range(1, NEAR_STEPS + 1)}
+    near = posts.select(me.alias("b"), *[w.alias(n) for n, w in others.items()])
+    # of those that may match, the one whose parity is nearest
+    best = F.array_min(F.array(*[F.when(_may_match(n, "b", similarity), F.struct(_differ(n, "b").alias("differ"), _id(n).alias("a"))) for n in others]))
+    return near.select(best["a"].alias("a"), _id("b").alias("b")).where("a is not null").distinct()
 
 
 def open_candidates(classes: DataFrame, gone: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of classes that pass all filters, where the later one is not among ``gone``."""
+    """Pairs (a, b) of classes that share a rare word and pass all filters, where the later one is not among ``gone``.
+
+    A pair is looked at where it first shares a word; so nothing before that place is common to both.
+    """
     known = gone.select(*ID, F.lit(True).alias("_gone"))
-    posts = _posts(classes.join(known, ID, "left").withColumn("open", F.col("_gone").isNull()), "open").repartition("t")
+    rows = classes.join(known, ID, "left").select(*ID, "n", _doc(), F.col("_gone").isNull().alias("open"), F.posexplode("prefix").alias("pos", "t"))
+    posts = rows.repartition("t")
     a, b = posts.alias("a"), posts.alias("b")
     tie = (F.col("a.doc") == F.col("b.doc")) & (_id("a") < _id("b"))  # which is the later one is seen when sets are compared
     wanted = F.when(F.col("a.doc") < F.col("b.doc"), F.col("b.open")).when(tie, F.col("a.open") | F.col("b.open")).otherwise(False)
-    return a.join(b, (F.col("a.t") == F.col("b.t")) & wanted & _may_match("a", "b", similarity)).select(_id("a").alias("a"), _id("b").alias("b")).distinct()
+    room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= _need(F.col("a.n"), F.col("b.n"), similarity)
+    return a.join(b, (F.col("a.t") == F.col("b.t")) & wanted & room & _may_match("a", "b", similarity)).select(_id("a").alias("a"), _id("b").alias("b")).distinct()
 
 
 def later_ones(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -145,7 +158,7 @@ def later_ones(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select(F.struct(*ID).alias("id"), "first"), "id")
     wanted = stage(wanted.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")).agg(F.collect_list(F.struct("id", "first")).alias("want")), "linewanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    got = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).withColumn("all", F.split("text", "\n"))
+    got = likely(texts, "h", wanted, "_h").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).withColumn("all", F.split("text", "\n"))
     got = got.select(F.inline(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["first"].alias("first"), F.get("all", w["first"]["line_no"]).alias("line")))))
     sets = stage(got.select("id", F.struct("first.none", "first.doc_id", "first.line_no").alias("place"), tokens(F.col("line")).alias("set")).dropDuplicates(["id"]), "linesets")
     side = lambda s: sets.select(F.col("id").alias(s), F.col("place").alias(f"place_{s}"), F.col("set").alias(f"set_{s}"))
