@@ -1,12 +1,16 @@
-"""Near-duplicate texts by an exact set-similarity join of word shingles.
+"""Near-duplicate texts by SimHash pivot tables, completed by an exact set-similarity join of word shingles.
 
 A text is its set of hashed runs of ``SHINGLE`` words, A-Z lower-cased (all its words if there are fewer).  Texts of one
-set are a class from the start.  Shingles are ordered from rare to common; two sets with a Jaccard of at least
-``SIMILARITY`` share one of the first ``n - ceil(t n) + 1`` of them, so no pair can be missed.  Pairs are thinned by
-sizes and places only, and each is verified on its whole sets.
+set are a class from the start.  Every set has a 64-bit SimHash; fingerprints within a few bits meet in the pivot distance
+tables of ``simhash``, and the pairs are verified on their whole sets.  That links the closest copies, and most of a large
+group, without looking at shingles.
 
-A group of near copies is linked by a few pairs a shingle, round by round; the last round takes every pair
-of texts that are not in one component yet.  So components are those of all similar pairs, without all pairs of a group.
+A Jaccard of 0.8 is about ten differing bits, which no table of 64-bit fingerprints reaches, so the rest is found exactly.
+Shingles are ordered from rare to common; two sets with a Jaccard of at least ``SIMILARITY`` share one of the first
+``n - ceil(t n) + 1`` of them, so no pair can be missed.  Pairs are thinned by sizes and places only, and each is verified
+on its whole sets.  Only shingles that texts of different components share are looked at.  They are linked by a few pairs
+a shingle, round by round; the last round takes every pair of texts that are not in one component yet.  So components are
+those of all similar pairs, without all pairs of a group.
 
 Rarity is counted in ``BINS`` bins of the hashes over all texts.  The order need only be the same everywhere to be exact.
 """
@@ -21,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import drop_stage, stage
 from .hashing import run_hashes, word_hashes
-from .simhash import components, first_rows
+from .simhash import components, first_rows, near_links, row_hash
 
 SHINGLE, SIMILARITY, BINS, ROUNDS = 5, 0.8, 1 << 18, 4
 #: Texts that are hashed at once.
@@ -73,25 +77,47 @@ def _key(found: np.ndarray) -> int:
     return int.from_bytes(xxh64_intdigest(found.tobytes()).to_bytes(8, "big"), "big", signed=True)
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingle hashes, as a signed long: a bit is set if it is in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        counts += np.unpackbits(found[at : at + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(found)).tobytes(), "big", signed=True)
+
+
+KEYED = "doc_id long, row long, key long, fp long, n int, prefix array<long>, data binary"
+
+
 def keyed_texts(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """doc_id, row, key (of the set), n (its size) and prefix (its rarest shingles; null for a set that the task has given)."""
+    """doc_id, row, key and fp (of the set), n (its size), prefix (its rarest shingles) and data (the text, compressed); the last
+    two are null for a set that the task has given."""
     order = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
         seen: set[int] = set()
+        press = zstandard.ZstdCompressor(level=1)
         for pdf in batches:
             for part, sets in _parts(pdf, k):
-                keys, prefixes = [_key(s) for s in sets], []
-                for key, s in zip(keys, sets, strict=True):
+                keys, prefixes, data = [_key(s) for s in sets], [], []
+                for key, s, t in zip(keys, sets, part["text"], strict=True):
                     if key in seen:
                         prefixes.append(None)
+                        data.append(None)
                         continue
                     seen.add(key)
                     m = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
                     prefixes.append(s[np.argsort(order.value[_bins(s)], kind="stable")[:m]].view(np.int64).tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "row": part["row"].to_numpy(), "key": keys, "n": [len(s) for s in sets], "prefix": prefixes})
+                    data.append(press.compress((t or "").encode()))
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"].astype("Int64").array, "row": part["row"].to_numpy(), "key": keys, "fp": [set_fingerprint(s) for s in sets],
+                        "n": [len(s) for s in sets], "prefix": prefixes, "data": data,
+                    }
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text").mapInPandas(run, "doc_id long, row long, key long, n int, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text").mapInPandas(run, KEYED)
 
 
 def _ok(a: str, b: str, similarity: float) -> Column:
@@ -107,40 +133,63 @@ def _pairs(found: DataFrame, similarity: float) -> DataFrame:
     return ok.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, similarity: float, k: int) -> DataFrame:
+def _verified(pairs: DataFrame, keyed: DataFrame, similarity: float, k: int) -> DataFrame:
     """The pairs whose whole sets have a Jaccard of at least ``similarity``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
         for pdf in batches:
-            for part, sets in _parts(pdf, k):
+            for at in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[at : at + AT_ONCE]
+                sets = shingle_sets([press.decompress(d).decode() for d in part["data"]], k)
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "set": [s.view(np.int64).tolist() for s in sets]})
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("at")
-    wanted = keyed.select("doc_id", "row", "key").join(wanted, "key").groupBy("key").agg(place).select("key", F.col("at.doc_id").alias("_id"), F.col("at.row").alias("_row"))
-    texts = docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))).select("key", "text")
-    # rows alike in every column give one set more than once
-    sets = stage(texts.mapInPandas(run, "key long, set array<long>").dropDuplicates(["key"]), "shinglesets")
+    pairs = stage(pairs, "shinglepairs")
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "shinglewanted")
+    # more than one task may have given a set
+    texts = keyed.where("data is not null").select("key", "data").join(wanted, "key").groupBy("key").agg(F.any_value("data").alias("data"))
+    sets = stage(texts.mapInPandas(run, "key long, set array<long>"), "shinglesets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= (F.size("sa") + F.size("sb") - shared) * F.lit(similarity) - F.lit(1e-9)).select("a", "b")
+    made = stage(both.where(shared >= (F.size("sa") + F.size("sb") - shared) * F.lit(similarity) - F.lit(1e-9)).select("a", "b"), "shinglelinks")
+    drop_stage(pairs, wanted, sets)
+    return made
+
 
+def close_pairs(keyed: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of sets whose fingerprints are equal or linked by ``near_links``: each set with the smallest
+    of its fingerprint, and those with each other."""
+    sets = keyed.select("fp", "key").distinct()
+    prints = stage(sets.groupBy("fp").agg(F.min("key").alias("first")), "shingleprints")
+    near = stage(near_links(prints), "shinglenear")
+    side = lambda s: prints.select(F.col("fp").alias(s), F.col("first").alias(f"{s}_key"))
+    pairs = sets.join(prints, "fp").select(F.col("first").alias("x"), F.col("key").alias("y")).unionByName(near.join(side("a"), "a").join(side("b"), "b").select(F.col("a_key").alias("x"), F.col("b_key").alias("y")))
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-def similar_texts(docs: DataFrame, keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = 2, rounds: int = ROUNDS) -> DataFrame:
+
+def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """(key, root) of the sets that are similar to another: root is the smallest key of its component.
 
     While more than ``most`` pairs a post are open, a round links neighbours only, ``rounds`` times at most; then all open pairs
     are taken.
     """
     by = Window.partitionBy("t")
-    posts = keyed.where("prefix is not null").select("key", "n", F.posexplode("prefix").alias("pos", "t")).repartition("t").dropDuplicates(["t", "key"])
-    posts = stage(posts.withColumn("_of", F.count("*").over(by)).where("_of > 1").drop("_of"), "shingleposts")
     me = F.struct("key", "n", "pos", "root")
-    edges, roots = None, None
+    edges = _verified(close_pairs(keyed), keyed, similarity, k)
+    roots = stage(components(edges).select(F.col("node").alias("key"), "root"), "shingleroots")
+    live = None
     for turn in range(rounds + 1):
-        live = posts.withColumn("root", F.col("key")) if roots is None else posts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        live = live.withColumn("_l", F.min("root").over(by)).withColumn("_h", F.max("root").over(by)).where("_l <> _h").drop("_l", "_h")
-        live = live if roots is None else stage(live, "shinglelive")
+        if live is None:
+            posts = keyed.where("prefix is not null").select("key", "n", "prefix").join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), F.posexplode("prefix").alias("pos", "t"))
+            posts = posts.repartition("t").dropDuplicates(["t", "key"])
+        else:
+            posts = live.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        # shingles that different components share
+        old, live = live, stage(posts.withColumn("_l", F.min("root").over(by)).withColumn("_h", F.max("root").over(by)).where("_l <> _h").drop("_l", "_h"), "shinglelive")
+        if old is not None:
+            drop_stage(old)
         sizes = live.groupBy("t", "root").agg(F.count("*").cast("double").alias("m"))
         open_ = sizes.groupBy("t").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p"), F.sum("m").alias("m"))
         total = open_.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
@@ -156,19 +205,26 @@ def similar_texts(docs: DataFrame, keyed: DataFrame, similarity: float = SIMILAR
             order = by.orderBy(*([F.xxhash64("root", F.lit(turn))] if turn else []), "n", "key")
             near = live.select(me.alias("x"), F.array(F.lag(me).over(order), F.first(me).over(order)).alias("ys"))
             found = near.select("x", F.explode("ys").alias("y")).where("y is not null and y.root <> x.root")
-        new = _verified(stage(_pairs(found, similarity), "shinglepairs"), docs, keyed, similarity, k)
-        edges = stage(new if edges is None else edges.unionByName(new), "shinglelinks")
-        roots = components(edges).select(F.col("node").alias("key"), "root")
+        new = _verified(_pairs(found, similarity), keyed, similarity, k)
+        both = stage(edges.unionByName(new), "shinglelinks")
+        drop_stage(edges, new, roots)
+        edges = both
+        roots = stage(components(edges).select(F.col("node").alias("key"), "root"), "shingleroots")
         if last:
             break
-    return roots if roots is not None else keyed.select("key", F.col("key").alias("root")).limit(0)
+    drop_stage(live, edges)
+    return roots
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, **options) -> DataFrame:
     """One row of ``docs`` for each component of similar texts: that of the smallest doc_id (nulls last; equal doc_ids: the
-    smaller row hash).  Null and wordless texts have the empty set, so they are one class.  All columns are kept."""
-    rows = docs.select("doc_id", "text", F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row"))
+    smaller row hash).  Null and wordless texts have the empty set, so they are one class.  All columns are kept, whatever
+    their names; rows alike in every column are one; an empty table stays empty."""
+    rows = docs.select("doc_id", F.col("text").alias("text"), row_hash(docs).alias("row"))
     keyed = stage(keyed_texts(rows, similarity, k), "shingles")
-    roots = similar_texts(rows, keyed, similarity, k, **options)
-    prints = keyed.select("doc_id", "row", "key").join(roots, "key", "left").select("doc_id", "row", F.coalesce("root", "key").alias("root"))
-    return first_rows(docs, stage(prints, "shingleroots"))
+    roots = similar_texts(keyed, similarity, k, **options)
+    # copies have one key and one fingerprint
+    root = F.struct(F.coalesce("root", "key").alias("root"), F.when(F.col("root").isNull(), F.col("fp")).alias("fp"))
+    prints = stage(keyed.select("doc_id", "row", "key", "fp").join(roots, "key", "left").select("doc_id", "row", root.alias("root")), "shinglerooted")
+    drop_stage(keyed, roots)
+    return first_rows(docs, prints)
