@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 #: Pixels a row; also what payloads are padded to a multiple of.
 WIDTH = 192
@@ -108,19 +108,35 @@ def read_png(data: bytes) -> np.ndarray:
     return unfilter(np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, w + 1))
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=256)
 def _basis(n: int, k: int) -> np.ndarray:
     """First k rows of the cosine transform over n samples."""
     f, x = np.arange(k)[:, None], np.arange(n)[None, :]
     return np.cos(np.pi * f * (2 * x + 1) / (2 * n)) / n
 
 
-def cosine_hash(pixels: np.ndarray, k: int = 8) -> str:
-    """k*k bits as hex: which of the lowest frequencies but the mean are above their median, in row order."""
+def low_frequencies(pixels: np.ndarray, k: int = 8) -> np.ndarray:
+    """The k*k lowest coefficients of the two-way cosine transform: k by k, or all rows of a picture of fewer than k rows by
+    as many columns as make k*k (a row of pixels has no more than one frequency downwards)."""
     h, w = pixels.shape
-    low = (_basis(h, k + 1) @ pixels.astype(np.float64) @ _basis(w, k + 1).T).ravel()[1 : k * k + 1]
-    low = np.round(low, 6)
-    bits = low > np.median(low)
+    down = min(h, k)
+    across = min(w, -(-k * k // down))
+    right = _basis(w, across).T
+    if h <= 4096:
+        return _basis(h, down) @ (pixels.astype(np.float64) @ right)
+    out = np.zeros((down, across))  # a tall picture goes by bands, so that memory stays bounded
+    f = np.arange(down)[:, None]
+    for at in range(0, h, 4096):
+        part = pixels[at : at + 4096].astype(np.float64) @ right
+        out += np.cos(np.pi * f * (2 * np.arange(at, at + len(part))[None, :] + 1) / (2 * h)) / h @ part
+    return out
+
+
+def cosine_hash(pixels: np.ndarray, k: int = 8) -> str:
+    """k*k bits as hex, in row order: which of the ``low_frequencies`` are above the median of all but the mean; the mean's own bit is 0."""
+    low = np.round(low_frequencies(pixels, k).ravel()[: k * k], 6)
+    bits = low > np.median(low[1:])
+    bits[0] = False
     return np.packbits(bits).tobytes().hex()
 
 
@@ -159,7 +175,8 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
-    read = read_media(write_media(table(spark, sf_dir, "documents")))
+    """Lengths, digests and features of all documents, from the PNG column as it is read back from its table."""
+    read = read_media(stage(write_media(table(spark, sf_dir, "documents")), "media", "none"))
     return read.select(
         "doc_id",
         "n_bytes",
