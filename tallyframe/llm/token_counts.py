@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 from .pieces import WHITE, Chunks, load_tokenizer, once, safe, tokenizer_path
 
 LIMIT = 1024
@@ -147,7 +147,31 @@ class PrefixCounter:
         return np.concatenate(parts)
 
 
-def _run(path: str, limit: int, keep: bool):
+def pack_counts(counts: np.ndarray) -> bytes:
+    """The counts of the prefixes of 0, 1, 2 ... characters as what each character adds (i2, or i4 for a long special string), compressed."""
+    import zstandard
+
+    steps = np.diff(counts)
+    kind = "<i2" if not len(steps) or np.abs(steps).max() < 1 << 15 else "<i4"
+    return kind[1:].encode() + zstandard.ZstdCompressor(level=1).compress(steps.astype(kind).tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    """Token counts of the prefixes of 0, 1, 2 ... characters."""
+    import zstandard
+
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), "<" + data[:2].decode())
+    out = np.zeros(len(steps) + 1, np.int64)
+    np.cumsum(steps, out=out[1:])
+    return out
+
+
+def cut_within(counts: np.ndarray, limit: int) -> int:
+    """Characters of the longest prefix of at most ``limit`` tokens (counts may fall, so the last one that fits)."""
+    return len(counts) - 1 if counts[-1] <= limit else int(np.flatnonzero(counts <= limit)[-1])
+
+
+def _run(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = once(PrefixCounter, path)
         for pdf in batches:
@@ -158,34 +182,42 @@ def _run(path: str, limit: int, keep: bool):
                 tables = [counter.prefix(t, get) for t in texts]
                 out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array})
                 out["n_bytes"] = [len(t.encode()) for t in texts]
-                out["n_tokens"] = [int(p[-1]) for p in tables]
-                # the longest prefix within the budget (counts may fall, so the last one that fits)
-                out["cut_chars"] = [len(p) - 1 if p[-1] <= limit else int(np.flatnonzero(p <= limit)[-1]) for p in tables]
-                if keep:
-                    out["prefix_counts"] = [p.astype("<u4").tobytes() for p in tables]
+                out["prefix_counts"] = [pack_counts(p) for p in tables]
                 yield out
 
     return run
 
 
-def prefix_tables(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, keep: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, cut_chars (characters of the longest prefix of at most ``limit`` tokens) and, if
-    ``keep``, prefix_counts: the token counts of the prefixes of 0, 1, 2 ... characters (little-endian u4).
+def prefix_tables(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, prefix_counts: the token counts of all prefixes of each text (see ``pack_counts``).
 
     Counts are those of the tokenizer without added begin or end tokens.  A null text counts as empty (0 tokens).
     Rows are independent: nulls and repeats in doc_id and other columns are harmless, an empty table stays empty.
     """
-    schema = "doc_id long, n_bytes long, n_tokens long, cut_chars long" + ", prefix_counts binary" * keep
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInPandas(_run(tokenizer or tokenizer_path(), limit, keep), schema)
+    return rows.mapInPandas(_run(tokenizer or tokenizer_path()), "doc_id long, n_bytes long, prefix_counts binary")
+
+
+def answers(tables: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, cut_chars (characters of the longest prefix of at most ``limit`` tokens), from ``prefix_tables``
+    alone, without encoding anything again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = map(unpack_counts, pdf["prefix_counts"])
+            found = [(int(c[-1]), cut_within(c, limit)) for c in counts]
+            yield pdf[["doc_id", "n_bytes"]].assign(n_tokens=[n for n, _ in found], cut_chars=[c for _, c in found])
+
+    return tables.select("doc_id", "n_bytes", "prefix_counts").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, cut_chars long")
 
 
 def count_within(prefix_counts: bytes, start: int, stop: int) -> int:
     """How many tokens the prefix of ``stop`` characters has more than that of ``start``."""
-    p = np.frombuffer(prefix_counts, "<u4")
+    p = unpack_counts(prefix_counts)
     return int(p[stop]) - int(p[start])
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
-    made = prefix_tables(table(spark, sf_dir, "documents"), keep=False)
-    return made.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "cut_chars")
+    """Token counts of all documents, answered from the prefix tables as they are read back from the shared folder."""
+    stored = stage(prefix_tables(table(spark, sf_dir, "documents")), "prefixes", "none")
+    return answers(stored).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "cut_chars")

@@ -294,14 +294,19 @@ def test_prefix_counts_are_those_of_the_tokenizer():
 
 def test_token_counts(spark, odd, none):
     enc = PieceEncoder(tokenizer_path()).tok
-    got = token_counts.prefix_tables(odd, limit=3).collect()
+    tables = token_counts.prefix_tables(odd)
+    got = token_counts.answers(tables, limit=3).collect()
     want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()), len(enc.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd.collect())
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
-    for r in got:
-        p = np.frombuffer(r["prefix_counts"], "<u4")
-        assert p[-1] == r["n_tokens"] and p[r["cut_chars"]] <= 3 and (r["cut_chars"] == len(p) - 1 or (p[r["cut_chars"] + 1 :] > 3).all())
-        assert token_counts.count_within(r["prefix_counts"], 0, len(p) - 1) == r["n_tokens"]
-    assert token_counts.prefix_tables(none).count() == 0
+    seen = collections.Counter()
+    for r in tables.collect():
+        p = token_counts.unpack_counts(r["prefix_counts"])
+        cut = token_counts.cut_within(p, 3)
+        assert p[cut] <= 3 and (cut == len(p) - 1 or (p[cut + 1 :] > 3).all())
+        assert token_counts.count_within(r["prefix_counts"], 0, len(p) - 1) == p[-1]
+        seen[r["doc_id"], int(p[-1]), cut] += 1
+    assert seen == collections.Counter((r["doc_id"], r["n_tokens"], r["cut_chars"]) for r in got)
+    assert token_counts.answers(token_counts.prefix_tables(none)).count() == 0
 
 
 # 7: SimHash
