@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stage, with_rank
+from .common import WORD, stage, table, with_rank
 
 #: Sources weigh 5, 2, 1, repeating, by code point.
 WEIGHT_CYCLE = (5, 2, 1)
@@ -72,19 +72,21 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE,
     level for as many of its leading words as are missing.  So a source's taken words equal its target
     rounded to a word, and no document exceeds ``ceil(max_epochs)`` times its size.
 
-    The seeded order is that of md5(seed:doc_id:bytes), then the text.  Its first 16 bits are the bin of a
+    The seeded order is that of md5(seed:doc_id:text).  Its first 16 bits are the bin of a
     histogram (at most 65,536 rows a source), which finds the bin that the level is in; only the documents
-    of that one bin are sorted.  Rows alike in every column are interchangeable.  Null sources are one
-    source, ordered last.  Documents without words take 0; empty input gives an empty result.
+    of that one bin are sorted.  Rows of one id and text are interchangeable.  Null sources are one
+    source, ordered last.  Documents without words take 0; empty input gives an empty result.  Columns of docs keep
+    their names, whatever they are, but for those that start with ``mix_``, which raise ValueError.
     ``weights(source, weight)`` replaces the 5, 2, 1 cycle; sources that it lacks get no words.
     """
-    own = [c for c in docs.columns if c.startswith("mix_")]
+    own = [c for c in docs.columns if c.lower().startswith("mix_")]
     if own:
         raise ValueError(f"columns {own} would be overwritten")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.octet_length("text"), F.lit(0)).cast("string")))
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
+    # the row travels as one column, so that no name of its own meets the names used here
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", key.alias("_key"), word_count(F.col("text")).alias("mix_size"))
     bins = stage(
-        sized.select("source", "mix_size", F.conv(F.substring(key, 1, 4), 16, 10).cast("int").alias("bin")).groupBy("source", "bin").agg(F.sum("mix_size").alias("n")), "bins"
+        sized.select("source", "mix_size", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int").alias("bin")).groupBy("source", "bin").agg(F.sum("mix_size").alias("n")), "bins"
     )
     sizes = bins.groupBy("source").agg(F.sum("n").alias("source_size"))
     if weights is None:
@@ -105,11 +107,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE,
         F.col("source").alias("_src"), "source_size", "target", "whole", "rest", F.coalesce("_level", F.lit(BINS)).alias("_level"), F.coalesce("before", F.lit(0)).alias("_before")
     )
     plan = stage(plan, "mixplan")
-    joined = sized.withColumn("_key", key).join(plan, F.col("source").eqNullSafe(F.col("_src")), "left")
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_src")), "left")
     joined = joined.withColumn("_bin", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"))
     on = joined.where(F.col("_bin") == F.col("_level"))
     off = joined.where(F.col("_bin") != F.col("_level"))
-    order = Window.partitionBy("_src").orderBy("_key", "text").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_src").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     on = on.withColumn("_gone", F.col("_before") + F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
     on = on.withColumn("mix_rest", F.greatest(F.lit(0).cast("long"), F.least(F.col("mix_size"), F.col("rest") - F.col("_gone")))).drop("_gone")
     off = off.withColumn("mix_rest", F.when(F.col("_bin") < F.col("_level"), F.col("mix_size")).otherwise(F.lit(0).cast("long")))
@@ -117,7 +119,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE,
     both = on.unionByName(off)
     taken = F.col("whole") * F.col("mix_size") + F.col("mix_rest")
     return both.select(
-        *[F.col(c) for c in docs.columns], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), "mix_rest", taken.alias("mix_taken")
+        "row.*", "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), "mix_rest", taken.alias("mix_taken")
     )
 
 
@@ -126,9 +128,10 @@ def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
     words, joined by one space."""
     whole = F.col("mix_whole") + F.when((F.col("mix_rest") == F.col("mix_size")) & (F.col("mix_rest") > 0), 1).otherwise(0)
     partial = (F.col("mix_rest") > 0) & (F.col("mix_rest") < F.col("mix_size"))
-    some = mixed.where((whole > 0) & (F.col("mix_size") > 0)).withColumn("_n", F.explode(F.sequence(F.lit(1), whole.cast("int"))))
+    out = [F.col(f"`{c}`") for c in columns]
+    some = mixed.where((whole > 0) & (F.col("mix_size") > 0)).select(*out, F.explode(F.sequence(F.lit(1), whole.cast("int"))).alias("mix_copy")).drop("mix_copy")
     cut = mixed.where(partial).withColumn("text", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("mix_rest").cast("int")), " "))
-    return some.select(*columns).unionByName(cut.select(*columns))
+    return some.unionByName(cut.select(*out))
 
 
 ORACLE = f"""
@@ -152,7 +155,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM f
 ), o AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, g.whole, CAST(round(g.target - g.whole * g.source_size) AS BIGINT) AS rest,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || CAST(coalesce(strlen(d.text), 0) AS VARCHAR)), d.text
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || coalesce(d.text, ''))
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
@@ -162,7 +165,5 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """Mix all documents; see ``mix``."""
-    from .common import table
-
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
