@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_sample, table
-from .html_blocks import DIM, Block, blocks, vectors
+from .html_blocks import DIM, blocks, vectors
 
 #: Pages whose texts the training pages are made of (so many characters of each at most), training pages, and the rest of the training.
 TRAIN_CHARS = 20_000
+#: Pages, and characters of them, that are parsed at once; a longer page goes alone.
+AT_ONCE, CHARS_AT_ONCE = 300, 4_000_000
 SAMPLE, PAGES, HIDDEN, EPOCHS, BATCH, RATE, SEED = 200, 900, 24, 10, 30, 0.01, 7
 
 #: Names under which sites keep what is, and what is not, the article.
@@ -152,17 +155,19 @@ class Labeller:
         at = np.where(at < lengths[:, None], lengths[:, None] - 1 - at, at)
         return x[np.arange(len(x))[:, None], at]
 
-    def _walk(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        n, size, _ = x.shape
-        pre, w, k = x @ self.p["x" + d] + self.p["c" + d], self.p["h" + d], self.h
-        h = c = np.zeros((n, k), np.float32)
-        out, kept = np.empty((n, size, k), np.float32), []
+    def _walk(self, pre: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states over pre(batch, time, gates), and with ``keep`` what training needs of each step."""
+        n, size, _ = pre.shape
+        w, k = self.p["h" + d], self.h
+        h = c = np.zeros((n, k), pre.dtype)
+        out, kept = np.empty((n, size, k), pre.dtype), []
         for t in range(size):
             z = pre[:, t] + h @ w
             i, f, o, g = _sigmoid(z[:, :k]), _sigmoid(z[:, k : 2 * k]), _sigmoid(z[:, 2 * k : 3 * k]), np.tanh(z[:, 3 * k :])
             new = f * c + i * g
             tanh = np.tanh(new)
-            kept.append((i, f, o, g, c, h, tanh))
+            if keep:
+                kept.append((i, f, o, g, c, h, tanh))
             c, h = new, o * tanh
             out[:, t] = h
         return out, kept
@@ -184,21 +189,20 @@ class Labeller:
         grads["h" + d], grads["c" + d] = dw, dz.sum((0, 1))
         grads["x" + d] = x.reshape(-1, x.shape[2]).T @ dz.reshape(-1, 4 * k)
 
-    def scores(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, tuple]:
-        back = self.flip(x, lengths)
-        hf, kf = self._walk(x, "f")
-        hb, kb = self._walk(back, "b")
+    def scores(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        hf, kf = self._walk(x @ self.p["xf"] + self.p["cf"], "f", keep)
+        hb, kb = self._walk(self.flip(x @ self.p["xb"] + self.p["cb"], lengths), "b", keep)
         hidden = np.concatenate([hf, self.flip(hb, lengths)], 2)
-        return hidden @ self.p["out"] + self.p["bias"], (x, back, hidden, kf, kb)
+        return hidden @ self.p["out"] + self.p["bias"], (hidden, kf, kb)
 
     def gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> dict:
-        z, (x, back, hidden, kf, kb) = self.scores(x, lengths)
+        z, (hidden, kf, kb) = self.scores(x, lengths, keep=True)
         mask = np.arange(x.shape[1]) < lengths[:, None]
         dz = ((_sigmoid(z) - y) * mask / mask.sum()).astype(np.float32)
         grads = {"out": np.einsum("nt,ntk->k", dz, hidden), "bias": dz.sum(keepdims=True).ravel()}
         up = dz[:, :, None] * self.p["out"]
         self._unwalk(x, "f", kf, up[:, :, : self.h], grads)
-        self._unwalk(back, "b", kb, self.flip(up[:, :, self.h :], lengths), grads)
+        self._unwalk(self.flip(x, lengths), "b", kb, self.flip(up[:, :, self.h :], lengths), grads)
         return grads
 
     def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Labeller:
@@ -251,7 +255,7 @@ def training_set(texts: list[str], pages: int = PAGES, seed: int = SEED) -> tupl
     for _ in range(pages):
         found = blocks(training_page(rng, texts))
         y = np.array([_MARK_MAIN in b.text for b in found], np.float32)
-        clean = [Block(b.text.replace(_MARK_MAIN, "").replace(_MARK_REST, "").strip() or "-", b.path, b.linked) for b in found]
+        clean = [replace(b, text=b.text.replace(_MARK_MAIN, "").replace(_MARK_REST, "").strip() or "-") for b in found]
         if clean:
             xs.append(vectors(clean))
             ys.append(y)
@@ -260,12 +264,27 @@ def training_set(texts: list[str], pages: int = PAGES, seed: int = SEED) -> tupl
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Labeller trained on ``PAGES`` laid-out pages, with texts from the first
-    ``TRAIN_CHARS`` characters of ``sample`` of the given ones (least hash first)."""
+    ``TRAIN_CHARS`` characters of ``sample`` of the given ones (least hash first).
+
+    Null pages are left out; a table without text gives a labeller trained on stock words.
+    """
     rows = hash_sample(pages.select("page_id", "html").where("html is not null"), ["page_id", "html"], sample).select(F.substring("html", 1, TRAIN_CHARS).alias("html"))
     texts = [b.text for r in rows.collect() for b in blocks(r["html"])] or ["some plain words of text"]
     return Labeller().fit(*training_set(texts))
 
 
+def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    size = start = 0
+    for i, h in enumerate(pdf["html"]):
+        n = len(h or "")
+        if i > start and (i - start == AT_ONCE or size + n > CHARS_AT_ONCE):
+            yield pdf.iloc[start:i]
+            size, start = 0, i
+        size += n
+    if start < len(pdf):
+        yield pdf.iloc[start:]
+
+
 def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """page_id, url, text and n_blocks (of the page) of every row of ``pages(page_id, url, html)``.
 
@@ -279,8 +298,7 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
         model = Labeller()
         model.p = shared.value
         for pdf in batches:
-            for at in range(0, len(pdf), 300):
-                part = pdf.iloc[at : at + 300]
+            for part in _parts(pdf):
                 found = [blocks(h) for h in part["html"]]
                 main = model.predict([vectors(f) for f in found])
                 text = ["\n\n".join(b.text for b, m in zip(f, y, strict=True) if m) for f, y in zip(found, main, strict=True)]
@@ -291,6 +309,7 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
 
 
 def op4_html_extract(spark, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars and n_blocks of all pages, by a labeller trained in the query."""
     pages = table(spark, sf_dir, "pages")
     made = extract(pages, train(pages))
     return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
