@@ -1,8 +1,8 @@
 """Byte-level BPE by cached chunks: exact, and several times faster than encoding whole texts.
 
 A byte-level BPE first cuts a text into pieces by a fixed pattern and merges inside pieces only.  Cutting a
-text at a space that has no white space beside it is always such a boundary, so a text's ids are those of its
-space-led chunks in a row.  Chunks repeat; each worker keeps what it made of the ones it met, in two
+text at a space that has no white space beside it is always such a boundary, and so are both sides of a line feed
+between other characters; so a text's ids are those of its chunks in a row.  Chunks repeat; each worker keeps what it made of the ones it met, in two
 generations of bounded size.
 """
 
@@ -40,8 +40,8 @@ def safe(chunk: str) -> bool:
 class Chunks:
     """chunk -> bytes made of it.  ``make`` takes the list of new chunks of a batch; None marks an unsafe one."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = CACHE):
-        self.make, self.limit = make, limit
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = CACHE, safe: Callable[[str], bool] = safe):
+        self.make, self.limit, self.safe = make, limit, safe
         self.now: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -53,7 +53,7 @@ class Chunks:
         for c in set(chunks).difference(self.now):
             if (v := self.old.get(c)) is not None:
                 self.now[c] = v
-            elif safe(c):
+            elif self.safe(c):
                 good.append(c)
             else:
                 self.now[c] = None
@@ -62,19 +62,40 @@ class Chunks:
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each new chunk once."""
+    """Ids of whole texts by the tokenizers library, which sees each new chunk once.
+
+    A line feed between other characters is a piece of its own, so chunks are led by a space or a line feed.  New chunks
+    are encoded as one text; each starts at its only token that begins with a space or a line feed.
+    """
 
     #: Characters of text whose chunks are learned at once.
-    GROUP = 2_000_000
+    GROUP = 4_000_000
 
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache = Chunks(lambda cs: self._batch([" " + c for c in cs]))
+        self.leads = np.zeros(self.tok.get_vocab_size(), bool)
+        # fixed values: the letters of the bytes 32 and 10 in byte-level vocabularies
+        self.leads[[i for t, i in self.tok.get_vocab().items() if t[0] in "\u0120\u010a"]] = True
+        self.cache = Chunks(self._learn, safe=lambda c: safe(c[1:] if c[:1] == "\n" else c))
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        led = [c if c[0] == "\n" else " " + c for c in chunks]
+        out: list[bytes] = []
+        for at in range(0, len(led), 20_000):
+            part = led[at : at + 20_000]
+            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) != len(part) or starts[0]:  # not a vocabulary of this family
+                out += self._batch(part)
+                continue
+            data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            out += [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
@@ -86,20 +107,39 @@ class PieceEncoder:
             if n >= self.GROUP:
                 out += self._group(group)
                 group, n = [], 0
-        return out + self._group(group)
+        return out + (self._group(group) if group else [])
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        heads = self._batch([c[0] if c else "" for c in cut])
-        get = self.cache.learn(x for c in cut if c for x in c[1:])
+        """Chunks are cut and numbered by Arrow, so that a chunk is looked up once, and put together by numpy."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = [any(s in t for s in self.special) for t in texts]
+        parts = pc.split_pattern(pa.array(["" if w else t.replace("\n", " \n") for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        bounds = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        known, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        heads = parts.values.take(pa.array(bounds[:-1])).to_pylist()
+        first = self._batch(["" if h and not safe(h) else h for h in heads])
+        get = self.cache.learn(known)
+        made = [get(c) for c in known]
+        unsafe = np.array([m is None for m in made], bool)
+        sizes = np.array([0 if m is None else len(m) // 4 for m in made], np.int64)
+        flat = np.frombuffer(b"".join(m for m in made if m), "<u4")
+        at = np.cumsum(sizes) - sizes
+        which = np.delete(which, bounds[:-1]) if len(texts) else which  # without the heads
+        bounds = bounds - np.arange(len(bounds))
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - (ends - n), n)].tobytes()
+        ends = np.concatenate([[0], ends])[bounds] * 4
+        bad = np.concatenate([[0], np.cumsum(unsafe[which])])[bounds]
         out = []
-        for t, c, head in zip(texts, cut, heads, strict=True):
-            try:
-                if c is None or c[0] and not safe(c[0]):
-                    raise TypeError
-                out.append(head + b"".join(map(get, c[1:])))
-            except TypeError:  # a chunk beside other white space, or a special string
+        for k, (t, head, a, b) in enumerate(zip(texts, heads, ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if whole[k] or bad[k] != bad[k + 1] or head and not safe(head):  # a chunk beside other white space, or a special string
                 out += self._batch([t])
+            else:
+                out.append(first[k] + ids[a:b])
         return out
 
 

@@ -13,7 +13,6 @@ then for each block u4 its ids and u4 crc32 of these, and for each of its planes
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import stage_path, table
 from .pieces import PieceEncoder, once, tokenizer_path
 
 MAGIC, BLOCK, SEGMENT, END_ID = b"TFPL", 16_384, 65_536, 2
@@ -107,8 +106,8 @@ def _segments(path: str, end_id: int, kind: str):
         for pdf in batches:
             names = [None if null else int(i) for i, null in zip(pdf["doc_id"].fillna(0), pdf["doc_id"].isna(), strict=True)]
             texts = [t or "" for t in pdf["text"]]
-            for at in range(0, len(texts), 512):
-                for name, ids in zip(names[at : at + 512], enc.encode(texts[at : at + 512]), strict=True):
+            for at in range(0, len(texts), 2048):
+                for name, ids in zip(names[at : at + 2048], enc.encode(texts[at : at + 2048]), strict=True):
                     held.append((name, ids + end))
                     n += len(ids) // 4 + 1
                     if n >= SEGMENT:
@@ -164,7 +163,7 @@ def read_ids(spark, path: str) -> DataFrame:
 
 def token_output(spark, docs: DataFrame, **options) -> DataFrame:
     """Write ``docs`` to a fresh folder in the shared place and read it back; see ``write_ids`` and ``read_ids``."""
-    path = f"{shared_dir(spark)}/planes-{uuid.uuid4().hex}"
+    path = stage_path(spark, "planes")
     write_ids(docs, path, **options)
     return read_ids(spark, path)
 
@@ -174,4 +173,5 @@ def digest(read: DataFrame) -> DataFrame:
 
 
 def op1_bit_planes(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of all documents, from the segments as they are read back."""
     return digest(token_output(spark, table(spark, sf_dir, "documents")))
