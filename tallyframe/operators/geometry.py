@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,29 +19,57 @@ def iou(a: str, b: str) -> Column:
     return inter / (area(a) + area(b) - inter)
 
 
+#: Boxes that ``nms`` compares with the kept ones at once.
+NMS_ROWS = 2048
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray, overlap: float) -> np.ndarray:
+    """Whether each box of a has an overlap above ``overlap`` with each of b."""
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    wide = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+    high = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+    inter = np.maximum(wide, 0) * np.maximum(high, 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return inter / (area(a)[:, None] + area(b)[None, :] - inter) > overlap
+
+
 def nms(dets: DataFrame, keys: list[str], overlap: float = 0.3, id_col: str = "det_id") -> DataFrame:
     """Rows kept by greedy suppression within each key: best score first (ties: smaller id), a box goes if its overlap with a
-    kept one is above ``overlap``."""
-    def kept(x1, y1, x2, y2) -> list[int]:
-        area, alive, out = (x2 - x1) * (y2 - y1), np.ones(len(x1), bool), []
-        for i in range(len(x1)):
-            if not alive[i]:
-                continue
-            out.append(i)
-            inter = np.maximum(np.minimum(x2[i], x2) - np.maximum(x1[i], x1), 0) * np.maximum(np.minimum(y2[i], y2) - np.maximum(y1[i], y1), 0)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                alive &= ~(inter / (area[i] + area - inter) > overlap)
-        return out
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", id_col], ascending=[False, True], ignore_index=True)
-        boxes = pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float)
-        rows = [at[kept(*boxes[at].T)] for at in pdf.groupby(keys, dropna=False).indices.values()]
-        return pdf.iloc[np.sort(np.concatenate(rows))].drop(columns="_bucket")
-
-    # many small groups a call; a group is whole in its bucket
-    spread = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 16
-    return dets.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(spread))).groupBy("_bucket").applyInPandas(keep, dets.schema)
+    kept one is above ``overlap``.
+
+    A task reads its rows in order of key and score, a batch at a time, and holds only the boxes kept of the present key.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, kept = None, np.empty((0, 4))
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            names = [tuple(None if pd.isna(x) else x for x in row) for row in pdf[keys].itertuples(index=False)]
+            boxes = pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float)
+            out, start = [], 0
+            while start < len(pdf):
+                if names[start] != here:
+                    here, kept = names[start], np.empty((0, 4))
+                stop = start + 1
+                while stop < len(pdf) and stop - start < NMS_ROWS and names[stop] == here:
+                    stop += 1
+                part = boxes[start:stop]
+                alive = np.ones(len(part), bool)
+                for at in range(0, len(kept), NMS_ROWS):
+                    alive &= ~_overlaps(part, kept[at : at + NMS_ROWS], overlap).any(1)
+                some = np.flatnonzero(alive)
+                clash = _overlaps(part[some], part[some], overlap)
+                free = np.ones(len(some), bool)
+                for i in range(len(some)):
+                    if free[i]:
+                        free[i + 1 :] &= ~clash[i, i + 1 :]
+                out += (start + some[free]).tolist()
+                kept = np.concatenate([kept, part[some[free]]])
+                start = stop
+            yield pdf.iloc[out]
+
+    ordered = dets.repartition(*keys).sortWithinPartitions(*keys, F.col("score").desc(), id_col)
+    return ordered.mapInPandas(run, dets.schema)
 
 
 def best_windows(dets: DataFrame, cls: str = "cls", score: str = "score") -> DataFrame:

@@ -118,8 +118,11 @@ def topk_per_feature(df: DataFrame, k: float, vec: str = "vec", key: str = "id")
     """
     long = df.select(key, F.posexplode(vec).alias("pos", "x"))
     n = int(k) if k >= 1 else max(1, int(df.count() * k))
-    top = long.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy(F.col("x").desc(), key))).where(F.col("r") <= max(1, n)).select(key, "pos", F.lit(True).alias("kept"))
-    return long.join(top, [key, "pos"], "left").select(key, "pos", F.when(F.col("kept"), F.col("x")).otherwise(0.0).alias("value"))
+    top = long.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy(F.col("x").desc(), key))).where(F.col("r") <= max(1, n))
+    # back to a row a vector before the join, so that it is not of all elements
+    kept = top.groupBy(F.col(key).alias("_key")).agg(F.collect_set("pos").alias("_kept"))
+    cells = df.select(key, F.col(vec).alias("_v")).join(kept, F.col(key) == F.col("_key"), "left").select(key, F.col("_kept"), F.posexplode("_v").alias("pos", "x"))
+    return cells.select(key, "pos", F.when(F.array_contains("_kept", F.col("pos")), F.col("x")).otherwise(0.0).alias("value"))
 
 
 def best_iteration(metrics: DataFrame, kind: str = "max", value: str = "value", order: str = "iteration") -> DataFrame:

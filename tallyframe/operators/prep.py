@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .sampling import place_in, with_index
 
 
 def select_labels(df: DataFrame, names: list[str], missing: int = -1) -> DataFrame:
@@ -16,13 +17,13 @@ def select_labels(df: DataFrame, names: list[str], missing: int = -1) -> DataFra
 def vocabulary(df: DataFrame, col: str, order_col: str, vocab: DataFrame | None = None) -> DataFrame:
     """value, code in order of first appearance; values of ``vocab`` keep their codes, new ones follow.
 
-    The ordering is over distinct values, after a map-side minimum.
+    The ordering is over distinct values, after a map-side minimum, by range parts.
     """
     first = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.min(order_col).alias("_at"))
     if vocab is None:
-        return first.select("value", (F.row_number().over(Window.orderBy("_at", "value")) - 1).cast("int").alias("code"))
+        return with_index(first, ["_at", "value"], "code").select("value", F.col("code").cast("int").alias("code"))
     start = vocab.agg(F.coalesce(F.max("code") + 1, F.lit(0)).alias("start"))
-    new = first.join(vocab, "value", "left_anti").withColumn("i", F.row_number().over(Window.orderBy("_at", "value")) - 1)
+    new = with_index(first.join(vocab, "value", "left_anti"), ["_at", "value"], "i")
     return vocab.select("value", "code").unionByName(new.join(F.broadcast(start)).select("value", (F.col("i") + F.col("start")).cast("int").alias("code")))
 
 
@@ -65,7 +66,8 @@ def choose_layout_type(df: DataFrame, gl_map: DataFrame, meta_map: DataFrame) ->
 
 
 def group_number(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
-    return df.withColumn("group_no", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / n).cast("int"))
+    """Adds group_no: the n first rows of a key in order are 0, the next n are 1 ..."""
+    return place_in(df, key, order, "_place").withColumn("group_no", F.floor(F.col("_place") / n).cast("int")).drop("_place")
 
 
 def filter_by_selector(df: DataFrame, selector: str) -> DataFrame:
@@ -89,9 +91,14 @@ def guess_encoding(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(c, r"(\.[^.]*)$", 1))
 
 
-def target_size(df: DataFrame, spec: str, h: str = "height", w: str = "width", ar_bin: float | None = None) -> DataFrame:
-    """Adds new_h, new_w by a size spec: HxW, Nl (long side), Ns (short side), Na (area N * N; aspect ratio in steps of
-    ``ar_bin``), N (square)."""
+def target_size(df: DataFrame, spec: str, h: str = "height", w: str = "width", truncate: float = 2.0, ar_bin: int = 32, ar_bin2: float = 0.15) -> DataFrame:
+    """Adds new_h, new_w by a size spec, sizes cut to whole numbers:
+
+    ``HxW`` and ``N`` (square): as they say.  ``Nl``: the long side becomes N, the short one keeps the ratio but is N / ``truncate``
+    at least, and goes to the nearest multiple of ``ar_bin`` away from N (halves away from 0 steps up).  ``Ns``: the short side
+    becomes N, the long one N * ``truncate`` at most.  ``Na``: the ratio of height to width, held within ``truncate``, goes to the
+    nearest step of ``ar_bin2`` from 1 / ``truncate`` up, and the size is the widest one before the area passes N * N.
+    """
     hh, ww = F.col(h).cast("double"), F.col(w).cast("double")
     if "x" in spec:
         a, b = spec.split("x")
@@ -100,12 +107,32 @@ def target_size(df: DataFrame, spec: str, h: str = "height", w: str = "width", a
     if kind == "":
         return df.withColumns({"new_h": F.lit(n), "new_w": F.lit(n)})
     if kind == "a":
-        ratio = ww / hh
-        if ar_bin:
-            ratio = F.greatest(F.round(ratio / ar_bin) * ar_bin, F.lit(float(ar_bin)))
-        return df.withColumns({"new_h": F.round(F.sqrt(F.lit(float(n * n)) / ratio)).cast("int"), "new_w": F.round(F.sqrt(F.lit(float(n * n)) * ratio)).cast("int")})
-    side = F.greatest(hh, ww) if kind == "l" else F.least(hh, ww)
-    return df.withColumns({"new_h": F.greatest(F.round(hh * n / side), F.lit(1.0)).cast("int"), "new_w": F.greatest(F.round(ww * n / side), F.lit(1.0)).cast("int")})
+        return _under_area(df, hh / ww, float(n * n), truncate, ar_bin2)
+    long, short = F.greatest(hh, ww), F.least(hh, ww)
+    other = F.greatest(short * n / long, F.lit(n / truncate)) if kind == "l" else F.least(long * n / short, F.lit(n * truncate))
+    whole = F.floor(other).cast("int")
+    off = F.pmod(whole - n, F.lit(ar_bin))
+    other = whole + F.when(off >= ar_bin // 2, ar_bin - off).otherwise(-off)
+    tall = hh == (long if kind == "l" else short)
+    return df.withColumns({"new_h": F.when(tall, n).otherwise(other).cast("int"), "new_w": F.when(tall, other).otherwise(n).cast("int")})
+
+
+def _under_area(df: DataFrame, ratio: Column, area: float, truncate: float, step: float) -> DataFrame:
+    low = 1.0 / truncate
+    held = F.least(F.greatest(ratio, F.lit(low)), F.lit(float(truncate)))
+    # steps are added one by one, as rounding of sums differs from that of products
+    grid = [low]
+    while grid[-1] < truncate:
+        grid.append(grid[-1] + step)
+    up = F.get(F.filter(F.array(*map(F.lit, grid)), lambda g: g >= F.col("_held")), F.lit(0))
+    rows = df.withColumn("_held", held).withColumn("_up", up)
+    rows = rows.withColumn("_ratio", F.when(F.col("_up") - F.col("_held") > step / 2, F.col("_up") - step).otherwise(F.col("_up")))
+    # the first width whose area is reached lies between these two
+    r = F.col("_ratio")
+    span = F.sequence(F.ceil(F.sqrt(F.lit(area) / r)).cast("int") - 1, F.ceil((1 + F.sqrt(1 + 4 * r * F.lit(area))) / (2 * r)).cast("int") + 1)
+    wide = F.get(F.filter(span, lambda x: F.floor(F.col("_ratio") * x) * x >= area), F.lit(0)) - 1
+    rows = rows.withColumn("new_w", wide)
+    return rows.withColumn("new_h", F.floor(F.col("_ratio") * F.col("new_w")).cast("int")).drop("_held", "_up", "_ratio")
 
 
 def rejects(parts: Iterator[DataFrame]) -> DataFrame | None:

@@ -8,8 +8,6 @@ from pyspark.sql.window import Window
 
 from ..sources.stages import stage
 
-#: Sources that ``mix_sources`` takes at most: their table of cumulative weights is sent to every task.
-MOST_SOURCES = 100_000
 #: A draw is a linear congruential step of the key, which any SQL engine can repeat; fixed values.
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
 #: Places that one draw reaches, and what keys are multiplied by for the second one.
@@ -37,14 +35,31 @@ def draw(key: Column | str, seed: int, below: Column | int | None = None) -> Col
     return F.when(below <= F.lit(DRAWN), F.floor(d / 64) % below).otherwise(wide % below)
 
 
-def with_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
+def with_index(df: DataFrame, order: list, name: str = "idx", sums: dict[str, str] | None = None) -> DataFrame:
     """0-based position in a global order, without a single-task window: range parts are numbered and written once, and the
-    counts of the parts before (a row a part) are added.  Bounds are sampled, so the parts may not be computed twice."""
+    counts of the parts before (a row a part) are added.  Bounds are sampled, so the parts may not be computed twice.
+
+    ``sums`` adds running sums of columns over the rows before, in the same way: new name -> column.
+    """
+    sums = sums or {}
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
     local = stage(parts.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")), "index")
-    counts = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
+    counts = local.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    before = counts.select("_part", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_before") for c in ("_n", *[f"_sum_{n}" for n in sums])])
+    inside = Window.partitionBy("_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = local.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}) if sums else local
+    rows = rows.join(F.broadcast(before), "_part").withColumns({name: F.col("_n_before") + F.col("_i")} | {n: F.col(n) + F.col(f"_sum_{n}_before") for n in sums})
+    return rows.drop("_part", "_i", "_n_before", *[f"_sum_{n}_before" for n in sums])
+
+
+def place_in(df: DataFrame, group: str, order: list, name: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """0-based position (and running sums) of each row within its group: the global ones less those of the group's first row,
+    so that a large group is more than one task's work."""
+    rows = with_index(df, [group, *order], name, sums)
+    first = rows.groupBy(F.col(group).alias("_group")).agg(*[F.min(c).alias(f"_first_{c}") for c in (name, *(sums or {}))])
+    made = rows.join(first, F.col(group).eqNullSafe(F.col("_group")))
+    return made.withColumns({c: F.col(c) - F.col(f"_first_{c}") for c in (name, *(sums or {}))}).drop("_group", *[f"_first_{c}" for c in (name, *(sums or {}))])
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -66,17 +81,14 @@ def rand_skip(df: DataFrame, n: int, order: str, seed: int = 0) -> DataFrame:
 def thin(df: DataFrame, key: str, max_gap: int, seed: int = 0, by: str | None = None) -> DataFrame:
     """A row, then again after a drawn gap of 1 .. ``max_gap`` rows: those where the running sum of gaps passes their place.
 
-    The place is that within each group of ``by``; without ``by`` it raises ValueError, as the global form is not built.
+    The place is that in the whole table, or within each group of ``by``.
     """
-    gap = draw(key, seed, max_gap) + 1
+    rows = df.withColumn("_gap", draw(key, seed, max_gap) + 1)
+    rows = with_index(rows, [key], "_place", {"_at": "_gap"}) if by is None else place_in(rows, by, [key], "_place", {"_at": "_gap"})
     if by is None:
-        raise ValueError("thin needs groups; use split() to thin a whole table")
-    w = Window.partitionBy(by).orderBy(key)
-    place = F.row_number().over(w) - 1
-    rows = df.withColumn("_place", place).withColumn("_gap", gap)
-    starts = F.coalesce(F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    picks = rows.select(F.col(by).alias("_by"), starts.alias("_at")).where("_at >= 0")
-    return rows.join(picks, (F.col(by) == F.col("_by")) & (F.col("_place") == F.col("_at")), "left_semi").drop("_place", "_gap")
+        return rows.join(rows.select(F.col("_at").alias("_pick")), F.col("_place") == F.col("_pick"), "left_semi").drop("_place", "_gap", "_at")
+    picks = rows.select(F.col(by).alias("_by"), F.col("_at").alias("_pick"))
+    return rows.join(picks, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_place") == F.col("_pick")), "left_semi").drop("_place", "_gap", "_at")
 
 
 def split(df: DataFrame, key: str, frac: float, seed: int = 0) -> DataFrame:
@@ -96,32 +108,42 @@ def make_pairs(df: DataFrame, n: int, key: str, label: str = "label", vec: str |
     return made.select(*out, *([f"a_{vec}", f"b_{vec}"] if vec else []))
 
 
-def assign_batches(df: DataFrame, batch_size: int, order: str, source: str) -> DataFrame:
-    """Adds idx (order of arrival in the source), batch and slot."""
-    idx = F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1
-    return df.withColumn("idx", idx).withColumn("batch", F.floor(F.col("idx") / batch_size).cast("int")).withColumn("slot", F.col("idx") % batch_size)
+def assign_batches(df: DataFrame, batch_size: int, order: str, source: str, epochs: int = 1, no_wrap: bool = False) -> DataFrame:
+    """Adds epoch, idx (order of arrival in the source, over all epochs), batch and slot.
+
+    A source is read ``epochs`` times.  A batch that meets the end goes on with the first rows, or with ``no_wrap`` is cut
+    off there, and the next epoch starts a batch of its own.
+    """
+    rows = place_in(df, source, [order], "_place")
+    size = rows.groupBy(F.col(source).alias("_s")).agg(F.count("*").alias("_size"))
+    rows = rows.join(size, F.col(source).eqNullSafe(F.col("_s"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    rows = rows.withColumn("idx", F.col("epoch") * F.col("_size") + F.col("_place"))
+    if no_wrap:
+        batch, slot = F.col("epoch") * F.ceil(F.col("_size") / batch_size) + F.floor(F.col("_place") / batch_size), F.col("_place") % batch_size
+    else:
+        batch, slot = F.floor(F.col("idx") / batch_size), F.col("idx") % batch_size
+    return rows.withColumn("batch", batch.cast("int")).withColumn("slot", slot).drop("_s", "_size", "_place")
 
 
 def mix_sources(df: DataFrame, weights: DataFrame | None, n_batches: int, batch_size: int, order: str, source: str = "source", seed: int = 0) -> DataFrame:
     """mix_batch, slot and the row: each drawn batch is of one source, by weight (or by size), and sources wrap around.
 
-    The weights are a row a source, in the sources' order; so is the running sum over them.  More than ``MOST_SOURCES``
-    sources raise ValueError.
+    The sources' shares lie one after the other between 0 and 1.  That line is cut into as many cells as there are sources, so
+    that a draw meets the few shares of its cell by an equal join, however many sources there are.
     """
-    rows = assign_batches(df, batch_size, order, source)
+    rows = place_in(df, source, [order], "idx")
     sizes = rows.groupBy(source).agg(F.count("*").alias("size"))
-    if (n := sizes.count()) > MOST_SOURCES:
-        raise ValueError(f"{n} sources; group them first")
     w = sizes.withColumn("weight", F.col("size").cast("double")) if weights is None else sizes.join(weights, source)
-    total = w.agg(F.sum("weight").alias("total"))
-    run = F.sum("weight").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, 0))
-    table = w.withColumn("hi", run).join(F.broadcast(total)).select(F.col(source).alias("_s"), "size", (F.col("hi") / F.col("total")).alias("hi"), ((F.col("hi") - F.col("weight")) / F.col("total")).alias("lo"))
-    draws = df.sparkSession.range(n_batches).select(F.col("id").alias("mix_batch"), (draw("id", seed) / LCG_M).alias("u"))
-    picked = draws.join(F.broadcast(table), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    nth = F.row_number().over(Window.partitionBy("_s").orderBy("mix_batch")) - 1
-    places = picked.withColumn("nth", nth).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))))
+    w = with_index(w, [source], "_no", {"_run": "weight"})
+    totals = w.agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
+    cell = lambda x: F.least(F.floor(x * F.col("n")), F.col("n") - 1)
+    table = w.join(F.broadcast(totals)).select(F.col(source).alias("_s"), "size", "n", F.when(F.col("_no") == F.col("n") - 1, 1.0).otherwise((F.col("_run") + F.col("weight")) / F.col("total")).alias("hi"), (F.col("_run") / F.col("total")).alias("lo"))
+    table = table.select("_s", "size", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+    draws = df.sparkSession.range(n_batches).select(F.col("id").alias("mix_batch"), (draw("id", seed) / LCG_M).alias("u")).join(F.broadcast(totals)).select("mix_batch", "u", cell(F.col("u")).alias("cell"))
+    picked = draws.join(table, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("mix_batch", "_s", "size")
+    places = place_in(picked, "_s", ["mix_batch"], "nth").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))))
     places = places.withColumn("_at", (F.col("nth") * batch_size + F.col("slot")) % F.col("size"))
-    return places.select("mix_batch", "slot", "_s", "_at").join(rows.drop("slot", "batch"), (F.col(source) == F.col("_s")) & (F.col("idx") == F.col("_at"))).drop("_s", "_at", "idx")
+    return places.select("mix_batch", "slot", "_s", "_at").join(rows, (F.col(source) == F.col("_s")) & (F.col("idx") == F.col("_at"))).drop("_s", "_at", "idx")
 
 
 def sample_quota(df: DataFrame, n_batches: int, batch: int, frac: float, key: str, label: str = "label", seed: int = 0) -> DataFrame:

@@ -31,13 +31,19 @@ def _batches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFram
 
 
 def score(df: DataFrame, model: Model, batch_size: int = 256, vec: str = "vec", out: str = "probs") -> DataFrame:
-    """Adds the model's output; the model always sees ``batch_size`` rows, the last batch padded with zeros that are cut off again."""
+    """Adds the model's output; the model always sees ``batch_size`` rows, the last batch padded with zeros that are cut off again.
+    A row without a vector stays, with a null output."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _batches(parts, batch_size):
-            x = np.stack(part[vec].to_numpy()).astype(float)
-            full = np.concatenate([x, np.zeros((batch_size - len(x), x.shape[1]))])
-            yield part.assign(**{out: list(np.asarray(model(full), float)[: len(x)])})
+            known = part[vec].notna().to_numpy()
+            made = np.full(len(part), None, object)
+            if known.any():
+                x = np.stack(part[vec][known].to_numpy()).astype(float)
+                full = np.concatenate([x, np.zeros((batch_size - len(x), x.shape[1]))])
+                for i, v in zip(np.flatnonzero(known), np.asarray(model(full), float), strict=False):
+                    made[i] = v
+            yield part.assign(**{out: made})
 
     return df.mapInPandas(run, _schema(df, [(out, T.ArrayType(T.DoubleType()))]))
 
@@ -76,9 +82,9 @@ def predict_tiled(tiles: DataFrame, model: Model, key: str = "id", **options) ->
 
 
 def label_patches(patches: DataFrame, model: Model, n: int, key: str = "patch", label: str = "label", **options) -> DataFrame:
-    """key, label, p (of the true label) of at most n patches, least keys first."""
-    made = score(patches, model, vec="values", **options)
-    return made.select(key, label, at("probs", label).alias("p")).orderBy(key).limit(n)
+    """key, label, p (of the true label) of at most n patches, least keys first; only those are scored."""
+    made = score(patches.orderBy(key).limit(n), model, vec="values", **options)
+    return made.select(key, label, at("probs", label).alias("p"))
 
 
 class RowOp(Protocol):
@@ -127,6 +133,11 @@ def resize(image: np.ndarray, h: int, w: int) -> np.ndarray:
     return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
 
 
+def _fits(h, w, pixels) -> bool:
+    """Whether a picture has a size and as many pixels; what does not fit is left out of all results."""
+    return pixels is not None and h is not None and w is not None and h >= 1 and w >= 1 and len(pixels) == h * w
+
+
 def resize_center_crop(df: DataFrame, side: int) -> DataFrame:
     """key, pixels: the short side resized to ``side``, the centre cut out; rows whose pixels do not fit their size are dropped."""
 
@@ -134,7 +145,7 @@ def resize_center_crop(df: DataFrame, side: int) -> DataFrame:
         for part in parts:
             keys, out = [], []
             for k, h, w, p in zip(part["key"], part["height"], part["width"], part["pixels"], strict=True):
-                if p is None or h < 1 or w < 1 or len(p) != h * w:
+                if not _fits(h, w, p):
                     continue
                 s = side / min(h, w)
                 nh, nw = max(side, round(h * s)), max(side, round(w * s))
@@ -159,12 +170,16 @@ def otsu(values: np.ndarray) -> int:
 
 
 def binarize_pad(df: DataFrame) -> DataFrame:
-    """key, threshold, side, pixels: inverted Otsu binarisation (dark is 1), padded at the end with 0 to a square."""
+    """key, threshold, side, pixels: inverted Otsu binarisation (dark is 1), padded at the end with 0 to a square; rows whose
+    pixels do not fit their size are dropped."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for k, h, w, p in zip(part["key"], part["height"], part["width"], part["pixels"], strict=True):
+                if not _fits(h, w, p):
+                    continue
+                h, w = int(h), int(w)
                 a = np.asarray(p, float).reshape(h, w)
                 t, side = otsu(a.ravel()), max(h, w)
                 square = np.zeros((side, side), int)
@@ -216,7 +231,8 @@ def _augment(a: np.ndarray, op: str, args: list[str], rng: np.random.Generator)
 
 
 def augment(df: DataFrame, specs: list[str], seed: int = 0) -> DataFrame:
-    """key, transform, height, width, pixels: every record under every spec; draws depend on the seed, key and spec only.
+    """key, transform, height, width, pixels: every record whose pixels fit its size, under every spec; draws depend on the
+    seed, key and spec only.
 
     The specs are a parameter of fixed size; records are expanded inside the task that reads them.
     """
@@ -228,6 +244,9 @@ def augment(df: DataFrame, specs: list[str], seed: int = 0) -> DataFrame:
         for part in _batches(parts, 64):
             out = []
             for k, h, w, p in zip(part["key"], part["height"], part["width"], part["pixels"], strict=True):
+                if not _fits(h, w, p):
+                    continue
+                h, w = int(h), int(w)
                 base = np.asarray(p, float).reshape(h, w)
                 for spec, chain in zip(specs, chains, strict=True):
                     rng, a = np.random.default_rng(zlib.crc32(f"{seed}:{k}:{spec}".encode())), base

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Vectors up to this many elements are summed as rows (element, value); longer ones as partial vectors.
 EXPLODE_DIMS = 1024
@@ -19,25 +18,28 @@ def element_stats(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def mean_vector(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """pos, mean.  Long vectors are added up a batch at a time; one vector a partition is shuffled."""
+    """pos, mean, over the vectors that reach that place.  Vectors are added up a batch at a time where the longest has more than
+    ``EXPLODE_DIMS`` values; one vector a partition is then shuffled."""
     import numpy as np
     import pandas as pd
 
-    first = df.select(F.size(vec).alias("n")).first()
-    if first is None or first["n"] <= EXPLODE_DIMS:
+    longest = df.agg(F.max(F.size(vec)).alias("n")).first()["n"]
+    if longest is None or longest <= EXPLODE_DIMS:
         return element_stats(df, vec).select("pos", "mean")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = None, 0
+        total, n = np.zeros(longest), np.zeros(longest, np.int64)
         for pdf in batches:
-            if len(pdf):
-                s = np.stack(pdf["v"].to_numpy()).astype(float).sum(0)
-                total, n = s if total is None else total + s, n + len(pdf)
-        if total is not None:
-            yield pd.DataFrame({"pos": np.arange(len(total), dtype="int32"), "s": total, "n": n})
+            held = [np.asarray(v, float) for v in pdf["v"] if v is not None]
+            for size in {len(v) for v in held}:
+                some = np.stack([v for v in held if len(v) == size])
+                known = ~np.isnan(some)  # nulls inside a vector come as not-a-number
+                total[:size] += np.where(known, some, 0).sum(0)
+                n[:size] += known.sum(0)
+        yield pd.DataFrame({"pos": np.arange(longest, dtype="int32"), "s": total, "n": n})
 
     sums = df.select(F.col(vec).alias("v")).mapInPandas(partial, "pos int, s double, n long")
-    return sums.groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return sums.groupBy("pos").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
 
 
 def channel_means(df: DataFrame, channels: int, vec: str = "vec") -> DataFrame:
@@ -47,35 +49,31 @@ def channel_means(df: DataFrame, channels: int, vec: str = "vec") -> DataFrame:
     return long.groupBy(F.floor(F.col("pos") / F.col("per")).cast("int").alias("channel")).agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
+def _beside_stats(df: DataFrame, vec: str, key: str) -> DataFrame:
+    """key, pos, x, mean, std, second of each element: the statistics travel as one row of arrays, as long as a vector is."""
+    stats = element_stats(df, vec).agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std", "second"))).alias("_stats"))
+    both = df.select(key, F.col(vec).alias("_v")).join(F.broadcast(stats))
+    cells = F.transform("_v", lambda x, i: F.struct(i.alias("pos"), x.cast("double").alias("x"), F.get("_stats", i).alias("s")))
+    return both.select(key, F.inline(cells)).select(key, "pos", "x", "s.mean", "s.std", "s.second")
+
+
 def standardize(df: DataFrame, vec: str = "vec", key: str = "id", guard: float | None = None) -> DataFrame:
     """key, pos, centered, standard.  A deviation of 0 gives null, or ``guard`` in its place."""
-    stats = element_stats(df, vec).select("pos", "mean", "std")
     std = F.when(F.col("std") != 0, F.col("std")).otherwise(F.lit(guard).cast("double"))
-    long = df.select(key, F.posexplode(vec).alias("pos", "x")).join(F.broadcast(stats) if _narrow(df, vec) else stats, "pos")
-    centered = F.col("x").cast("double") - F.col("mean")
-    return long.select(key, "pos", centered.alias("centered"), (centered / std).alias("standard"))
+    centered = F.col("x") - F.col("mean")
+    return _beside_stats(df, vec, key).select(key, "pos", centered.alias("centered"), (centered / std).alias("standard"))
 
 
 def second_moment_scale(df: DataFrame, vec: str = "vec", key: str = "id", inverse: bool = False) -> DataFrame:
     """key, pos, scaled: over (or, inverse, times) the root second moment around 0; a moment of 0 counts as 1."""
-    stats = element_stats(df, vec).select("pos", F.when(F.col("second") == 0, 1.0).otherwise(F.col("second")).alias("second"))
-    long = df.select(key, F.posexplode(vec).alias("pos", "x")).join(F.broadcast(stats) if _narrow(df, vec) else stats, "pos")
-    x = F.col("x").cast("double")
-    return long.select(key, "pos", (x * F.col("second") if inverse else x / F.col("second")).alias("scaled"))
+    second = F.when(F.col("second") == 0, 1.0).otherwise(F.col("second"))
+    return _beside_stats(df, vec, key).select(key, "pos", (F.col("x") * second if inverse else F.col("x") / second).alias("scaled"))
 
 
 def batch_norm(df: DataFrame, vec: str = "vec", key: str = "id", eps: float = 1e-5, scale: float = 1.0, shift: float = 0.0) -> DataFrame:
     """key, pos, y: dataset statistics, eps added to the variance, then scale and shift."""
-    stats = element_stats(df, vec).select("pos", "mean", "std")
-    long = df.select(key, F.posexplode(vec).alias("pos", "x")).join(F.broadcast(stats) if _narrow(df, vec) else stats, "pos")
-    y = (F.col("x").cast("double") - F.col("mean")) / F.sqrt(F.col("std") * F.col("std") + F.lit(eps)) * F.lit(scale) + F.lit(shift)
-    return long.select(key, "pos", y.alias("y"))
-
-
-def _narrow(df: DataFrame, vec: str) -> bool:
-    """Whether a row for each element is small enough to broadcast (checked on the first row)."""
-    first = df.select(F.size(vec).alias("n")).first()
-    return first is None or first["n"] <= 100_000
+    y = (F.col("x") - F.col("mean")) / F.sqrt(F.col("std") * F.col("std") + F.lit(eps)) * F.lit(scale) + F.lit(shift)
+    return _beside_stats(df, vec, key).select(key, "pos", y.alias("y"))
 
 
 def field_counts(df: DataFrame, fields: list[str], source: str = "source") -> DataFrame:
@@ -87,8 +85,10 @@ def field_counts(df: DataFrame, fields: list[str], source: str = "source") -> Da
 
 
 def shares(counts: DataFrame, source: str = "source") -> DataFrame:
-    """Adds p: the share of a value among those of its field and source."""
-    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("field", source)))
+    """Adds p: the share of a value among those of its field and source (totals are a row each)."""
+    totals = counts.groupBy(F.col("field").alias("_f"), F.col(source).alias("_s")).agg(F.sum("n").alias("_n"))
+    both = counts.join(totals, (F.col("field") == F.col("_f")) & F.col(source).eqNullSafe(F.col("_s")))
+    return both.withColumn("p", F.col("n") / F.col("_n")).drop("_f", "_s", "_n")
 
 
 def entropy(counts: DataFrame, source: str = "source") -> DataFrame:

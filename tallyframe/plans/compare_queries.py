@@ -62,7 +62,19 @@ def _boxes(spark, d):
 _BOXES = "b AS (SELECT l_orderkey * 100 + l_linenumber AS det_id, l_orderkey % 500 AS image, l_returnflag AS cls, CAST(l_partkey % 50 AS DOUBLE) AS xmin, CAST(l_suppkey % 40 AS DOUBLE) AS ymin, l_partkey % 50 + 5 + l_linenumber * 3.0::DOUBLE AS xmax, l_suppkey % 40 + 5 + l_quantity / 2 AS ymax, l_extendedprice / 1000 AS score FROM lineitem)"
 
 
-@query()
+_HIT = "(greatest(least(k.xmax, r.xmax) - greatest(k.xmin, r.xmin), 0) * greatest(least(k.ymax, r.ymax) - greatest(k.ymin, r.ymin), 0))"
+_AREAS = "(k.xmax - k.xmin) * (k.ymax - k.ymin) + (r.xmax - r.xmin) * (r.ymax - r.ymin)"
+
+
+@query(
+    f"WITH RECURSIVE {_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY image, cls ORDER BY score DESC, det_id) AS n FROM b),"
+    # the boxes kept so far travel along, best score first
+    " g AS (SELECT image, cls, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(det_id BIGINT, score DOUBLE, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE)[]) AS kept FROM o WHERE n = 1"
+    f" UNION ALL SELECT r.image, r.cls, r.n, CASE WHEN len(list_filter(g.kept, lambda k: {_HIT} / ({_AREAS} - {_HIT}) > 0.3)) = 0"
+    " THEN list_append(g.kept, {'det_id': r.det_id, 'score': CAST(r.score AS DOUBLE), 'xmin': CAST(r.xmin AS DOUBLE), 'ymin': CAST(r.ymin AS DOUBLE), 'xmax': CAST(r.xmax AS DOUBLE), 'ymax': CAST(r.ymax AS DOUBLE)}) ELSE g.kept END"
+    " FROM g JOIN o r ON r.image = g.image AND r.cls = g.cls AND r.n = g.n + 1)"
+    " SELECT k.det_id, image, cls, k.score FROM (SELECT image, cls, unnest(arg_max(kept, n)) AS k FROM g GROUP BY image, cls)"
+)
 def j8_nms(spark, d):
     return G.nms(_boxes(spark, d), ["image", "cls"]).select("det_id", "image", "cls", "score")
 

@@ -149,6 +149,18 @@ def f15_prediction_log(spark, d):
     return G.parse_prediction_log(rows.select("run", F.col("iteration").alias("line_no"), line.alias("value")), ignore=7)
 
 
-@query()
+_NEED = "iteration - since >= CASE WHEN periods = 0 THEN 500 ELSE 1000 END AND steps >= 4 AND NOT stop"
+_MONITOR = (
+    f"RECURSIVE {LOSSES}, o AS (SELECT run, iteration, loss, row_number() OVER (PARTITION BY run ORDER BY iteration) AS n FROM l),"
+    " m AS (SELECT run, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS iteration, CAST(NULL AS DOUBLE) AS loss, CAST(NULL AS DOUBLE) AS best, CAST(0 AS BIGINT) AS steps, CAST(0 AS BIGINT) AS periods, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS nonfinite, false AS stop FROM o WHERE n = 1"
+    f" UNION ALL SELECT run, n, iteration, loss, best, CASE WHEN {_NEED} THEN 0 ELSE steps END, CASE WHEN {_NEED} THEN periods + 1 ELSE periods END, CASE WHEN {_NEED} THEN iteration ELSE since END, nonfinite, stop OR ({_NEED} AND periods + 1 >= 3)"
+    " FROM (SELECT o.run, o.n, o.iteration, o.loss, CASE WHEN bad OR o.loss >= m.best THEN m.best ELSE o.loss END AS best, CASE WHEN NOT bad AND (m.best IS NULL OR o.loss < m.best) THEN 0 ELSE m.steps + 1 END AS steps,"
+    " m.periods, m.since, CASE WHEN bad THEN m.nonfinite + 1 ELSE 0 END AS nonfinite, m.stop"
+    " FROM m JOIN (SELECT *, loss IS NULL OR NOT isfinite(loss) AS bad FROM o) o ON o.run = m.run AND o.n = m.n + 1))"
+)
+
+
+@query(f"WITH {_MONITOR} SELECT run, iteration, loss, best, steps, periods, {sql6('0.01 * pow(0.1::DOUBLE, periods)')} AS lr, nonfinite, stop FROM m WHERE n > 0")
 def st1_plateau_monitor(spark, d):
-    return plateau_monitor(losses(spark, d).select("run", "iteration", "loss"), Params(max_steps=4, max_periods=3, min_iters=(500, 1000)))
+    made = plateau_monitor(losses(spark, d).select("run", "iteration", "loss"), Params(max_steps=4, max_periods=3, min_iters=(500, 1000)))
+    return made.withColumn("lr", r6("lr"))

@@ -170,7 +170,15 @@ def a35_binarization_metrics(spark, d):
     return rounded(made, ["image"], [c for c in made.columns if c != "image"])
 
 
-@query()
+_DRD = (
+    VECTORS + ", px AS (SELECT id, CAST((i - 1) // 8 AS BIGINT) AS y, CAST((i - 1) % 8 AS BIGINT) AS x, CASE WHEN v[i] > 0 THEN 1 ELSE 0 END AS p, CASE WHEN (label + i - 1) % 3 = 0 THEN 0 ELSE 1 END AS g FROM s, (SELECT unnest(range(1, 65)) AS i)),"
+    " w AS (SELECT dy, dx, CASE WHEN dy = 0 AND dx = 0 THEN 0 ELSE 1 / sqrt(dy * dy + dx * dx) END AS w FROM (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx)),"
+    " wrong AS (SELECT id, y, x, p FROM px WHERE p <> g),"
+    " d AS (SELECT e.id, sum(abs(q.g - e.p) * w.w) / (SELECT sum(w) FROM w) AS total FROM wrong e, w, px q WHERE q.id = e.id AND q.y = least(greatest(e.y + dy, 0), 7) AND q.x = least(greatest(e.x + dx, 0), 7) GROUP BY e.id)"
+)
+
+
+@query(f"WITH {_DRD} SELECT DISTINCT px.id AS image, {sql6('coalesce(d.total, 0)')} AS drd FROM px LEFT JOIN d ON d.id = px.id")
 def a36_drd(spark, d):
     px = vectors(spark, d).select(F.col("id").alias("image"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("v", lambda z: F.when(z > 0, 255).otherwise(0)).alias("pred"), F.transform("v", lambda z, i: F.when((F.col("label") + i) % 3 == 0, 0).otherwise(255)).alias("gt"))
     return rounded(M.drd(px), ["image"], ["drd"])

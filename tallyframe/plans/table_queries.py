@@ -103,22 +103,42 @@ def u5_split(spark, d):
     return S.split(_docs(spark, d).select("doc_id"), "doc_id", 0.2, 5)
 
 
-_SIZE = "SELECT p_partkey AS id, CAST({h} AS BIGINT) AS new_h, CAST({w} AS BIGINT) AS new_w FROM (SELECT p_partkey, p_size + 10.0::DOUBLE AS h, p_size % 7 * 9 + 12.0::DOUBLE AS w FROM part)"
+_SIZE = "SELECT p_partkey AS id, CAST({h} AS BIGINT) AS new_h, CAST({w} AS BIGINT) AS new_w FROM ({rows})"
+_SIZES = "SELECT p_partkey, CAST(p_size + 10 AS DOUBLE) AS h, CAST(p_size % 7 * 19 + 12 AS DOUBLE) AS w FROM part"
 
 
 def _target(spark, d, spec, **o):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 10).alias("height"), (F.col("p_size") % 7 * 9 + 12).alias("width"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 10).alias("height"), (F.col("p_size") % 7 * 19 + 12).alias("width"))
     return P.target_size(rows, spec, **o).select("id", F.col("new_h").cast("long").alias("new_h"), F.col("new_w").cast("long").alias("new_w"))
 
 
-@query(_SIZE.format(h="greatest(round(h * 64 / greatest(h, w)), 1)", w="greatest(round(w * 64 / greatest(h, w)), 1)"))
+def _side_sql(other: str, tall: str) -> str:
+    """The other side, cut to a whole number, to the nearest multiple of 12 away from 64."""
+    rows = f"SELECT p_partkey, {tall} AS tall, CAST(floor({other}) AS BIGINT) AS o FROM ({_SIZES})"
+    rows = f"SELECT p_partkey, tall, o - (((o - 64) % 12) + 12) % 12 + CASE WHEN (((o - 64) % 12) + 12) % 12 >= 6 THEN 12 ELSE 0 END AS o FROM ({rows})"
+    return _SIZE.format(h="CASE WHEN tall THEN 64 ELSE o END", w="CASE WHEN tall THEN o ELSE 64 END", rows=rows)
+
+
+@query(_side_sql("greatest(least(h, w) * 64 / greatest(h, w), 64 / 1.5::DOUBLE)", "h >= w"))
 def p13_target_size_long_side(spark, d):
-    return _target(spark, d, "64l")
+    return _target(spark, d, "64l", truncate=1.5, ar_bin=12)
+
+
+@query(_side_sql("least(greatest(h, w) * 64 / least(h, w), 64 * 1.5::DOUBLE)", "h <= w"))
+def p13_target_size_short_side(spark, d):
+    return _target(spark, d, "64s", truncate=1.5, ar_bin=12)
+
+
+_AREA = (
+    f"SELECT p_partkey, held, list_filter(list_transform(range(0, 20), lambda k: 0.5::DOUBLE + k * 0.25::DOUBLE), lambda g: g >= held)[1] AS up FROM (SELECT p_partkey, least(greatest(h / w, 0.5), 2.0)::DOUBLE AS held FROM ({_SIZES}))"
+)
+_AREA = f"SELECT p_partkey, CASE WHEN up - held > 0.125 THEN up - 0.25 ELSE up END AS r FROM ({_AREA})"
+_AREA = f"SELECT p_partkey, r, list_filter(range(1, 400), lambda x: floor(r * x) * x >= 4096)[1] - 1 AS w FROM ({_AREA})"
 
 
-@query(_SIZE.format(h="round(sqrt(4096.0::DOUBLE / greatest(round(w / h / 0.25) * 0.25, 0.25)))", w="round(sqrt(4096.0::DOUBLE * greatest(round(w / h / 0.25) * 0.25, 0.25)))"))
+@query(_SIZE.format(h="floor(r * w)", w="w", rows=_AREA))
 def p13_target_size_area(spark, d):
-    return _target(spark, d, "64a", ar_bin=0.25)
+    return _target(spark, d, "64a", ar_bin2=0.25)
 
 
 @query("WITH f AS (SELECT length(text) AS n FROM documents ORDER BY doc_id LIMIT 1) SELECT doc_id AS key, length(text) AS size, n AS expected FROM documents, f WHERE length(text) <> n")
@@ -237,6 +257,14 @@ def t5_thin(spark, d):
     return S.thin(_docs(spark, d).select("source", "doc_id"), "doc_id", 5, 6, "source")
 
 
+@query(
+    f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, {_draw('doc_id', 6, '5')} + 1 AS gap FROM documents), a AS (SELECT coalesce(sum(gap) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pick FROM r)"
+    " SELECT doc_id FROM r WHERE place IN (SELECT pick FROM a)"
+)
+def t5_thin_whole(spark, d):
+    return S.thin(_docs(spark, d).select("doc_id"), "doc_id", 5, 6)
+
+
 @query("SELECT doc_id AS id, text, 'documents' AS origin FROM documents UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark")
 def u1_union_sources(spark, d):
     return J.union_sources({"documents": _docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "benchmark": table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")}, "origin")
@@ -271,6 +299,21 @@ def w10_assign_batches(spark, d):
     return made.select("source", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("idx", "batch", "slot")])
 
 
+_EPOCHS = "o AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM documents), r AS (SELECT o.*, CAST(e AS BIGINT) AS epoch FROM o, (SELECT unnest(range(0, 3)) AS e))"
+
+
+@query(f"WITH {_EPOCHS} SELECT source, doc_id, epoch, epoch * size + place AS idx, (epoch * size + place) // 16 AS batch, (epoch * size + place) % 16 AS slot FROM r")
+def w10_batches_that_wrap(spark, d):
+    made = S.assign_batches(_docs(spark, d).select("source", "doc_id"), 16, "doc_id", "source", epochs=3)
+    return made.select("source", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("epoch", "idx", "batch", "slot")])
+
+
+@query(f"WITH {_EPOCHS} SELECT source, doc_id, epoch, epoch * size + place AS idx, epoch * ((size + 15) // 16) + place // 16 AS batch, place % 16 AS slot FROM r")
+def w10_batches_cut_off(spark, d):
+    made = S.assign_batches(_docs(spark, d).select("source", "doc_id"), 16, "doc_id", "source", epochs=3, no_wrap=True)
+    return made.select("source", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("epoch", "idx", "batch", "slot")])
+
+
 @query("SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS idx FROM documents")
 def w10_global_index(spark, d):
     return S.with_index(_docs(spark, d).select("doc_id", "n_chars"), ["n_chars", "doc_id"]).select("doc_id", "idx")
@@ -390,17 +433,34 @@ def d4_predict_tiled(spark, d):
     return made.select("key", F.col("cls").cast("long").alias("cls"), r6("p").alias("p"))
 
 
-@query()
+#: Pixels (0 to 255) of each embedding as an 8 by 8 picture.
+_PX = "px AS (SELECT vec_id AS key, CAST(label AS BIGINT) AS label, CAST((i - 1) // 8 AS BIGINT) AS y, CAST((i - 1) % 8 AS BIGINT) AS x, floor(greatest(0.0, least(255.0, (CAST(embedding[i] AS DOUBLE) + 3.0) * 42.5))) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
+
+
+def _axis(n: int, m: int) -> str:
+    """(line, w): what each of n lines weighs in the sum over m lines made of them by bilinear resizing."""
+    place = f"least(greatest((i + 0.5::DOUBLE) * {n} / {m} - 0.5, 0), {n - 1})"
+    ends = f"SELECT CAST(floor(a) AS BIGINT) AS lo, a - floor(a) AS f FROM (SELECT {place} AS a FROM (SELECT unnest(range(0, {m})) AS i))"
+    return f"(SELECT line, sum(w) AS w FROM (SELECT lo AS line, 1 - f AS w FROM ({ends}) UNION ALL SELECT least(lo + 1, {n - 1}), f FROM ({ends})) GROUP BY line)"
+
+
+@query(
+    f"WITH {_PX} SELECT key AS image_index, CAST(sy AS BIGINT) AS y1, CAST(sx AS BIGINT) AS x1, CAST(sy + 5 AS BIGINT) AS y2, CAST(sx + 4 AS BIGINT) AS x2, {sql6('sum(v * a.w * b.w) / 16 / 255')} AS bright"
+    f" FROM (SELECT unnest([0, 3]) AS sy), (SELECT unnest([0, 4]) AS sx), {_axis(5, 4)} a, {_axis(4, 4)} b, px WHERE y = sy + a.line AND x = sx + b.line GROUP BY key, sy, sx"
+)
 def d3_detect(spark, d):
     from ..operators.scoring import detect
 
     im = images(spark, d).select(F.col("key").alias("image_index"), "height", "width", "pixels")
     win = im.select("image_index", F.inline(F.array(*[F.struct(F.lit(y).alias("y1"), F.lit(x).alias("x1"), F.lit(y + 5).alias("y2"), F.lit(x + 4).alias("x2")) for y in (0, 3) for x in (0, 4)])))
     made = detect(im, win, _bright, 4)
-    return made.select("image_index", "y1", "x1", "y2", "x2", r6(F.element_at("probs", 2)).alias("bright"))
+    return made.select("image_index", *[F.col(c).cast("long").alias(c) for c in ("y1", "x1", "y2", "x2")], r6(F.element_at("probs", 2)).alias("bright"))
 
 
-@query()
+@query(
+    f"WITH {_PX}, t AS (SELECT key * 100 + (y // 4 * 4) * 10 + x // 4 * 4 AS patch, label % 2 AS label, avg(v) / 255 AS m FROM px GROUP BY ALL)"
+    f" SELECT patch, label, {sql6('CASE WHEN label = 1 THEN m ELSE 1 - m END')} AS p FROM t ORDER BY patch LIMIT 1000"
+)
 def d5_label_patches(spark, d):
     from ..operators.scoring import label_patches
 
@@ -416,11 +476,11 @@ def f21_augment(spark, d):
     return made.select("key", "transform", "height", "width", r6(F.aggregate("pixels", F.lit(0.0), lambda s, z: s + z)).alias("total"))
 
 
-@query()
+@query(f"WITH {_PX} SELECT key, CAST(25 AS BIGINT) AS n, {sql6('sum(v * a.w * b.w)')} AS total FROM px JOIN {_axis(8, 5)} a ON y = a.line JOIN {_axis(8, 5)} b ON x = b.line GROUP BY key")
 def f22_resize_center_crop(spark, d):
     from ..operators.scoring import resize_center_crop
 
-    return resize_center_crop(images(spark, d), 5).select("key", F.size("pixels").alias("n"), r6(F.aggregate("pixels", F.lit(0.0), lambda s, z: s + z)).alias("total"))
+    return resize_center_crop(images(spark, d), 5).select("key", F.size("pixels").cast("long").alias("n"), r6(F.aggregate("pixels", F.lit(0.0), lambda s, z: s + z)).alias("total"))
 
 
 class _Shift:

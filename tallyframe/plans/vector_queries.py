@@ -120,8 +120,18 @@ def t3_topk_mask(spark, d):
     return vectors(spark, d).select("id", r6(V.vsum(F.transform(y, lambda z, i: z * (i + 1)))).alias("weighed"), F.size(F.filter(y, lambda z: z != 0)).cast("long").alias("kept"))
 
 
-@query()
+_OTSU = (
+    "px AS (SELECT vec_id AS key, floor(greatest(0.0, least(255.0, (CAST(embedding[i] AS DOUBLE) + 3.0) * 42.5))) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),"
+    " c AS (SELECT a.key, a.v AS t, count(*) AS below, sum(b.v) AS mass FROM (SELECT DISTINCT key, v FROM px) a JOIN px b ON a.key = b.key AND b.v <= a.v GROUP BY a.key, a.v),"
+    " s AS (SELECT key, sum(v) AS total FROM px GROUP BY key),"
+    " m AS (SELECT c.key, t, below, CASE WHEN below < 64 THEN pow(total * below - mass * 64, 2) / (below * (64 - below)) ELSE -1 END AS between_ FROM c JOIN s ON s.key = c.key),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY between_ DESC, t) AS k FROM m)"
+)
+
+
+@query(f"WITH {_OTSU} SELECT key, CAST(CASE WHEN between_ < 0 THEN 0 ELSE t END AS BIGINT) AS threshold, CAST(8 AS BIGINT) AS side, CASE WHEN between_ < 0 AND t > 0 THEN 0 ELSE below END AS ink FROM r WHERE k = 1")
 def f23_binarize_pad(spark, d):
     from ..operators.scoring import binarize_pad
 
-    return binarize_pad(images(spark, d)).select("key", "threshold", "side", F.aggregate("pixels", F.lit(0), lambda s, x: s + x).alias("ink"))
+    made = binarize_pad(images(spark, d)).withColumn("ink", F.aggregate("pixels", F.lit(0), lambda s, x: s + x))
+    return made.select("key", *[F.col(c).cast("long").alias(c) for c in ("threshold", "side", "ink")])

@@ -61,12 +61,23 @@ _NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
 def plateau_monitor(df: DataFrame, params: Params = Params()) -> DataFrame:
-    """The monitor's state after each row of ``df(run, iteration, loss)``; runs are read in order of iteration."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_rows(key[0], pdf.sort_values("iteration"), State(), params)[0], columns=_NAMES)
-
-    return df.select("run", "iteration", "loss").groupBy("run").applyInPandas(run, OUT)
+    """The monitor's state after each row of ``df(run, iteration, loss)``; runs are read in order of iteration.
+
+    A task reads its runs row by row and carries only the state of the present one from batch to batch.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, s = None, State()
+        for pdf in batches:
+            out = []
+            for run, part in pdf.groupby("run", sort=False, dropna=False):
+                if run != here:
+                    here, s = run, State()
+                rows, s = _rows(run, part, s, params)
+                out += rows
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    return df.select("run", "iteration", "loss").repartition("run").sortWithinPartitions("run", "iteration").mapInPandas(walk, OUT)
 
 
 def plateau_stream(df: DataFrame, params: Params = Params()) -> DataFrame:

@@ -271,3 +271,107 @@ def test_draws_reach_every_place_of_large_tables(spark):
     narrow = lambda k: (((k + 9) % m * 1103515245 + c) % m // 8 * 1103515245 + c) % m // 64
     got = [r["d"] for r in keys.limit(50).select(sampling.draw("id", 9, 1 << 25).alias("d")).collect()]
     assert got == [narrow(k) % (1 << 25) for k in range(50)]
+
+
+@pytest.mark.parametrize(
+    "spec,size,want",
+    [
+        # worked by hand: whole numbers are cut off, then moved to a multiple of the bin away from N
+        ("64l", (100, 75), (64, 64)),  # 48 is 16 below 64, half a bin of 32, so it goes up
+        ("64l", (100, 60), (64, 32)),  # 38.4 -> 38 is 6 above 32
+        ("64l", (10, 100), (32, 64)),  # 6.4, but 32 at least
+        ("64l", (50, 50), (64, 64)),
+        ("64s", (75, 100), (64, 96)),  # 85.3 -> 85 is 21 above 64, over half a bin
+        ("64s", (100, 500), (64, 128)),  # 320, but 128 at most
+        ("64s", (79, 64), (64, 64)),  # 79 is 15 above 64, under half a bin
+        ("10x20", (5, 5), (10, 20)),
+        ("33", (5, 9), (33, 33)),
+        ("10a", (30, 30), (9, 9)),  # steps from 0.5 by 0.15 give 0.95 and 1.1; 1.1 is 0.1 away, over half a step: 0.95; 0.95 * 11 -> 10 * 11 >= 100, so 10 wide
+        ("10a", (10, 100), (6, 13)),  # held at 0.5: 0.5 * 14 = 7, 98; 15 wide is 7 * 15 = 105
+    ],
+)
+def test_target_size_by_hand(spark, spec, size, want):
+    df = spark.createDataFrame([size], "height int, width int")
+    r = prep.target_size(df, spec).first()
+    if spec == "10a":  # the rule itself, step by step
+        ratio, g = min(max(size[0] / size[1], 0.5), 2.0), 0.5
+        while g < ratio:
+            g += 0.15
+        g = g - 0.15 if g - ratio > 0.075 else g
+        w = 1
+        while int(g * w) * w < 100:
+            w += 1
+        want = (int(g * (w - 1)), w - 1)
+    assert (r["new_h"], r["new_w"]) == want
+
+
+def test_batches_over_epochs(spark):
+    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "source string, k int")
+    pick = lambda rows: sorted((r["source"], r["epoch"], r["k"], r["batch"], r["slot"]) for r in rows.collect())
+    wrap = [r for r in pick(sampling.assign_batches(df, 2, "k", "source", epochs=2)) if r[0] == "a"]
+    assert [r[3:] for r in wrap] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0), (4, 1)]
+    cut = [r for r in pick(sampling.assign_batches(df, 2, "k", "source", epochs=2, no_wrap=True)) if r[0] == "a"]
+    assert [r[3:] for r in cut] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (3, 0), (3, 1), (4, 0), (4, 1), (5, 0)]
+
+
+def test_thin_walks_by_its_gaps(spark):
+    df = spark.range(300).withColumnRenamed("id", "k")
+    gaps = [r["g"] + 1 for r in df.select("k", sampling.draw("k", 3, 7).alias("g")).orderBy("k").collect()]
+    want, at = [], 0
+    for g in gaps:
+        want.append(at)
+        at += g
+    assert sorted(r["k"] for r in sampling.thin(df, "k", 7, 3).collect()) == [x for x in want if x < 300]
+
+
+def test_mix_of_many_sources(spark):
+    df = spark.createDataFrame([(f"s{i:04d}", j) for i in range(300) for j in range(1 + i % 3)], "source string, k int")
+    made = sampling.mix_sources(df, None, 400, 2, "k", seed=5).collect()
+    assert len(made) == 800 and len({r["source"] for r in made}) > 150
+    by = {}
+    for r in made:
+        by.setdefault(r["mix_batch"], set()).add(r["source"])
+    assert len(by) == 400 and all(len(v) == 1 for v in by.values())
+
+
+def test_nms_carries_a_group_over_batches(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, 7 if i % 3 else None, x, y, x + 9.0, y + 9.0, float(rng.integers(0, 9)), "b") for i, (x, y) in enumerate(rng.uniform(0, 60, (400, 2)).tolist())]
+    df = spark.createDataFrame(rows, "det_id long, image int, xmin double, ymin double, xmax double, ymax double, score double, _bucket string")
+    whole = {r["det_id"] for r in geometry.nms(df, ["image"]).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        made = geometry.nms(df, ["image"])
+        assert made.columns == df.columns and {r["det_id"] for r in made.collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_mean_vector_of_ragged_vectors(spark, monkeypatch):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([3.0],), (None,), ([],)], "x array<double>")
+    want = {0: 2.0, 1: 2.0, 2: 3.0}
+    assert {r["pos"]: r["mean"] for r in stats.mean_vector(df, "x").collect()} == want
+    monkeypatch.setattr(stats, "EXPLODE_DIMS", 1)
+    assert {r["pos"]: r["mean"] for r in stats.mean_vector(df, "x").collect()} == want
+
+
+def test_rows_without_values(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id long, vec array<double>")
+    got = {r["id"]: r["probs"] for r in scoring.score(df, lambda x: x * 2, 4).collect()}
+    assert got == {1: [2.0, 4.0], 2: None}
+    im = spark.createDataFrame([(1, 1, 2, [5.0, 200.0]), (2, 1, 2, None), (3, None, 2, [1.0, 2.0])], "key long, height int, width int, pixels array<double>")
+    assert [(r["key"], r["threshold"], r["pixels"]) for r in scoring.binarize_pad(im).collect()] == [(1, 5, [1, 0, 0, 0])]
+    assert {r["key"] for r in scoring.augment(im, ["none"]).collect()} == {1}
+
+
+def test_label_patches_scores_the_first_keys_only(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(x):
+        seen.add(int((x[:, 0] > 0).sum()))
+        return np.stack([1 - x[:, 0] / 100, x[:, 0] / 100], 1)
+
+    df = spark.createDataFrame([(i, i % 2, [float(i + 1)]) for i in range(50)], "patch long, label int, values array<double>").repartition(3)
+    got = {r["patch"]: (r["label"], r["p"]) for r in scoring.label_patches(df, model, 4).collect()}
+    assert got == {i: (i % 2, pytest.approx((i + 1) / 100 if i % 2 else 1 - (i + 1) / 100)) for i in range(4)}
+    assert seen.value == 4
