@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks that a worker keeps in each of two generations.
+#: Chunks that a worker keeps (``Chunks``: in each of two generations).
 CACHE = 500_000
 #: The characters of class White_Space, fixed by Unicode.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
@@ -40,8 +40,8 @@ def safe(chunk: str) -> bool:
 class Chunks:
     """chunk -> bytes made of it.  ``make`` takes the list of new chunks of a batch; None marks an unsafe one."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = CACHE, safe: Callable[[str], bool] = safe):
-        self.make, self.limit, self.safe = make, limit, safe
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = CACHE):
+        self.make, self.limit = make, limit
         self.now: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -53,7 +53,7 @@ class Chunks:
         for c in set(chunks).difference(self.now):
             if (v := self.old.get(c)) is not None:
                 self.now[c] = v
-            elif self.safe(c):
+            elif safe(c):
                 good.append(c)
             else:
                 self.now[c] = None
@@ -71,30 +71,63 @@ class PieceEncoder:
     #: Characters of text whose chunks are learned at once.
     GROUP = 4_000_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 2 * CACHE):
         self.tok = load_tokenizer(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.leads = np.zeros(self.tok.get_vocab_size(), bool)
         # fixed values: the letters of the bytes 32 and 10 in byte-level vocabularies
         self.leads[[i for t, i in self.tok.get_vocab().items() if t[0] in "\u0120\u010a"]] = True
-        self.cache = Chunks(self._learn, safe=lambda c: safe(c[1:] if c[:1] == "\n" else c))
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        """The known chunks, and where their ids stand in ``flat`` (size -1: not safe to cut at)."""
+        import pyarrow as pa
+
+        self.names = pa.array([], pa.large_string())
+        self.at, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        led = [c if c[0] == "\n" else " " + c for c in chunks]
-        out: list[bytes] = []
-        for at in range(0, len(led), 20_000):
-            part = led[at : at + 20_000]
-            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.leads[ids])
-            if len(starts) != len(part) or starts[0]:  # not a vocabulary of this family
-                out += self._batch(part)
-                continue
-            data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-            out += [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
-        return out
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in a row, how many each has)."""
+        ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for at in range(0, len(chunks), 20_000):
+            part = [c if c[0] == "\n" else " " + c for c in chunks[at : at + 20_000]]
+            got = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.leads[got])
+            if len(starts) == len(part) and starts[0] == 0:
+                sizes.append(np.diff(np.append(starts, len(got))))
+            else:  # not a vocabulary of this family
+                each = self._batch(part)
+                got, n = np.frombuffer(b"".join(each), "<u4"), np.array([len(e) // 4 for e in each])
+                sizes.append(n)
+            ids.append(got)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _places(self, chunks) -> np.ndarray:
+        """The place of each of these distinct chunks (an Arrow array) among the known ones; new ones are learned."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.names) > self.limit:
+            self._forget()
+        place = pc.fill_null(pc.index_in(chunks, value_set=self.names), -1).to_numpy().astype(np.int64)
+        new = place < 0
+        if new.any():
+            fresh = chunks.filter(pa.array(new))
+            names = fresh.to_pylist()
+            good = np.array([safe(c[1:] if c[:1] == "\n" else c) for c in names], bool)
+            ids, sizes = self._ids([c for c, g in zip(names, good.tolist(), strict=True) if g])
+            size = np.full(len(names), -1, np.int64)
+            size[good] = sizes
+            place[new] = len(self.names) + np.arange(len(names))
+            held = np.maximum(size, 0)
+            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(held) - held])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
+            self.names = pa.concat_arrays([self.names, fresh])
+        return place
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -110,7 +143,7 @@ class PieceEncoder:
         return out + (self._group(group) if group else [])
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        """Chunks are cut and numbered by Arrow, so that a chunk is looked up once, and put together by numpy."""
+        """Chunks are cut, numbered and looked up by Arrow, and their ids put together by numpy."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -118,22 +151,15 @@ class PieceEncoder:
         parts = pc.split_pattern(pa.array(["" if w else t.replace("\n", " \n") for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
         bounds = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
-        known, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         heads = parts.values.take(pa.array(bounds[:-1])).to_pylist()
         first = self._batch(["" if h and not safe(h) else h for h in heads])
-        get = self.cache.learn(known)
-        made = [get(c) for c in known]
-        unsafe = np.array([m is None for m in made], bool)
-        sizes = np.array([0 if m is None else len(m) // 4 for m in made], np.int64)
-        flat = np.frombuffer(b"".join(m for m in made if m), "<u4")
-        at = np.cumsum(sizes) - sizes
-        which = np.delete(which, bounds[:-1]) if len(texts) else which  # without the heads
+        which = self._places(coded.dictionary)[np.delete(coded.indices.to_numpy(), bounds[:-1])]  # without the heads
         bounds = bounds - np.arange(len(bounds))
-        n = sizes[which]
+        n = np.maximum(self.size[which], 0)
         ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - (ends - n), n)].tobytes()
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[which] - (ends - n), n)].tobytes()
         ends = np.concatenate([[0], ends])[bounds] * 4
-        bad = np.concatenate([[0], np.cumsum(unsafe[which])])[bounds]
+        bad = np.concatenate([[0], np.cumsum(self.size[which] < 0)])[bounds].tolist()
         out = []
         for k, (t, head, a, b) in enumerate(zip(texts, heads, ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
             if whole[k] or bad[k] != bad[k + 1] or head and not safe(head):  # a chunk beside other white space, or a special string
