@@ -127,12 +127,6 @@ def _ok(a: str, b: str, similarity: float) -> Column:
     return (F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - F.lit(1e-9)) & (left >= F.ceil((an + bn) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)))
 
 
-def _pairs(found: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b), a < b, of the rows (x, y) of two posts of one shingle that pass the filters."""
-    ok = found.where((F.col("x.key") != F.col("y.key")) & _ok("x", "y", similarity))
-    return ok.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-
-
 def _verified(pairs: DataFrame, keyed: DataFrame, similarity: float, k: int) -> DataFrame:
     """The pairs whose whole sets have a Jaccard of at least ``similarity``."""
 
@@ -169,49 +163,55 @@ def close_pairs(keyed: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _live(posts: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """The ``posts(key, n, root, pos, t)`` of shingles that different components share, with ``others`` (posts of the shingle in other
+    components) and y1, y2: a neighbour in order and the first one, if they may match and are in another component."""
+    by = Window.partitionBy("t")
+    me = F.struct("key", "n", "pos", "root")
+    rows = posts.withColumn("others", F.count("*").over(by) - F.count("*").over(Window.partitionBy("t", "root"))).where("others > 0")
+    order = by.orderBy(*([F.xxhash64("root", F.lit(turn))] if turn else []), "n", "key")
+    rows = rows.select("*", me.alias("me"), F.lag(me).over(order).alias("a1"), F.first(me).over(order).alias("a2"))
+    try_ = lambda a: F.when((F.col(f"{a}.root") != F.col("root")) & _ok(a, "me", similarity), F.col(f"{a}.key"))
+    return stage(rows.select("key", "n", "root", "pos", "t", "others", try_("a1").alias("y1"), try_("a2").alias("y2")), "shinglelive")
+
+
+def _pairs(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """(key, root) of the sets that are similar to another: root is the smallest key of its component.
 
     While more than ``most`` pairs a post are open, a round links neighbours only, ``rounds`` times at most; then all open pairs
-    are taken.
+    are taken.  Between rounds only posts of shingles that are still shared by different components are kept.
     """
-    by = Window.partitionBy("t")
-    me = F.struct("key", "n", "pos", "root")
     edges = _verified(close_pairs(keyed), keyed, similarity, k)
     roots = stage(components(edges).select(F.col("node").alias("key"), "root"), "shingleroots")
-    live = None
-    for turn in range(rounds + 1):
-        if live is None:
-            posts = keyed.where("prefix is not null").select("key", "n", "prefix").join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), F.posexplode("prefix").alias("pos", "t"))
-            posts = posts.repartition("t").dropDuplicates(["t", "key"])
-        else:
-            posts = live.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # shingles that different components share
-        old, live = live, stage(posts.withColumn("_l", F.min("root").over(by)).withColumn("_h", F.max("root").over(by)).where("_l <> _h").drop("_l", "_h"), "shinglelive")
-        if old is not None:
-            drop_stage(old)
-        sizes = live.groupBy("t", "root").agg(F.count("*").cast("double").alias("m"))
-        open_ = sizes.groupBy("t").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p"), F.sum("m").alias("m"))
-        total = open_.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
+    posts = keyed.where("prefix is not null").select("key", "n", "prefix").join(roots, "key", "left")
+    posts = posts.select("key", "n", F.coalesce("root", "key").alias("root"), F.posexplode("prefix").alias("pos", "t")).repartition("t").dropDuplicates(["t", "key"])
+    live = _live(posts, 0, similarity)
+    for turn in range(1, rounds + 2):
+        total = live.agg(F.coalesce(F.sum("others"), F.lit(0)).alias("p"), F.count("*").alias("m")).first()
         if not total["p"]:
             break
-        last = turn == rounds or total["p"] / 2 <= most * total["m"]
+        last = turn > rounds or total["p"] / 2 <= most * total["m"]
         if last:  # expanded from pairs of roots, so pairs inside a component cost nothing
-            r = sizes.select("t", "root")
+            r = live.select("t", "root").distinct()
             cross = r.alias("a").join(r.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.root") < F.col("b.root"))).select(F.col("a.t").alias("t"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
+            me = F.struct("key", "n", "pos")
             x, y = live.select(F.col("t"), F.col("root").alias("ra"), me.alias("x")), live.select(F.col("t"), F.col("root").alias("rb"), me.alias("y"))
-            found = cross.join(x, ["t", "ra"]).join(y, ["t", "rb"])
+            found = cross.join(x, ["t", "ra"]).join(y, ["t", "rb"]).where(_ok("x", "y", similarity)).select(*_pairs(F.col("x.key"), F.col("y.key")))
         else:
-            order = by.orderBy(*([F.xxhash64("root", F.lit(turn))] if turn else []), "n", "key")
-            near = live.select(me.alias("x"), F.array(F.lag(me).over(order), F.first(me).over(order)).alias("ys"))
-            found = near.select("x", F.explode("ys").alias("y")).where("y is not null and y.root <> x.root")
-        new = _verified(_pairs(found, similarity), keyed, similarity, k)
+            found = live.select("key", F.explode(F.array("y1", "y2")).alias("y")).where("y is not null").select(*_pairs(F.col("key"), F.col("y")))
+        new = _verified(found.distinct(), keyed, similarity, k)
         both = stage(edges.unionByName(new), "shinglelinks")
         drop_stage(edges, new, roots)
         edges = both
         roots = stage(components(edges).select(F.col("node").alias("key"), "root"), "shingleroots")
         if last:
             break
+        old, live = live, _live(live.select("key", "n", "pos", "t").join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), "pos", "t"), turn, similarity)
+        drop_stage(old)
     drop_stage(live, edges)
     return roots
 
