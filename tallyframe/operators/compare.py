@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.vectors import argmax, l2, sq_distance, vsum
@@ -55,16 +56,16 @@ def pairwise_distances(df: DataFrame, key: str = "id", vec: str = "vec", block:
     This is an all-pairs table by its own meaning: its size is the square of the input's, so it is for tables of
     models or categories.  With ``nearest`` only that many partners a row leave a block pair, before one merge.
     """
-    numbered = df.select(key, F.col(vec).alias("vec"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("h"))
     n = max(1, -(-df.count() // block))
-    blocks = numbered.withColumn("g", (F.col("h") % n).cast("int"))
+    blocks = df.select(key, F.col(vec).alias("vec"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("g"))
+    kind = df.schema[key].dataType
     left = blocks.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("g"), o).alias("i"), F.greatest(F.col("g"), o).alias("j")))))
 
     def run(pair: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pair
         a, b = pdf[pdf["g"] == i], pdf[pdf["g"] == j]
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "d": []}).astype({"a": "int64", "b": "int64", "d": "float64"})
+            return pd.DataFrame({"a": pdf[key][:0], "b": pdf[key][:0], "d": np.empty(0)})
         x, y = np.stack(a["vec"].to_numpy()).astype(float), np.stack(b["vec"].to_numpy()).astype(float)
         d = np.sqrt(np.maximum(((x[:, None] - y[None]) ** 2).sum(2), 0))
         ia, ib = np.meshgrid(a[key].to_numpy(), b[key].to_numpy(), indexing="ij")
@@ -76,7 +77,7 @@ def pairwise_distances(df: DataFrame, key: str = "id", vec: str = "vec", block:
             out = both.sort_values(["a", "d", "b"]).groupby("a").head(nearest)
         return out
 
-    made = left.select(key, "vec", "g", "pair.i", "pair.j").groupBy("i", "j").applyInPandas(run, "a long, b long, d double")
+    made = left.select(key, "vec", "g", "pair.i", "pair.j").groupBy("i", "j").applyInPandas(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("d", T.DoubleType())]))
     if nearest is None:
         return made
     return made.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("k") <= nearest)

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Stage folders of this process that are not dropped yet, with the session that wrote them.
+#: Stage folders and tables of this process that are not dropped yet, with the session that wrote them.
 _open: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,17 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return made
 
 
+def stage_buckets(df: DataFrame, name: str, column: str, parts: int, compression: str = "none") -> DataFrame:
+    """Write ``df`` as a table in the warehouse, in ``parts`` buckets of ``column``, so that joins on it need not move it again.
+
+    The table is dropped when the process ends.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    _tables[table] = spark
+    df.repartition(parts, column).write.bucketBy(parts, column).option("compression", compression).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_path(path: str) -> None:
     """Remove a stage folder, through Hadoop's file system, so that it may be in any store."""
     spark = _open.pop(path, None)
@@ -56,10 +68,14 @@ def drop_stage(*stages: DataFrame) -> None:
 
 @atexit.register
 def _drop_open() -> None:
-    """What results still read goes when the process ends, if its session is still there."""
-    for path, spark in list(_open.items()):
+    """What results still read goes when the process ends, if its session is still there; else the cluster's own clearing has it."""
+    for name, spark in [*_open.items(), *_tables.items()]:
         try:
-            if spark.sparkContext._jsc is not None:
-                drop_path(path)
-        except Exception:  # the session went first; the folder is then left to the cluster's own clearing
-            _open.pop(path, None)
+            if spark.sparkContext._jsc is None:
+                continue
+            if name in _tables:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                drop_path(name)
+        except Exception:
+            continue
