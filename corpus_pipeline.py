@@ -20,7 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts linked by a 5-word Jaccard of 0.8 or more: the one of smallest doc_id."""
+    """One document of each class of texts linked by a 5-word Jaccard of 0.8 or more: the one of smallest doc_id.
+
+    SimHash pivot tables link the closest ones, an exact join of shingles the rest; every link is verified.
+    """
     return shingle_join.drop_near_duplicates(docs)
 
 
@@ -49,7 +52,7 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: No SQL for the tagger, the fingerprints and the tokenizer; tests hold the stages against brute force.
+#: No SQL for the tagger, the fingerprints and the tokenizer; a test holds the whole run against a plain version.
 ORACLE_SQL = None
 
 
