@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.stages import drop_stage, stage, stage_path
+from ..sources.stages import drop_stage, stage, stage_buckets, stage_path
 
-__all__ = ["WORD", "drop_stage", "free_names", "hash_sample", "likely", "stage", "stage_path", "table", "with_rank"]
+__all__ = ["WORD", "drop_stage", "free_names", "hash_sample", "likely", "stage", "stage_buckets", "stage_path", "table", "with_rank"]
 
 #: Words are maximal runs of characters outside these: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"

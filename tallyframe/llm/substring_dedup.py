@@ -10,7 +10,6 @@ thousands of documents share is a row for each block that it is in.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +17,15 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import table
+from .common import drop_stage, stage, stage_buckets, table
 from .hashing import join_hashes, run_hashes, word_hashes
 
 WINDOW, SEED = 35, 9
 #: Characters of text in a block; a longer document is a block of its own.
 BLOCK = 2_000_000
+#: Bytes of text in a bucket of the packed table.
+BUCKET = 256 << 20
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,13 +63,11 @@ _BLOCK = "block long, doc_ids array<long>, nulls array<boolean>, lengths array<i
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs(doc_id, text)``, written as a table in the warehouse, bucketed by block."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(_pack, _BLOCK)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"blocks_{uuid.uuid4().hex}"
-    rows.repartition(n, "block").write.bucketBy(n, "block").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    """Blocks of ``docs(doc_id, text)``, written as a table bucketed by block, ``BUCKET`` bytes of text a bucket or less."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    return stage_buckets(rows.mapInPandas(_pack, _BLOCK), "blocks", "block", n)
 
 
 def _texts(lengths, data: bytes) -> list[bytes]:
@@ -184,11 +182,17 @@ def _final(window: int, seed: int):
     return run
 
 
-def _alive(rows: DataFrame, key: list[str], again: str, keep: list[str]) -> DataFrame:
-    """Rows whose key is in two blocks or is repeated in one."""
-    by = Window.partitionBy(*key)
-    marked = rows.withColumn("_lo", F.min("block").over(by)).withColumn("_hi", F.max("block").over(by)).withColumn("_again", F.max(again).over(by))
-    return marked.where("_again or _lo <> _hi").select(*keep)
+def _alive(rows: DataFrame, key: list[str], again: str, keep: list[str], name: str) -> DataFrame:
+    """Rows whose key is in two blocks or is repeated in one.
+
+    Keys are counted with partial sums before the exchange, and a join brings the repeated ones back, so a passage that is in
+    every block is no one task's work.
+    """
+    rows = stage(rows, name)
+    seen = rows.groupBy(*key).agg(F.min("block").alias("_lo"), F.max("block").alias("_hi"), F.max(again).alias("_again")).where("_again or _lo <> _hi")
+    made = stage(rows.join(seen.select(*key), key, "left_semi").select(*keep), name)
+    drop_stage(rows)
+    return made
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -203,17 +207,19 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     blocks = pack(docs)
     texts = blocks.select("block", "lengths", "data")
     rows = texts.mapInPandas(_level12(window, seed), "h1 long, h2 long, again1 boolean, again2 boolean, block long")
-    rows = _alive(rows, ["h1"], "again1", ["h2", "again2", "block"])
-    rows = _alive(rows, ["h2"], "again2", ["h2", "block"])
-    alive = rows.groupBy("block").agg(F.collect_set("h2").alias("alive"))
+    anchors = _alive(rows, ["h1"], "again1", ["h2", "again2", "block"], "anchors")
+    halves = _alive(anchors, ["h2"], "again2", ["h2", "block"], "halves")
+    alive = halves.groupBy("block").agg(F.collect_set("h2").alias("alive"))
     rows = texts.join(alive, "block").mapInPandas(_level3(window, seed), "h long, g int, again boolean, block long")
-    rows = _alive(rows, ["h", "g"], "again", ["h", "block"])
-    alive = rows.groupBy("block").agg(F.collect_list("h").alias("alive"))
+    windows = _alive(rows, ["h", "g"], "again", ["h", "block"], "windows")
+    drop_stage(anchors, halves)
+    alive = windows.groupBy("block").agg(F.collect_list("h").alias("alive"))
     made = blocks.join(alive, "block", "left")
     return made.mapInPandas(_final(window, seed), "doc_id long, n_words long, n_removed long, removed array<array<int>>, text string")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and the digest of the words kept, of all documents."""
     made = dedup_passages(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 

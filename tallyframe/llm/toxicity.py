@@ -298,6 +298,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, expected and n_spans of all documents, by a field fitted in the query."""
     docs = table(spark, sf_dir, "documents")
     made = tag(docs, train(docs, table(spark, sf_dir, "labels")))
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "expected", F.size("spans").alias("n_spans"))
