@@ -65,7 +65,7 @@ def keyed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Texts are cut into words once: the words' hashes are staged, counted, and then put in order.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
-    hashed = stage(rows.select("doc_id", "h", "line_no", tokens(F.col("line")).alias("tokens")), "linetokens", "snappy")
+    hashed = stage(rows.select("doc_id", "h", "line_no", tokens(F.col("line")).alias("tokens")), "linetokens")
     levels = rarity(hashed)
     # a word is one number: its level above 56 bits of its hash, so that numbers sort from rare to common
     level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BINS - 1)).cast("int")), F.lit(0)).cast("long")
@@ -73,7 +73,7 @@ def keyed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ranked = hashed.select("doc_id", "h", "line_no", F.sort_array(F.transform("tokens", number)).alias("ranked"), F.slice(F.sort_array("tokens"), 1, NEAR_WORDS).alias("least"))
     n = F.size("ranked")
     bits = lambda half: F.expr(f"aggregate(ranked, 0L, (b, t) -> if((t & 64) = {half}, b ^ shiftleft(1L, cast(t & 63 as int)), b))")
-    made = stage(ranked.select("doc_id", "h", "line_no", F.xxhash64("ranked").alias("key"), bits(0).alias("low"), bits(64).alias("high"), n.alias("n"), F.slice("ranked", F.lit(1), n - _least(similarity, n) + 1).alias("prefix"), "least"), "keyedlines", "snappy")
+    made = stage(ranked.select("doc_id", "h", "line_no", F.xxhash64("ranked").alias("key"), bits(0).alias("low"), bits(64).alias("high"), n.alias("n"), F.slice("ranked", F.lit(1), n - _least(similarity, n) + 1).alias("prefix"), "least"), "keyedlines")
     drop_stage(hashed)
     return made
 
@@ -137,12 +137,13 @@ def near_candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataF
 def open_candidates(classes: DataFrame, gone: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of classes that share a rare word and pass all filters, where the later one is not among ``gone``.
 
-    A pair is looked at where it first shares a word; so nothing before that place is common to both.
+    A pair is looked at where it first shares a word; so nothing before that place is common to both.  Size, place and
+    whether a class is open travel as one number, as these rows are most of what is shuffled.
     """
     known = gone.select(*ID, F.lit(True).alias("_gone"))
-    rows = classes.join(known, ID, "left").select(*ID, "n", _doc(), F.col("_gone").isNull().alias("open"), F.posexplode("prefix").alias("pos", "t"))
-    posts = rows.repartition("t")
-    a, b = posts.alias("a"), posts.alias("b")
+    rows = classes.join(known, ID, "left").select(*ID, _doc(), (F.col("n").cast("long") * 2 + F.col("_gone").isNull().cast("long")).alias("size"), F.posexplode("prefix").alias("pos", "t"))
+    posts = rows.select(*ID, "doc", "t", (F.shiftleft("size", 31) + F.col("pos")).alias("at")).repartition("t")
+    a, b = (posts.select("*", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).alias("pos"), (F.shiftright("at", 31).bitwiseAND(F.lit(1)) == 1).alias("open")).alias(s) for s in "ab")
     tie = (F.col("a.doc") == F.col("b.doc")) & (_id("a") < _id("b"))  # which is the later one is seen when sets are compared
     wanted = F.when(F.col("a.doc") < F.col("b.doc"), F.col("b.open")).when(tie, F.col("a.open") | F.col("b.open")).otherwise(False)
     room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= _need(F.col("a.n"), F.col("b.n"), similarity)
