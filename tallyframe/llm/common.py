@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..sources.stages import drop_stage, stage, stage_buckets, stage_path
 
-__all__ = ["WORD", "drop_stage", "free_names", "hash_sample", "likely", "stage", "stage_buckets", "stage_path", "table", "with_rank"]
+__all__ = ["WORD", "drop_stage", "free_names", "hash_sample", "likely", "stage", "stage_buckets", "stage_path", "table", "with_likely", "with_rank"]
 
 #: Words are maximal runs of characters outside these: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,12 +30,12 @@ def free_names(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-#: Bits of the largest map that ``likely`` broadcasts (16 MB).
+#: Bits of the largest map that ``with_likely`` broadcasts (16 MB).
 MOST_BITS = 1 << 27
 
 
-def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """The ``rows`` whose hash ``key`` may be among ``wanted``, by a bit map that is broadcast; an exact join has to follow.
+def with_likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, name: str) -> DataFrame:
+    """Adds ``name``: whether the hash ``key`` of a row may be among ``wanted``, by a bit map that is broadcast; an exact join has to follow.
 
     It keeps what the join does not need out of its shuffle.  The map has 16 bits a wanted row, ``MOST_BITS`` at most, from
     where on it lets more and more pass.  A null key never passes.
@@ -44,10 +44,17 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Dat
     while bits < min(MOST_BITS, 16 * wanted.count()):
         bits *= 2
     group, slot = (lambda c: F.shiftright(c.bitwiseAND(F.lit(bits - 1)), 15)), (lambda c: c.bitwiseAND(F.lit(32767)))
-    maps = wanted.groupBy(group(F.col(wanted_key)).alias("_group")).agg(F.bitmap_construct_agg(slot(F.col(wanted_key))).alias("_map"))
-    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.shiftright(slot(F.col(key)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    group_, map_ = free_names(rows.columns, "group", "map")
+    maps = wanted.groupBy(group(F.col(wanted_key)).alias(group_)).agg(F.bitmap_construct_agg(slot(F.col(wanted_key))).alias(map_))
+    byte = F.conv(F.hex(F.substring(F.col(map_), (F.shiftright(slot(F.col(key)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = F.get(F.array(*[F.lit(1 << i) for i in range(8)]), F.col(key).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(byte) != 0
-    return rows.join(F.broadcast(maps), group(F.col(key)) == F.col("_group")).where(held).drop("_group", "_map")
+    return rows.join(F.broadcast(maps), group(F.col(key)) == F.col(group_), "left").withColumn(name, F.coalesce(held, F.lit(False))).drop(group_, map_)
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows that ``with_likely`` lets pass."""
+    (name,) = free_names(rows.columns, "likely")
+    return with_likely(rows, key, wanted, wanted_key, name).where(name).drop(name)
 
 
 def with_rank(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, drop_stage, free_names, likely, stage, table
+from .common import WORD, drop_stage, free_names, likely, stage, table, with_likely
 
 SIMILARITY, BINS = 0.8, 1 << 16
 #: How many of a set's least hashes the first round pairs up to look for earlier classes, and how many before a class in order it tries.
-NEAR_WORDS, NEAR_STEPS = 3, 6
+NEAR_WORDS, NEAR_STEPS = 3, 4
 #: Stands for no doc_id where rows are put in order; ties with a real id are told apart later.
 _NO_ID = (1 << 63) - 1
 
@@ -206,15 +206,18 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, removed: str |
     """
     if removed is not None and removed.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the column {removed} would be overwritten")
-    doc, h, doc2, h2, gone = free_names(docs.columns, "doc", "h", "doc2", "h2", "gone")
+    doc, h, doc2, h2, gone, may = free_names(docs.columns, "doc", "h", "doc2", "h2", "gone", "may")
     marks = find_repeats(docs.select("doc_id", "text"), similarity).select(F.col("doc_id").alias(doc2), F.col("h").alias(h2), F.col("removed").alias(gone))
-    rows = docs.withColumns({doc: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
-    rows = rows.join(marks, F.col(doc).eqNullSafe(F.col(doc2)) & (F.col(h) == F.col(h2)), "left")
+    rows = with_likely(docs.withColumns({doc: F.col("doc_id").cast("long"), h: F.xxhash64("text")}), h, marks, h2, may)
     all_ = F.split("text", "\n")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(gone)), lambda i: F.get(all_, i)), "\n")
     text = F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text"))
     out = [text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*out, *([F.coalesce(F.col(gone), F.array().cast("array<int>")).alias(removed)] if removed else []))
+    none = F.array().cast("array<int>")
+    extra = lambda c: [c.alias(removed)] if removed else []
+    # texts that lose no line take no part in the join
+    cut = rows.where(may).join(marks, F.col(doc).eqNullSafe(F.col(doc2)) & (F.col(h) == F.col(h2)), "left").select(*out, *extra(F.coalesce(F.col(gone), none)))
+    return rows.where(~F.col(may)).select(*[F.col(f"`{c}`") for c in docs.columns], *extra(none)).unionByName(cut)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
