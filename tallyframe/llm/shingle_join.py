@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_stage, stage
+from .common import drop_stage, likely, stage
 from .hashing import run_hashes, word_hashes
 from .simhash import components, first_rows, near_links, row_hash
 
-SHINGLE, SIMILARITY, BINS, ROUNDS = 5, 0.8, 1 << 18, 4
+SHINGLE, SIMILARITY, BINS, ROUNDS = 5, 0.8, 1 << 18, 2
 #: Texts that are hashed at once.
 AT_ONCE = 200
 
@@ -85,12 +85,23 @@ def set_fingerprint(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(found)).tobytes(), "big", signed=True)
 
 
-KEYED = "doc_id long, row long, key long, fp long, n int, prefix array<long>, data binary"
+#: Places of the parity sketch of a set, by its size: the first that are more than its hashes, or the last.
+PLACES = (1 << 10, 1 << 13, 1 << 16)
+
+
+def sketch(found: np.ndarray) -> list[int]:
+    """Parity of a set's hashes in places, as longs.  Two sets differ in as many hashes at least as their sketches in bits."""
+    places = next((p for p in PLACES if p > len(found)), PLACES[-1])
+    odd = np.bincount((found & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+KEYED = "doc_id long, row long, key long, fp long, n int, prefix array<long>, sketch array<long>, data binary"
 
 
 def keyed_texts(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """doc_id, row, key and fp (of the set), n (its size), prefix (its rarest shingles) and data (the text, compressed); the last
-    two are null for a set that the task has given."""
+    """doc_id, row, key and fp (of the set), n (its size), prefix (its rarest shingles), sketch and data (the text, compressed); the
+    last three are null for a set that the task has given."""
     order = docs.sparkSession.sparkContext.broadcast(rarity(docs, k))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,20 +111,22 @@ def keyed_texts(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
         press = zstandard.ZstdCompressor(level=1)
         for pdf in batches:
             for part, sets in _parts(pdf, k):
-                keys, prefixes, data = [_key(s) for s in sets], [], []
+                keys, prefixes, sketches, data = [_key(s) for s in sets], [], [], []
                 for key, s, t in zip(keys, sets, part["text"], strict=True):
                     if key in seen:
                         prefixes.append(None)
+                        sketches.append(None)
                         data.append(None)
                         continue
                     seen.add(key)
                     m = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
                     prefixes.append(s[np.argsort(order.value[_bins(s)], kind="stable")[:m]].view(np.int64).tolist())
+                    sketches.append(sketch(s))
                     data.append(press.compress((t or "").encode()))
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64").array, "row": part["row"].to_numpy(), "key": keys, "fp": [set_fingerprint(s) for s in sets],
-                        "n": [len(s) for s in sets], "prefix": prefixes, "data": data,
+                        "n": [len(s) for s in sets], "prefix": prefixes, "sketch": sketches, "data": data,
                     }
                 )
 
@@ -127,8 +140,8 @@ def _ok(a: str, b: str, similarity: float) -> Column:
     return (F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - F.lit(1e-9)) & (left >= F.ceil((an + bn) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)))
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, similarity: float, k: int) -> DataFrame:
-    """The pairs whose whole sets have a Jaccard of at least ``similarity``."""
+def _verified(pairs: DataFrame, keyed: DataFrame, sketches: DataFrame, similarity: float, k: int) -> DataFrame:
+    """The pairs whose whole sets have a Jaccard of at least ``similarity``; texts are fetched only where the sketches leave room for it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -140,10 +153,14 @@ def _verified(pairs: DataFrame, keyed: DataFrame, similarity: float, k: int) ->
                 sets = shingle_sets([press.decompress(d).decode() for d in part["data"]], k)
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "set": [s.view(np.int64).tolist() for s in sets]})
 
-    pairs = stage(pairs, "shinglepairs")
+    side = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    # sketches of two lengths tell nothing
+    differ = F.when(F.size("sa") == F.size("sb"), F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)).otherwise(0)
+    room = F.col("na") + F.col("nb") - differ >= 2 * F.ceil((F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    pairs = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(room).select("a", "b"), "shinglepairs")
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "shinglewanted")
     # more than one task may have given a set
-    texts = keyed.where("data is not null").select("key", "data").join(wanted, "key").groupBy("key").agg(F.any_value("data").alias("data"))
+    texts = likely(keyed.where("data is not null").select("key", "data"), "key", wanted, "key").join(wanted, "key").groupBy("key").agg(F.any_value("data").alias("data"))
     sets = stage(texts.mapInPandas(run, "key long, set array<long>"), "shinglesets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -185,11 +202,12 @@ def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHI
     While more than ``most`` pairs a post are open, a round links neighbours only, ``rounds`` times at most; then all open pairs
     are taken.  Between rounds only posts of shingles that are still shared by different components are kept.
     """
-    edges = _verified(close_pairs(keyed), keyed, similarity, k)
+    sketches = stage(keyed.where("sketch is not null").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "shinglesketches")
+    edges = _verified(close_pairs(keyed), keyed, sketches, similarity, k)
     roots = stage(components(edges).select(F.col("node").alias("key"), "root"), "shingleroots")
     posts = keyed.where("prefix is not null").select("key", "n", "prefix").join(roots, "key", "left")
     posts = posts.select("key", "n", F.coalesce("root", "key").alias("root"), F.posexplode("prefix").alias("pos", "t")).repartition("t").dropDuplicates(["t", "key"])
-    live = _live(posts, 0, similarity)
+    live, seen = _live(posts, 0, similarity), None
     for turn in range(1, rounds + 2):
         total = live.agg(F.coalesce(F.sum("others"), F.lit(0)).alias("p"), F.count("*").alias("m")).first()
         if not total["p"]:
@@ -203,7 +221,12 @@ def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHI
             found = cross.join(x, ["t", "ra"]).join(y, ["t", "rb"]).where(_ok("x", "y", similarity)).select(*_pairs(F.col("x.key"), F.col("y.key")))
         else:
             found = live.select("key", F.explode(F.array("y1", "y2")).alias("y")).where("y is not null").select(*_pairs(F.col("key"), F.col("y")))
-        new = _verified(found.distinct(), keyed, similarity, k)
+        # a pair is looked at once
+        found = stage(found.distinct() if seen is None else found.distinct().join(seen, ["a", "b"], "left_anti"), "shinglefound")
+        new = _verified(found, keyed, sketches, similarity, k)
+        was, seen = seen, found if seen is None or last else stage(seen.unionByName(found), "shingleseen")
+        if was is not None and was is not seen:
+            drop_stage(was)
         both = stage(edges.unionByName(new), "shinglelinks")
         drop_stage(edges, new, roots)
         edges = both
@@ -212,7 +235,7 @@ def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHI
             break
         old, live = live, _live(live.select("key", "n", "pos", "t").join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), "pos", "t"), turn, similarity)
         drop_stage(old)
-    drop_stage(live, edges)
+    drop_stage(live, edges, sketches)
     return roots
 
 
