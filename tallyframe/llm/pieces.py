@@ -69,9 +69,9 @@ class PieceEncoder:
     """
 
     #: Characters of text whose chunks are learned at once.
-    GROUP = 4_000_000
+    GROUP = 2_000_000
 
-    def __init__(self, path: str, limit: int = 2 * CACHE):
+    def __init__(self, path: str, limit: int = CACHE):
         self.tok = load_tokenizer(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.leads = np.zeros(self.tok.get_vocab_size(), bool)

@@ -25,7 +25,8 @@ FOLDS = 5
 #: Training sample: documents of each class, and characters of the longest; scoring has no such bounds.
 SAMPLE, LONGEST = 2000, 20_000
 DIM, EPOCHS, RATE, SHRINK = 1 << 18, 40, 0.3, 1e-3
-KEPT = 500_000
+#: Words whose emission a worker keeps.
+KEPT = 200_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
