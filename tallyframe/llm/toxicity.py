@@ -135,11 +135,11 @@ def fit(texts: list[str], toxic: list[int], prior: float) -> Model:
     y = np.array(toxic, bool)
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in re.findall(WORD, t)], np.int64) for t in texts]
-    feats = np.array([features(w) for w in number], np.int64).reshape(-1, 6)
+    feats = np.fromiter((f for w in number for f in features(w)), np.int64, 6 * len(number)).reshape(-1, 6)
     tokens = label_tokens(docs, y, feats)
     weights, moves = np.zeros(DIM), np.array([0.0, -4.0, 0.0, -4.0])
     weights_m, weights_v, moves_m, moves_v = np.zeros(DIM), np.zeros(DIM), np.zeros(4), np.zeros(4)
-    groups = [g for g in _groups([len(d) for d in docs]) if len(docs[g[-1]])]
+    groups = [g for g in _groups([len(d) for d in docs], 100_000) if len(docs[g[-1]])]  # small tables: this runs on the driver
     total = max(1, sum(len(d) for d in docs))
     for step in range(1, EPOCHS + 1):
         value = weights[feats].sum(1)
