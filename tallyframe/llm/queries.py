@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, html_extract, line_dedup, media, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
+from . import decontam, html_extract, line_dedup, media, merkle, mixing, simhash, substring_dedup, token_counts, token_output, toxicity, whitening, word_bpe
 
 QUERIES = {
     "op1_bit_planes": token_output.op1_bit_planes,
@@ -17,8 +17,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_media": media.op10_media,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_word_bpe": word_bpe.op13_word_bpe,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_mixing": mixing.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
