@@ -9,6 +9,7 @@ A scan a merge suits short words; a long one (``SHORT``) keeps the same array un
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -17,19 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .pieces import CACHE, load_tokenizer, once, tokenizer_path
+from .pieces import load_tokenizer, once, tokenizer_path
 
 #: Parts up to which a word is merged by scans.
 SHORT = 64
-#: Characters of the longest chunk that is kept, and of the texts that are encoded at once.
-KEPT, GROUP = 64, 2_000_000
+#: Chunks and words that a task keeps, characters of the longest chunk that is kept, and bytes of the texts that are encoded at once.
+CHUNKS, WORDS, KEPT, GROUP = 300_000, 200_000, 64, 2_000_000
 _NONE = 1 << 60
 
 
 class WordBpe:
     """A tokenizers file of kind BPE without dropout, byte fallback and continuing prefix."""
 
-    def __init__(self, path: str, limit: int = CACHE):
+    def __init__(self, path: str, limit: int = CHUNKS):
         import json
         import regex
 
@@ -46,7 +47,9 @@ class WordBpe:
         added = self.tok.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.odd = regex.compile(r"\s")
         self.limit = limit
+        self.words: dict[str, bytes] = {}
         self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
         self._forget()
 
@@ -57,23 +60,25 @@ class WordBpe:
 
     def word(self, letters: str) -> list[int]:
         """Ids of a word, given as its byte letters."""
-        units = [*letters[:-1], letters[-1] + self.suffix]
+        units = [*letters]
+        units[-1] += self.suffix
         if len(units) > SHORT:
             return self._long(units)
-        word, ranks = letters + self.suffix, self.ranks
+        word, get = letters + self.suffix, self.ranks.get
         starts = [*range(len(letters)), len(word)]  # boundaries: part i is word[starts[i] : starts[i + 1]]
-        rank = [ranks.get(pair, _NONE) for pair in zip(units, units[1:], strict=False)]
+        rank = [get(pair, _NONE) for pair in zip(units, units[1:], strict=False)]
         while rank:
             least = min(rank)
             if least == _NONE:
                 break
             i = rank.index(least)
             del starts[i + 1], rank[i]
-            part = word[starts[i] : starts[i + 1]]
+            end = starts[i + 1]
+            part = word[starts[i] : end]
             if i < len(rank):
-                rank[i] = ranks.get((part, word[starts[i + 1] : starts[i + 2]]), _NONE)
+                rank[i] = get((part, word[end : starts[i + 2]]), _NONE)
             if i:
-                rank[i - 1] = ranks.get((word[starts[i - 1] : starts[i]], part), _NONE)
+                rank[i - 1] = get((word[starts[i - 1] : starts[i]], part), _NONE)
         return [self.vocab[word[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
 
     def _long(self, units: list[str]) -> list[int]:
@@ -100,31 +105,59 @@ class WordBpe:
                         heappush(heap, (rank[k], k))
         return [self.vocab[u] for u in units if u]
 
-    def _plain(self, text: str) -> list[int]:
+    def _packed(self, letters: str) -> bytes:
+        """Ids of a word as 32-bit integers; those of short words are kept."""
+        got = self.words.get(letters)
+        if got is None:
+            got = array("i", self.word(letters)).tobytes()
+            if len(letters) <= KEPT:
+                if len(self.words) >= WORDS:
+                    self.words.clear()
+                self.words[letters] = got
+        return got
+
+    def _pieces(self, text: str) -> tuple[str, list]:
+        """(normal form, words with their bounds in it)."""
         normal = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
-        words = self.tok.pre_tokenizer.pre_tokenize_str(normal) if self.tok.pre_tokenizer else [(normal, None)]
-        return [i for letters, _ in words if letters for i in self.word(letters)]
-
-    def chunk(self, text: str) -> list[int]:
-        """Ids of a text; the special strings in it are tokens of their own."""
-        if self.cut is None:
-            return self._plain(text)
-        return [i for part in self.cut.split(text) if part for i in ([self.special[part]] if part in self.special else self._plain(part))]
+        return normal, self.tok.pre_tokenizer.pre_tokenize_str(normal) if self.tok.pre_tokenizer else [(normal, (0, len(normal)))]
+
+    def chunk(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers; the special strings in it are tokens of their own."""
+        out = []
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.special:
+                out.append(array("i", [self.special[part]]).tobytes())
+            elif part:
+                out += [self._packed(letters) for letters, _ in self._pieces(part)[1] if letters]
+        return b"".join(out)
+
+    def _many(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk: those without white space and special strings go through the file's rules as one text, by spaces."""
+        plain = [bool(c) and not self.odd.search(c) and not (self.cut and self.cut.search(c)) for c in chunks]
+        some = [c for c, p in zip(chunks, plain, strict=True) if p]
+        normal, words = self._pieces(" ".join(some))
+        sizes = np.array([len(c) for c in normal.split(" ")])
+        if len(sizes) != len(some):
+            return [self.chunk(c) for c in chunks]
+        ends = np.cumsum(sizes + 1)
+        of = np.searchsorted(ends, np.array([at for _, (at, _) in words], np.int64), side="right")
+        bounds = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
+        made = [self._packed(letters) for letters, _ in words]
+        joined = iter([b"".join(made[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
+        return [next(joined) if p else self.chunk(c) for c, p in zip(chunks, plain, strict=True)]
 
     def _places(self, chunks: list[str]) -> np.ndarray:
         """The place of each of these different chunks among the known ones; new ones are learned."""
         if len(self.known) > self.limit:
             self._forget()
-        new, ids = [c for c in chunks if c not in self.known], []
+        new = [c for c in chunks if c not in self.known]
+        made = [m for at in range(0, len(new), 20_000) for m in self._many(new[at : at + 20_000])]
         if new:
-            made = [self.chunk(c) for c in new]
-            for k, c in enumerate(new):
-                self.known[c] = len(self.size) + k
-            size = np.array([len(m) for m in made], np.int64)
-            ids = np.array([i for m in made for i in m], np.int32)
+            self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            size = np.array([len(m) // 4 for m in made], np.int64)
             self.at, self.size = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size]), np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, ids])
-        return np.array([self.known[c] for c in chunks], np.int64)
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), np.int32)])
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, how many each has); ``texts`` is an Arrow array without nulls."""
@@ -139,7 +172,7 @@ class WordBpe:
         place[[len(c) <= KEPT for c in chunks]] = self._places(short)
         at, size, flat = self.at[place], self.size[place], self.flat
         for k in np.flatnonzero(place < 0).tolist():  # long ones are made and forgotten
-            ids = np.array(self.chunk(chunks[k]), np.int32)
+            ids = np.frombuffer(self.chunk(chunks[k]), np.int32)
             at[k], size[k] = len(flat), len(ids)
             flat = np.concatenate([flat, ids])
         which = coded.indices.to_numpy()
