@@ -23,7 +23,7 @@ from .pieces import load_tokenizer, once, tokenizer_path
 #: Parts up to which a word is merged by scans.
 SHORT = 64
 #: Chunks and words that a task keeps, characters of the longest chunk that is kept, and bytes of the texts that are encoded at once.
-CHUNKS, WORDS, KEPT, GROUP = 300_000, 200_000, 64, 2_000_000
+CHUNKS, WORDS, KEPT, GROUP = 100_000, 500_000, 64, 2_000_000
 _NONE = 1 << 60
 
 
@@ -47,7 +47,7 @@ class WordBpe:
         added = self.tok.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.odd = regex.compile(r"\s")
+        self.odd = regex.compile("|".join([r"\s", *map(regex.escape, self.special)]))
         self.limit = limit
         self.words: dict[str, bytes] = {}
         self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
@@ -133,7 +133,7 @@ class WordBpe:
 
     def _many(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk: those without white space and special strings go through the file's rules as one text, by spaces."""
-        plain = [bool(c) and not self.odd.search(c) and not (self.cut and self.cut.search(c)) for c in chunks]
+        plain = [bool(c) and not self.odd.search(c) for c in chunks]
         some = [c for c, p in zip(chunks, plain, strict=True) if p]
         normal, words = self._pieces(" ".join(some))
         sizes = np.array([len(c) for c in normal.split(" ")])
