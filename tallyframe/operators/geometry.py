@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .polygons import polygon_iou, polygon_overlap
+
+__all__ = ["best_windows", "center_of_mass", "context_box", "iou", "median_center", "nms", "polygon_area", "polygon_iou", "polygon_overlap", "stitch_tiles", "ten_crops", "tile_boxes", "tile_starts", "window_classes"]
+
 
 def iou(a: str, b: str) -> Column:
     """Intersection over union of two structs (xmin, ymin, xmax, ymax); areas without the extra pixel."""
@@ -131,41 +135,6 @@ def polygon_area(points: Column | str) -> Column:
     return F.abs(0.5 * F.aggregate(cross, F.lit(0.0), lambda s, v: s + v))
 
 
-def polygon_iou(a: str, b: str) -> Column:
-    """Intersection over union of two convex polygons, by clipping one with the edges of the other."""
-    def area(q) -> float:
-        q = np.asarray(q, float)
-        return 0.0 if len(q) < 3 else 0.5 * float((q[:, 0] * np.roll(q[:, 1], -1) - q[:, 1] * np.roll(q[:, 0], -1)).sum())
-
-    def clip(p, q) -> list:
-        p = list(map(tuple, np.asarray(p, float).reshape(-1, 2)))
-        q = np.asarray(q, float).reshape(-1, 2)
-        q = q if area(q) >= 0 else q[::-1]
-        for (x1, y1), (x2, y2) in zip(q, np.roll(q, -1, 0), strict=True):
-            side = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x, y in p]
-            out = []
-            for i, (pt, s) in enumerate(zip(p, side, strict=True)):
-                prev, t = p[i - 1], side[i - 1]
-                if (s >= 0) != (t >= 0):
-                    k = t / (t - s)
-                    out.append((prev[0] + k * (pt[0] - prev[0]), prev[1] + k * (pt[1] - prev[1])))
-                if s >= 0:
-                    out.append(pt)
-            p = out
-        return p
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            inter = abs(area(clip(p, q)))
-            union = abs(area(np.reshape(p, (-1, 2)))) + abs(area(np.reshape(q, (-1, 2)))) - inter
-            out.append(inter / union if union else 0.0)
-        return pd.Series(out, dtype=float)
-
-    return run(a, b)
-
-
 def tile_starts(size: Column, tile: Column, stride: Column) -> Column:
     """Starts of tiles along one side: every ``stride``, and one that ends at the edge if the last does not."""
     last = F.greatest(size - tile, F.lit(0))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .sampling import place_in
+
 _NUM = r"([-+]?(?:[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?|inf|nan))"
 
 
@@ -111,14 +114,86 @@ def downsample(df: DataFrame, max_points: int = 18_000, order: str = "iteration"
     return out.where(F.col("_r") % F.col("_k") == 0).drop("_r", "_k")
 
 
+#: Rows a feature that ``topk_per_feature`` still ranks by a window; more are selected by histograms.
+WINDOW_ROWS = 10_000
+#: Bins of a histogram, and those of a factor of two in the first one over doubles.
+BINS, OCTAVE = 65_536, 16
+
+
+def kth_largest(rows: DataFrame, value: str, need: int | DataFrame, group: str = "pos") -> DataFrame:
+    """group, cut, need: the value at place ``need`` of each group, and how many of the rows equal to it are among the first ``need``.
+
+    A histogram shows the bin of that place and the range of its values, which the next one cuts finer, until the range is
+    one value: no row is ranked and no task holds a group.  Bins are of equal width, and in the first pass over doubles of equal
+    ratio, so that five passes reach the last digit.  Not-a-number is above all, null below.  ``need`` may be a table (group,
+    need).  The groups' ranges, a row each, go through the driver.
+    """
+    spark, real = rows.sparkSession, not isinstance(rows.schema[value].dataType, (T.LongType, T.IntegerType))
+    cells = rows.select(F.col(group).alias("g"), F.col(value).cast("double" if real else "long").alias("x"))
+    schema = T.StructType([T.StructField("g", rows.schema[group].dataType), T.StructField("lo", cells.schema["x"].dataType), T.StructField("hi", cells.schema["x"].dataType), T.StructField("need", T.LongType())])
+    x = F.col("x")
+    from_lo = lambda c: (c - F.col("lo") if real else c.cast("decimal(20,0)") - F.col("lo")).cast("double")
+    ratio = F.signum(x) * (F.log2(F.abs(x)) + 1100) * OCTAVE
+    coarse = F.when(x.isNull(), -1e6).when(F.isnan(x), 1e6).when(x == 0, 0.0).otherwise(F.greatest(F.lit(-5e5), F.least(F.lit(5e5), F.floor(ratio).cast("double")))) if real else F.lit(0.0)
+    fine = F.floor(from_lo(x) / from_lo(F.col("hi")) * BINS).cast("double")
+
+    def look(part: DataFrame, bin_: Column) -> list:
+        bins = part.groupBy("g", "need", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        above = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy(F.desc_nulls_last("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return bins.withColumn("above", above).where("above < need and need <= above + n").select("g", "lo", "hi", (F.col("need") - F.col("above")).cast("long").alias("need")).collect()
+
+    table = need.select(F.col(group).alias("g"), F.col("need").cast("long").alias("need")) if isinstance(need, DataFrame) else None
+    first = cells.withColumn("need", F.lit(need).cast("long")) if table is None else cells.join(F.broadcast(table), "g")
+    found = look(first, coarse)  # a group with fewer rows has no such place and drops out
+    done = []
+    one = lambda r: r["lo"] is None or r["lo"] == r["hi"] or r["lo"] != r["lo"]
+    while True:
+        done += [r for r in found if one(r)]
+        found = [r for r in found if not one(r)]
+        if not found:
+            break
+        spans = F.broadcast(spark.createDataFrame([tuple(r) for r in found], schema))
+        found = look(cells.join(spans, "g").where((x >= F.col("lo")) & (x <= F.col("hi"))), fine)
+    return spark.createDataFrame([(r["g"], r["lo"], r["need"]) for r in done], T.StructType([schema["g"], T.StructField("cut", schema["lo"].dataType), schema["need"]])).withColumnRenamed("g", group)
+
+
+def _selected(df: DataFrame, n: int, vec: str, key: str) -> DataFrame:
+    """``topk_per_feature`` without ranks: the cut of each element, and where not all equal rows have a place, the cut of their keys."""
+    long = df.select(key, F.posexplode(vec).alias("pos", "x"))
+    cuts = kth_largest(long, "x", n)
+    tied = long.join(F.broadcast(cuts), "pos").where(F.col("x").eqNullSafe(F.col("cut")))
+    short = F.broadcast(tied.groupBy("pos", "need").agg(F.count("*").alias("ties")).where("ties > need").select("pos", "need"))
+    some = tied.select("pos", "x", key).join(short, "pos")
+    if isinstance(df.schema[key].dataType, (T.LongType, T.IntegerType)):
+        # least keys first
+        last = kth_largest(some.select("pos", (-F.col(key).cast("long")).alias("k")), "k", short).select("pos", (-F.col("cut")).alias("last"))
+        kept = F.col("last").isNull() | (F.col(key) <= F.col("last"))
+        cells = long.join(F.broadcast(cuts.join(last, "pos", "left")), "pos")
+    else:
+        first = place_in(some, "pos", [key], "_place").where(F.col("_place") < F.col("need")).select("pos", F.col(key).alias("_key"))
+        cells = long.join(F.broadcast(cuts.join(short.select("pos", F.lit(True).alias("short")), "pos", "left")), "pos")
+        tie = F.col("short") & F.col("x").eqNullSafe(F.col("cut"))
+        open_ = cells.where(tie).join(first.withColumn("held", F.lit(True)), (F.col(key) == F.col("_key")) & (cells["pos"] == first["pos"]), "left").select(key, cells["pos"], "x", "cut", F.col("held").isNotNull().alias("kept"))
+        cells = cells.where(~F.coalesce(tie, F.lit(False))).select(key, "pos", "x", "cut", F.lit(True).alias("kept")).unionByName(open_)
+        kept = F.col("kept")
+    above = F.when(F.col("cut").isNull(), F.col("x").isNotNull()).otherwise(F.coalesce(F.col("x") > F.col("cut"), F.lit(False)))
+    return cells.select(key, "pos", F.when(above | (F.col("x").eqNullSafe(F.col("cut")) & kept), F.col("x")).otherwise(0.0).alias("value"))
+
+
 def topk_per_feature(df: DataFrame, k: float, vec: str = "vec", key: str = "id") -> DataFrame:
-    """key, pos, value: the k largest values of each element over all rows stay, the rest are 0.
+    """key, pos, value: the k largest values of each element over all rows stay, the rest are 0; of equal values those of least key.
 
-    k below 1 is a share of the rows.  Spark thins each partition to its own k best before the exchange.
+    k below 1 is a share of the rows.  Up to ``WINDOW_ROWS`` Spark thins each partition to its own k best before the
+    exchange; more are selected by histograms (``kth_largest``), so that no task holds an element's rows.  Keys are distinct.
     """
+    total = df.count()
+    n = max(1, int(k) if k >= 1 else int(total * k))
+    if n >= total:
+        return df.select(key, F.posexplode(vec).alias("pos", "value"))
+    if n > WINDOW_ROWS:
+        return _selected(df, n, vec, key)
     long = df.select(key, F.posexplode(vec).alias("pos", "x"))
-    n = int(k) if k >= 1 else max(1, int(df.count() * k))
-    top = long.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy(F.col("x").desc(), key))).where(F.col("r") <= max(1, n))
+    top = long.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy(F.col("x").desc(), key))).where(F.col("r") <= n)
     # back to a row a vector before the join, so that it is not of all elements
     kept = top.groupBy(F.col(key).alias("_key")).agg(F.collect_set("pos").alias("_kept"))
     cells = df.select(key, F.col(vec).alias("_v")).join(kept, F.col(key) == F.col("_key"), "left").select(key, F.col("_kept"), F.posexplode("_v").alias("pos", "x"))

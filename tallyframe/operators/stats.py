@@ -141,23 +141,70 @@ def mean_scores(df: DataFrame, output: str = "output", value: str = "value", wei
     return df.groupBy(output).agg((F.avg(value) * F.lit(weight)).alias("mean_score"))
 
 
-def gram_matrix(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """i, row: X'X by partial matrices; a matrix row a message, not a cell."""
+#: Kernels of ``gram_matrix``: what each needs of a pair of elements, summed over all rows.
+KERNELS = {"linear": "product", "cosine": "product", "polynomial": "product", "sigmoid": "product", "rbf": "product", "laplacian": "distance", "chi2": "chi2", "additive_chi2": "chi2"}
+
+
+def _pair_sums(df: DataFrame, vec: str, kind: str) -> DataFrame:
+    """i, j, x, n: sums over n rows of the product, the absolute difference or (a - b)^2 / (a + b) of elements i and j.
+
+    Partial matrices, a matrix row a message, not a cell; a batch is taken an element at a time, so that it holds
+    rows * elements numbers.  Rows without a vector are left out.
+    """
     import numpy as np
     import pandas as pd
 
+    def add(x: np.ndarray) -> np.ndarray:
+        if kind == "product":
+            return x.T @ x
+        if kind == "chi2" and (x < 0).any():
+            raise ValueError("chi-squared kernels are for values of 0 or more")
+        out = np.zeros((x.shape[1], x.shape[1]))
+        for i in range(x.shape[1]):
+            one, rest = x[:, i : i + 1], x[:, i:]
+            gap = np.abs(one - rest)
+            if kind == "chi2":
+                both = one + rest
+                gap = np.divide(gap * gap, both, out=np.zeros_like(gap), where=both > 0)
+            out[i, i:] = out[i:, i] = gap.sum(0)
+        return out
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total, n = None, 0
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy()).astype(float)
-                total = x.T @ x if total is None else total + x.T @ x
+                made = add(x)
+                total, n = made if total is None else total + made, n + len(x)
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total), dtype="int32"), "row": list(total)})
-
-    parts = df.select(F.col(vec).alias("v")).mapInPandas(partial, "i int, row array<double>")
-    cells = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
-    return cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("row"))
+            yield pd.DataFrame({"i": np.arange(len(total), dtype="int32"), "row": list(total), "n": n})
+
+    parts = df.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v")).mapInPandas(partial, "i int, row array<double>, n long")
+    return parts.select("i", "n", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+
+
+def gram_matrix(df: DataFrame, vec: str = "vec", kernel: str = "linear", gamma: float | None = None, degree: int = 3, coef0: float = 1.0) -> DataFrame:
+    """i, row: the kernel of each two elements of the vectors, each element being the vector of its values over all rows.
+
+    linear x.y, cosine x.y / |x||y|, polynomial (gamma x.y + coef0)^degree, sigmoid tanh(gamma x.y + coef0), rbf
+    exp(-gamma |x - y|^2), laplacian exp(-gamma |x - y|_1), additive_chi2 -sum (x - y)^2 / (x + y) (0 where both are 0),
+    chi2 exp(gamma times that).  Without ``gamma`` it is 10 over the number of rows, and 1 for chi2.
+    """
+    if kernel not in KERNELS:
+        raise ValueError(f"no kernel named {kernel}")
+    cells = _pair_sums(df, vec, KERNELS[kernel])
+    x, g = F.col("x"), F.lit(float(gamma)) if gamma is not None else F.lit(1.0) if kernel == "chi2" else F.lit(10.0) / F.col("n")
+    if kernel in ("cosine", "rbf"):  # as many numbers as a vector has
+        own = cells.where("i = j")
+        cells = cells.join(F.broadcast(own.select("i", F.col("x").alias("xi"))), "i").join(F.broadcast(own.select("j", F.col("x").alias("xj"))), "j")
+    size = F.sqrt(F.col("xi") * F.col("xj"))
+    far = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.greatest(F.col("xi") + F.col("xj") - 2 * x, F.lit(0.0)))
+    value = {
+        "linear": lambda: x, "cosine": lambda: F.when(size > 0, x / size).otherwise(0.0), "polynomial": lambda: F.pow(g * x + F.lit(coef0), F.lit(float(degree))),
+        "sigmoid": lambda: F.tanh(g * x + F.lit(coef0)), "rbf": lambda: F.exp(-g * far), "laplacian": lambda: F.exp(-g * x), "chi2": lambda: F.exp(-g * x), "additive_chi2": lambda: -x,
+    }[kernel]()
+    made = cells.select("i", "j", value.alias("x"))
+    return made.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("row"))
 
 
 def refit(df: DataFrame, features: str = "vec", target: str = "target", keep: list[int] | None = None) -> list[float]:

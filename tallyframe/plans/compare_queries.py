@@ -139,6 +139,31 @@ def a46_polygon_iou(spark, d):
     return rows.select("id", r6(G.polygon_iou("a", "b")).alias("iou"))
 
 
+#: Arrowheads: four corners, the third one drawn in, going round one way for a and the other for b.
+_DARTS = (
+    VECTORS + ", q AS (SELECT id, 'a' AS side, [v[1], v[2] + 2, v[1] + 1.5, v[2] - 1.5, v[1], v[2] - abs(v[3]), v[1] - 1.5, v[2] - 1.5] AS p FROM s"
+    " UNION ALL SELECT id, 'b', [v[4] - 1.5, v[5] - 1, v[4] - abs(v[6]), v[5], v[4] - 1.5, v[5] + 1, v[4] + 2, v[5]] FROM s)"
+    ", g AS (SELECT id, side, p[2 * i + 1] AS x1, p[2 * i + 2] AS y1, p[2 * ((i + 1) % 4) + 1] AS x2, p[2 * ((i + 1) % 4) + 2] AS y2 FROM q, (SELECT unnest(range(0, 4)) AS i))"
+    ", n AS (SELECT a.id, a.y1 + ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / d * (a.y2 - a.y1) AS y FROM (SELECT a, b, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS d FROM g a JOIN g b ON a.id = b.id AND a.side = 'a' AND b.side = 'b')"
+    " WHERE d <> 0 AND ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / d BETWEEN 0 AND 1 AND ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / d BETWEEN 0 AND 1)"
+    ", h AS (SELECT id, y AS lo, lead(y) OVER (PARTITION BY id ORDER BY y) AS hi FROM (SELECT DISTINCT id, y FROM (SELECT id, y1 AS y FROM g UNION ALL SELECT id, y FROM n)))"
+    ", c AS (SELECT g.id, side, lo, hi, row_number() OVER (PARTITION BY g.id, side, lo ORDER BY x1 + ((lo + hi) / 2 - y1) * (x2 - x1) / (y2 - y1)) - 1 AS k, x1 + ((lo + hi) / 2 - y1) * (x2 - x1) / (y2 - y1) AS x"
+    " FROM g JOIN h ON g.id = h.id AND least(y1, y2) < (lo + hi) / 2 AND (lo + hi) / 2 < greatest(y1, y2))"
+    ", t AS (SELECT id, side, lo, hi, min(x) AS l, max(x) AS r FROM c GROUP BY id, side, lo, hi, k // 2)"
+    ", z AS (SELECT id, sum((hi - lo) * (r - l)) FILTER (side = 'a') AS area_a, sum((hi - lo) * (r - l)) FILTER (side = 'b') AS area_b FROM t GROUP BY id)"
+    ", w AS (SELECT a.id, sum((a.hi - a.lo) * greatest(least(a.r, b.r) - greatest(a.l, b.l), 0)) AS shared FROM t a JOIN t b ON a.id = b.id AND a.lo = b.lo AND a.side = 'a' AND b.side = 'b' GROUP BY a.id)"
+)
+
+
+@query(f"WITH {_DARTS} SELECT id, {sql6('area_a')} AS area_a, {sql6('area_b')} AS area_b, {sql6('coalesce(shared, 0) / (area_a + area_b - coalesce(shared, 0))')} AS iou FROM z LEFT JOIN w USING (id)")
+def a46_polygon_iou_concave(spark, d):
+    v = lambda i: F.element_at("v", i)
+    a = F.array(v(1), v(2) + 2, v(1) + 1.5, v(2) - 1.5, v(1), v(2) - F.abs(v(3)), v(1) - 1.5, v(2) - 1.5)
+    b = F.array(v(4) - 1.5, v(5) - 1, v(4) - F.abs(v(6)), v(5), v(4) - 1.5, v(5) + 1, v(4) + 2, v(5))
+    rows = vectors(spark, d).select("id", a.alias("a"), b.alias("b"))
+    return rows.select("id", r6(G.polygon_area("a")).alias("area_a"), r6(G.polygon_overlap("a", "b")["area_b"]).alias("area_b"), r6(G.polygon_iou("a", "b")).alias("iou"))
+
+
 def _sizes(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 20).alias("height"), (F.col("p_size") * 2 + 16).alias("width"))
 

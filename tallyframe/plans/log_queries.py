@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import logs as G
 from ..streaming.plateau import Params, plateau_monitor
-from .base import LOSSES, losses, query, r6, rounded, sql6
+from .base import LOSSES, losses, query, r6, rounded, sql6, table
 
 _RUN = "OVER (PARTITION BY run ORDER BY iteration"
 
@@ -62,6 +62,21 @@ def w8_topk_per_feature(spark, d):
     return made.select("id", F.col("pos").cast("long").alias("pos"), r6("value").alias("value"))
 
 
+@query(
+    "WITH n AS (SELECT greatest(1, CAST(floor(count(*) * 0.8) AS BIGINT)) AS n FROM orders), u AS (SELECT o_orderkey AS id, 0::BIGINT AS pos, CAST(o_totalprice AS DOUBLE) AS x FROM orders UNION ALL SELECT o_orderkey, 1, o_custkey % 50 + 1 FROM orders UNION ALL SELECT o_orderkey, 2, o_custkey + 1 FROM orders),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY x DESC, id) AS r FROM u) SELECT pos, CAST(sum(id) AS DOUBLE) AS ids, CAST(sum(CASE WHEN r <= n THEN id ELSE 0 END) AS DOUBLE) AS kept_ids, CAST(sum(CASE WHEN r <= n THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN r <= n THEN CAST(x AS DECIMAL(18, 2)) ELSE 0 END) AS DOUBLE) AS total FROM r, n GROUP BY pos"
+)
+def w8_topk_share_of_rows(spark, d):
+    """The larger four fifths of price, customer and group over all orders: many equal values, cut by their ids."""
+    vec = F.array(F.col("o_totalprice").cast("double"), (F.col("o_custkey") % 50 + 1).cast("double"), (F.col("o_custkey") + 1).cast("double"))
+    made = G.topk_per_feature(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), vec.alias("vec")), 0.8)
+    kept = F.col("value") != 0  # no value is 0
+    return made.groupBy(F.col("pos").cast("long").alias("pos")).agg(
+        F.sum("id").cast("double").alias("ids"), F.sum(F.when(kept, F.col("id")).otherwise(0)).cast("double").alias("kept_ids"),
+        F.sum(kept.cast("long")).alias("kept"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
+    )
+
+
 @query(
     f"WITH {LOSSES}, a AS (SELECT run, iteration, loss, row_number() OVER (PARTITION BY run ORDER BY loss DESC, iteration DESC) AS hi, row_number() OVER (PARTITION BY run ORDER BY loss, iteration) AS lo FROM l)"
     " SELECT run, max(iteration) FILTER (hi = 1) AS top_iteration, max(loss) FILTER (hi = 1) AS top, max(iteration) FILTER (lo = 1) AS low_iteration, max(loss) FILTER (lo = 1) AS low FROM a GROUP BY run"

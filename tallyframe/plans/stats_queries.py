@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
-from .base import CELLS, VECTORS, query, r6, rounded, sql6, table, vectors
+from .base import CELLS, PREDS, VECTORS, preds, query, r6, rounded, sql6, table, vectors
 
 
 @query(f"WITH {CELLS} SELECT pos, {sql6('avg(v)')} AS mean FROM c GROUP BY pos")
@@ -112,6 +112,24 @@ def a40_gram_matrix(spark, d):
     return made.select("i", F.col("j").cast("long").alias("j"), (F.round("x", 5) + 0.0).alias("x"))
 
 
+#: Sums over all rows of each two class probabilities i and j.
+_PAIRS = PREDS + ", y AS (SELECT id, CAST(k - 1 AS BIGINT) AS pos, probs[k] AS v FROM p, (SELECT unnest(range(1, 11)) AS k)), w AS (SELECT a.pos AS i, b.pos AS j, count(*) AS n, sum(a.v * b.v) AS xy, sum(pow(a.v - b.v, 2)) AS sq, sum(abs(a.v - b.v)) AS l1, sum(pow(a.v - b.v, 2) / (a.v + b.v)) AS chi FROM y a JOIN y b USING (id) GROUP BY 1, 2)"
+
+
+@query(
+    f"WITH {_PAIRS} SELECT 'polynomial' AS kernel, i, j, {sql6('pow(10 * xy / n + 1, 3)')} AS x FROM w UNION ALL SELECT 'sigmoid', i, j, {sql6('tanh(10 * xy / n + 1)')} FROM w UNION ALL SELECT 'rbf', i, j, {sql6('exp(-10 * sq / n)')} FROM w"
+    f" UNION ALL SELECT 'laplacian', i, j, {sql6('exp(-10 * l1 / n)')} FROM w UNION ALL SELECT 'chi2', i, j, {sql6('exp(-0.01 * chi)')} FROM w UNION ALL SELECT 'additive_chi2', i, j, {sql6('-chi')} FROM w"
+    f" UNION ALL SELECT 'cosine', w.i, w.j, {sql6('w.xy / sqrt(a.xy * b.xy)')} FROM w JOIN w a ON a.i = a.j AND a.i = w.i JOIN w b ON b.i = b.j AND b.i = w.j"
+)
+def a40_gram_kernels(spark, d):
+    rows, made = preds(spark, d), None
+    for kernel, gamma in (("polynomial", None), ("sigmoid", None), ("rbf", None), ("laplacian", None), ("chi2", 0.01), ("additive_chi2", None), ("cosine", None)):
+        one = S.gram_matrix(rows, "probs", kernel, gamma).select(F.lit(kernel).alias("kernel"), F.col("i").cast("long").alias("i"), F.posexplode("row").alias("j", "x"))
+        one = one.select("kernel", "i", F.col("j").cast("long").alias("j"), r6("x").alias("x"))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
 @query(f"WITH {VECTORS} SELECT 0::BIGINT AS pos, {sql6('regr_slope(v[2], v[1])')} AS weight FROM s UNION ALL SELECT 1, {sql6('regr_intercept(v[2], v[1])')} FROM s")
 def a41_refit(spark, d):
     rows = vectors(spark, d).select("v", F.element_at("v", 2).alias("target"))
