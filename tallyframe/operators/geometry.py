@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .polygons import polygon_iou, polygon_overlap
+from .suppression import LEAST_OVERLAP, open_after_rounds
 
 __all__ = ["best_windows", "center_of_mass", "context_box", "iou", "median_center", "nms", "polygon_area", "polygon_iou", "polygon_overlap", "stitch_tiles", "ten_crops", "tile_boxes", "tile_starts", "window_classes"]
 
@@ -23,8 +25,8 @@ def iou(a: str, b: str) -> Column:
     return inter / (area(a) + area(b) - inter)
 
 
-#: Boxes that ``nms`` compares with the kept ones at once.
-NMS_ROWS = 2048
+#: Boxes that ``nms`` compares with the kept ones at once, and rows from which a key is more than one task's work.
+NMS_ROWS, LARGE_KEY = 2048, 200_000
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray, overlap: float) -> np.ndarray:
@@ -37,12 +39,28 @@ def _overlaps(a: np.ndarray, b: np.ndarray, overlap: float) -> np.ndarray:
         return inter / (area(a)[:, None] + area(b)[None, :] - inter) > overlap
 
 
-def nms(dets: DataFrame, keys: list[str], overlap: float = 0.3, id_col: str = "det_id") -> DataFrame:
+def nms(dets: DataFrame, keys: list[str], overlap: float = 0.3, id_col: str = "det_id", large: int = LARGE_KEY) -> DataFrame:
     """Rows kept by greedy suppression within each key: best score first (ties: smaller id), a box goes if its overlap with a
     kept one is above ``overlap``.
 
     A task reads its rows in order of key and score, a batch at a time, and holds only the boxes kept of the present key.
+    Keys of more than ``large`` rows first go through rounds over a grid (``suppression``), which all tasks share, until
+    fewer are open; that takes whole-number ids and an ``overlap`` of 0.1 or more.
     """
+    if overlap < LEAST_OVERLAP or not isinstance(dets.schema[id_col].dataType, (T.LongType, T.IntegerType)):
+        return _in_order(dets, keys, overlap, id_col)
+    sizes = dets.groupBy(F.struct(*keys).alias("_k")).count()
+    big = sizes.where(F.col("count") > large).select("_k")
+    if big.isEmpty():
+        return _in_order(dets, keys, overlap, id_col)
+    own = dets.withColumn("_k", F.struct(*keys))
+    kept, rest = open_after_rounds(own.join(big, "_k", "left_semi").select(*dets.columns), keys, overlap, id_col, large)
+    small = own.join(big, "_k", "left_anti").select(*dets.columns)
+    return kept.select(*dets.columns).unionByName(_in_order(rest.select(*dets.columns).unionByName(small), keys, overlap, id_col))
+
+
+def _in_order(dets: DataFrame, keys: list[str], overlap: float, id_col: str) -> DataFrame:
+    """``nms`` with a task a key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, kept = None, np.empty((0, 4))

@@ -163,3 +163,39 @@ def test_a_share_of_the_rows_is_not_one_tasks_work(spark, monkeypatch):
     assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
     got = made.groupBy("pos").agg(F.sum((F.col("value") != 0).cast("int")).alias("n")).collect()
     assert {r["pos"]: r["n"] for r in got} == {0: 1000, 1: 1000}
+
+
+def greedy(rows, overlap):
+    """det_ids kept, of (det_id, key, xmin, ymin, xmax, ymax, score)."""
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[6], r[0])):
+        area = lambda q: (q[4] - q[2]) * (q[5] - q[3])
+        for q in kept:
+            both = max(0, min(r[4], q[4]) - max(r[2], q[2])) * max(0, min(r[5], q[5]) - max(r[3], q[3]))
+            if q[1] == r[1] and both and both / (area(r) + area(q) - both) > overlap:
+                break
+        else:
+            kept.append(r)
+    return sorted(r[0] for r in kept)
+
+
+@pytest.mark.parametrize("overlap", [0.3, 0.5])
+def test_suppression_by_rounds_keeps_what_the_loop_keeps(spark, overlap):
+    rng = random.Random(int(overlap * 100))
+    rows = []
+    for i in range(400):
+        x, y, size = rng.uniform(-20, 20), rng.uniform(-20, 20), 2 ** rng.uniform(-3, 4)
+        if i % 3 == 0:  # a pile of boxes in one place
+            x, y, size = rng.gauss(0, 0.3), rng.gauss(0, 0.3), 4 + rng.random()
+        if i % 11 == 0:
+            x, y, size = float(round(x)), float(round(y)), 2.0  # on the grid's lines
+        rows.append((i, "big" if i % 10 else None, x, y, x + size, y + size * rng.choice([0.5, 1.0, 1.0, 2.0]) * (i % 97 > 0), float(rng.randrange(40))))
+    df = spark.createDataFrame(rows, "det_id long, image string, xmin double, ymin double, xmax double, ymax double, score double").repartition(5)
+    want = greedy(rows, overlap)
+    assert sorted(r["det_id"] for r in geometry.nms(df, ["image"], overlap, large=60).collect()) == want
+    assert sorted(r["det_id"] for r in geometry.nms(df, ["image"], overlap).collect()) == want
+
+
+def test_rounds_keep_one_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a", 0.0, 0.0, 1.0, 1.0, 5.0)] * 40 + [(2, "a", 5.0, 5.0, 6.0, 6.0, None)], "det_id long, image string, xmin double, ymin double, xmax double, ymax double, score double")
+    assert sorted(r["det_id"] for r in geometry.nms(df, ["image"], large=1).collect()) == [1, 2]
