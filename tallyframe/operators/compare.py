@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.vectors import argmax, l2, sq_distance, vsum
+from .neighbours import nearest_neighbours
 
 
 def _kl(p: str, q: str) -> Column:
@@ -54,8 +55,10 @@ def pairwise_distances(df: DataFrame, key: str = "id", vec: str = "vec", block:
     """a, b, d (and share of the total of all): Euclidean distances of all pairs, a < b, by blocks of ids.
 
     This is an all-pairs table by its own meaning: its size is the square of the input's, so it is for tables of
-    models or categories.  With ``nearest`` only that many partners a row leave a block pair, before one merge.
+    models or categories.  With ``nearest`` it is that many partners a row instead (a, b, d, k), found without all pairs.
     """
+    if nearest is not None:
+        return nearest_neighbours(df, nearest, key, vec).rows
     n = max(1, -(-df.count() // block))
     blocks = df.select(key, F.col(vec).alias("vec"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("g"))
     kind = df.schema[key].dataType
@@ -67,20 +70,17 @@ def pairwise_distances(df: DataFrame, key: str = "id", vec: str = "vec", block:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": pdf[key][:0], "b": pdf[key][:0], "d": np.empty(0)})
         x, y = np.stack(a["vec"].to_numpy()).astype(float), np.stack(b["vec"].to_numpy()).astype(float)
-        d = np.sqrt(np.maximum(((x[:, None] - y[None]) ** 2).sum(2), 0))
+        own = (x * x).sum(1)[:, None] + (y * y).sum(1)[None]
+        square = own - 2 * x @ y.T
+        for m, o in np.argwhere(square <= 1e-6 * own):  # too near for a product's rounding
+            square[m, o] = ((x[m] - y[o]) ** 2).sum()
+        d = np.sqrt(np.maximum(square, 0))
         ia, ib = np.meshgrid(a[key].to_numpy(), b[key].to_numpy(), indexing="ij")
         keep = ia < ib if i == j else ia != ib
         lo, hi = np.minimum(ia, ib)[keep], np.maximum(ia, ib)[keep]
-        out = pd.DataFrame({"a": lo, "b": hi, "d": d[keep]})
-        if nearest is not None:
-            both = pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[["a", "b", "d"]]])
-            out = both.sort_values(["a", "d", "b"]).groupby("a").head(nearest)
-        return out
+        return pd.DataFrame({"a": lo, "b": hi, "d": d[keep]})
 
-    made = left.select(key, "vec", "g", "pair.i", "pair.j").groupBy("i", "j").applyInPandas(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("d", T.DoubleType())]))
-    if nearest is None:
-        return made
-    return made.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("k") <= nearest)
+    return left.select(key, "vec", "g", "pair.i", "pair.j").groupBy("i", "j").applyInPandas(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("d", T.DoubleType())]))
 
 
 def normalised(dist: DataFrame) -> DataFrame:
@@ -115,3 +115,15 @@ def knn_group_curve(dist: DataFrame, groups: DataFrame) -> DataFrame:
     upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     total = hits.agg(F.sum("n").alias("total"))
     return hits.withColumn("run", F.sum("n").over(upto)).join(F.broadcast(total)).select("k", (F.col("run") / F.col("total")).alias("share"))
+
+
+def knn_group_shares(near: DataFrame, groups: DataFrame) -> DataFrame:
+    """k, share, random: the curve up to the k of ``near(a, b, k)``, without the distances of all pairs, and what chance would give.
+
+    All ordered same-group pairs are counted from the sizes of the groups; by chance k of n - 1 others are among the k nearest.
+    """
+    ga, gb = groups.select(F.col("item").alias("a"), F.col("grp").alias("group_a")), groups.select(F.col("item").alias("b"), F.col("grp").alias("group_b"))
+    hits = near.join(ga, "a").join(gb, "b").groupBy("k").agg(F.sum((F.col("group_a") == F.col("group_b")).cast("int")).alias("n"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("n").alias("items"))
+    upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # a row a rank
+    return hits.withColumn("run", F.sum("n").over(upto)).join(F.broadcast(sizes)).select("k", (F.col("run") / F.col("pairs")).alias("share"), (F.col("k") / (F.col("items") - 1)).alias("random"))

@@ -49,6 +49,25 @@ def w9_knn_group_curve(spark, d):
     return made.select(F.col("k").cast("long").alias("k"), r6("share").alias("share"))
 
 
+_NEAR = VECTORS + ", m AS (SELECT a.id AS a, b.id AS b, a.label AS la, b.label AS lb, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.v[i] - b.v[i], 2)))) AS d FROM s a JOIN s b ON a.id <> b.id), n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM m)"
+
+
+@query(f"WITH {_NEAR} SELECT a, b, k, {sql6('d')} AS d FROM n WHERE k <= 5")
+def j5_nearest_neighbours(spark, d):
+    made = K.nearest_neighbours(vectors(spark, d), 5, vec="v").rows
+    return made.select("a", "b", F.col("k").cast("long").alias("k"), r6("d").alias("d"))
+
+
+@query(
+    f"WITH {_NEAR}, h AS (SELECT k, sum(CASE WHEN la = lb THEN 1 ELSE 0 END) AS n FROM n WHERE k <= 10 GROUP BY k), z AS (SELECT sum(n * (n - 1)) AS pairs, sum(n) AS items FROM (SELECT count(*) AS n FROM s GROUP BY label))"
+    f" SELECT k, {sql6('sum(n) OVER (ORDER BY k) / pairs')} AS share, {sql6('k / (items - 1)')} AS random FROM h, z"
+)
+def w9_knn_group_shares(spark, d):
+    rows = vectors(spark, d)
+    made = K.knn_group_shares(K.nearest_neighbours(rows, 10, vec="v").rows, rows.select(F.col("id").alias("item"), F.col("label").alias("grp")))
+    return made.select(F.col("k").cast("long").alias("k"), r6("share").alias("share"), r6("random").alias("random"))
+
+
 def _boxes(spark, d):
     """det_id, image, cls, box and score of each order line."""
     li = table(spark, d, "lineitem")

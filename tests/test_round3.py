@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import geometry, logs, polygons, stats
+from tallyframe.operators import compare, geometry, logs, polygons, stats
+from tallyframe.operators.neighbours import nearest_neighbours
 
 
 def flat(*points):
@@ -199,3 +200,26 @@ def test_suppression_by_rounds_keeps_what_the_loop_keeps(spark, overlap):
 def test_rounds_keep_one_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a", 0.0, 0.0, 1.0, 1.0, 5.0)] * 40 + [(2, "a", 5.0, 5.0, 6.0, 6.0, None)], "det_id long, image string, xmin double, ymin double, xmax double, ymax double, score double")
     assert sorted(r["det_id"] for r in geometry.nms(df, ["image"], large=1).collect()) == [1, 2]
+
+
+def test_nearest_neighbours_are_exact_and_leave_blocks_out(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 6)) * 50
+    x = np.concatenate([centres[i % 8] + rng.normal(size=6) for i in range(250)] + [np.ones(6)] * 60 + [centres[0]]).reshape(-1, 6)  # a pile of equal rows
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)] + [(999, None)], "id long, vec array<double>").repartition(5)
+    made = nearest_neighbours(df, 4, pivots=12, part=20)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {(i, k + 1): (j, d[i, j]) for i in range(len(x)) for k, j in enumerate([j for j in np.lexsort((np.arange(len(x)), d[i])) if j != i][:4])}
+    got = {(r["a"], r["k"]): (r["b"], r["d"]) for r in made.rows.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    pairs = {(r["block"], r["other"]): r["queries"] for r in made.visited.collect()}
+    assert sum(n for (b, o), n in pairs.items() if b == o) == len(x)
+    assert len(pairs) < made.blocks**2 / 2  # block pairs that were looked at
+    few = nearest_neighbours(df.where("id < 3"), 5).rows.collect()
+    assert len(few) == 6 and nearest_neighbours(df.where("id < 1"), 5).rows.collect() == []
+
+
+def test_distances_of_equal_rows_are_zero(spark):
+    df = spark.createDataFrame([(i, [1e3 + i // 2, 0.1]) for i in range(6)], "id long, vec array<double>")
+    got = {(r["a"], r["b"]): r["d"] for r in compare.pairwise_distances(df, block=2).collect()}
+    assert len(got) == 15 and got[0, 1] == 0 and got[0, 5] == 2
