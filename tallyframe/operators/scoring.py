@@ -61,14 +61,58 @@ def extract_features(df: DataFrame, model: Model, names: list[str], batch_size:
     return {n: made.select(F.format_string("%010d", F.col(key)).alias("key"), F.col(n).alias("vec")) for n in names}
 
 
-def detect(images: DataFrame, windows: DataFrame, model: Model, side: int, key: str = "image_index") -> DataFrame:
-    """Windows with probs: each window (y1, x1, y2, x2, ends left out) of images (height, width, pixels) resized to side * side and scored."""
+def context_crop(image: np.ndarray, box: tuple[float, float, float, float], side: int, pad: int, fill: np.ndarray) -> np.ndarray:
+    """The window (y1, x1, y2, x2) and its surroundings at side * side, of which ``pad`` pixels a side are context; ``fill`` stands
+    where the picture ends.
+
+    The window is widened about its centre by side / (side - 2 pad) and rounded to whole pixels.  What lies in the picture keeps the scale
+    of the whole.
+    """
+    out = np.array(np.broadcast_to(fill, (side, side)), float)
+    grow = side / (side - 2 * pad)
+    place, source = [], []
+    for lo, hi, size in ((box[0], box[2], image.shape[0]), (box[1], box[3], image.shape[1])):
+        half = (hi - lo + 1) / 2
+        first, last = np.round(lo + half - grow * half), np.round(lo + half + grow * half)
+        scale = side / (last - first + 1)
+        start = int(np.round(max(0.0, -first) * scale))
+        first, last = np.clip([first, last], 0, size)
+        place.append((start, min(int(np.round((last - first + 1) * scale)), side - start)))
+        source.append((int(first), int(last)))
+    (top, h), (left, w) = place
+    part = image[slice(*source[0]), slice(*source[1])]
+    if part.size and h > 0 and w > 0:
+        out[top : top + h, left : left + w] = resize(part, h, w)
+    return out
+
+
+def detect(images: DataFrame, windows: DataFrame, model: Model, side: int, key: str = "image_index", context_pad: int = 0, mean: float | list[float] = 0.0) -> DataFrame:
+    """Windows with probs: each window (y1, x1, y2, x2, ends left out) of images (height, width, pixels) resized to side * side and scored.
+
+    With ``context_pad`` a crop has that many pixels of surroundings a side, and ``mean`` (a number, or side * side of them) stands beyond the picture; so it
+    does for a window that meets no pixel.  Pictures that do not fit their size have no result.
+    """
+    if not 0 <= 2 * context_pad < side:
+        raise ValueError("the context has to leave room for the window")
+    fill = np.asarray(mean, float)
+    fill = fill.reshape(side, side) if fill.ndim else fill
     rows = windows.join(images, key)
 
+    def crop(p, h, w, box) -> np.ndarray:
+        image = np.asarray(p, float).reshape(int(h), int(w))
+        if context_pad:
+            return context_crop(image, box, side, context_pad, fill)
+        y1, x1, y2, x2 = (int(max(v, 0)) for v in box)
+        part = image[y1:y2, x1:x2]
+        return resize(part, side, side) if part.size else np.array(np.broadcast_to(fill, (side, side)))
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _batches(parts, 256):
-            crops = [resize(np.asarray(p, float).reshape(h, w)[int(a) : int(c), int(b) : int(d)], side, side).ravel() for p, h, w, a, b, c, d in zip(part["pixels"], part["height"], part["width"], part["y1"], part["x1"], part["y2"], part["x2"], strict=True)]
-            yield part.drop(columns=["pixels"]).assign(probs=list(np.asarray(model(np.stack(crops)), float)))
+            part = part[[_fits(h, w, p) for h, w, p in zip(part["height"], part["width"], part["pixels"], strict=True)]]
+            if len(part):
+                boxes = part[["y1", "x1", "y2", "x2"]].itertuples(index=False, name=None)
+                crops = [crop(p, h, w, b).ravel() for p, h, w, b in zip(part["pixels"], part["height"], part["width"], boxes, strict=True)]
+                yield part.drop(columns=["pixels"]).assign(probs=list(np.asarray(model(np.stack(crops)), float)))
 
     kept = rows.drop("pixels")
     return rows.select(*kept.columns, "pixels").mapInPandas(run, _schema(kept, [("probs", T.ArrayType(T.DoubleType()))]))
@@ -81,6 +125,43 @@ def predict_tiled(tiles: DataFrame, model: Model, key: str = "id", **options) ->
     return average_crops(score(tiles, model, vec="values", **options).select(key, "probs"), key)
 
 
+def cut_tiles(images: DataFrame, tile: int, stride: int, pad: int = 0) -> DataFrame:
+    """``geometry.tile_boxes`` with values: the tile's pixels in row order, 0 where it reaches beyond the picture."""
+    from .geometry import tile_boxes
+
+    boxes = tile_boxes(images, tile, stride, pad=pad)
+    here = F.least(F.lit(tile), F.col("width") - F.col("x"))
+    line = lambda r: F.concat(F.slice("pixels", ((F.col("y") + r) * F.col("width") + F.col("x") + 1).cast("int"), here.cast("int")), F.array_repeat(F.lit(0.0), (F.lit(tile) - here).cast("int")))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(tile - 1)), lambda r: F.when(F.col("y") + r < F.col("height"), line(r)).otherwise(F.array_repeat(F.lit(0.0), tile)))
+    return boxes.withColumn("values", F.flatten(lines)).drop("pixels")
+
+
+def predict_stitched(images: DataFrame, model: Model, tile: int, stride: int | None = None, pad: int = 0, key: str = "key", **options) -> DataFrame:
+    """key, height, width, pixels: every tile of a picture scored by a model that answers with a tile, put together again.
+
+    Tiles start every ``stride`` pixels and at the far edges.  Each gives the pixels that are ``pad`` or more from its borders (up to the picture's own edge);
+    where tiles still overlap, the one that starts last does.  Tiles are rows of arrays: they are cut and scored
+    where the picture is read, and meet again in one exchange by picture.  Pictures that do not fit their size have no result.
+    """
+    if 2 * pad >= tile or (stride or tile) > tile - 2 * pad:
+        raise ValueError("tiles of this stride leave pixels out")
+    good = (F.col("height") >= 1) & (F.col("width") >= 1) & (F.size("pixels") == F.col("height") * F.col("width"))
+    rows = images.where(good).select(key, F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.col("pixels").cast("array<double>").alias("pixels"))
+    scored = score(cut_tiles(rows, tile, stride or tile, pad), model, vec="values", out="made", **options).drop("values")
+
+    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
+        out = np.zeros((h, w))
+        for r in pdf.sort_values(["y", "x"]).itertuples(index=False):
+            made = np.asarray(r.made, float).reshape(tile, tile)
+            y1, x1 = min(r.y1, h), min(r.x1, w)
+            out[r.y0 : y1, r.x0 : x1] = made[r.y0 - r.y : y1 - r.y, r.x0 - r.x : x1 - r.x]
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "height": h, "width": w, "pixels": [out.ravel()]})
+
+    schema = T.StructType([rows.schema[key], rows.schema["height"], rows.schema["width"], rows.schema["pixels"]])
+    return scored.groupBy(key).applyInPandas(assemble, schema)
+
+
 def label_patches(patches: DataFrame, model: Model, n: int, key: str = "patch", label: str = "label", **options) -> DataFrame:
     """key, label, p (of the true label) of at most n patches, least keys first; only those are scored."""
     made = score(patches.orderBy(key).limit(n), model, vec="values", **options)
@@ -119,6 +200,83 @@ def apply_op(df: DataFrame, name: str, *args) -> DataFrame:
     return df.mapInPandas(run, kind(*args).shape())
 
 
+class Aggregate(Protocol):
+    """A user's aggregate: ``state`` and ``shape`` name and type the fields of a state and of a result, which travel as tuples.
+
+    ``init`` gives an empty state, ``update`` takes a batch of one group's rows into a state, ``merge`` joins two states, ``finish`` makes the result.
+    """
+
+    def state(self) -> str: ...
+
+    def shape(self) -> str: ...
+
+    def init(self) -> tuple: ...
+
+    def update(self, state: tuple, batch: pd.DataFrame) -> tuple: ...
+
+    def merge(self, a: tuple, b: tuple) -> tuple: ...
+
+    def finish(self, state: tuple) -> tuple: ...
+
+
+_AGGREGATES: dict[str, type] = {}
+#: Groups whose states a task holds; with more, it sends what it has and starts again.
+STATES = 50_000
+
+
+def register_aggregate(name: str, kind: type) -> None:
+    for method in ("state", "shape", "init", "update", "merge", "finish"):
+        if not callable(getattr(kind, method, None)):
+            raise TypeError(f"{name} lacks {method}()")
+    _AGGREGATES[name] = kind
+
+
+def apply_aggregate(df: DataFrame, keys: list[str], name: str, *args) -> DataFrame:
+    """The keys and the aggregate's result of each group.
+
+    Rows are taken into states before the exchange, so that a group sends one state a task, however many rows it has.  Null keys are groups; without ``keys``
+    all rows are one.  The states of one group are merged in the order of the tasks that made them.
+    """
+    kind = _AGGREGATES[name]
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select("*", *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+    key_schema = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys, strict=True)])
+    state = T.StructType([T.StructField(f"s_{f.name}", f.dataType) for f in T.StructType.fromDDL(kind(*args).state()).fields])
+    shape = T.StructType.fromDDL(kind(*args).shape())
+    partial = T.StructType([*key_schema.fields, T.StructField("part", T.LongType()), *state.fields])
+
+    def frame(held: dict, part: int) -> pd.DataFrame:
+        return pd.DataFrame([(*k, part, *s) for k, (_, s) in held.items()], columns=partial.names).astype({"part": "int64"})
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        op, held, sent = kind(*args), {}, 0
+        part = lambda: (TaskContext.get().partitionId() << 33) + sent
+        for pdf in batches:
+            groups = pdf.groupby(names, sort=False, dropna=False) if names else [((), pdf)]
+            for k, group in groups:
+                k = tuple(None if pd.api.types.is_scalar(x) and pd.isna(x) else x for x in (k if isinstance(k, tuple) else (k,)))
+                before = held[k][1] if k in held else op.init()
+                held[k] = (None, op.update(before, group.drop(columns=names)))
+            if len(held) > STATES:
+                yield frame(held, part())
+                held, sent = {}, sent + 1
+        if held:
+            yield frame(held, part())
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        op = kind(*args)
+        total = op.init()
+        pdf = pdf.sort_values("part")
+        for s in pdf[state.names].itertuples(index=False, name=None):
+            total = op.merge(total, s)
+        return pd.DataFrame([(*pdf[names].iloc[0], *op.finish(total))], columns=[*names, *shape.names])
+
+    made = rows.mapInPandas(gather, partial).groupBy(*names).applyInPandas(settle, T.StructType([*key_schema.fields, *shape.fields]))
+    return made.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], *shape.names)
+
+
 def resize(image: np.ndarray, h: int, w: int) -> np.ndarray:
     """Bilinear, pixel centres aligned."""
 
@@ -236,19 +394,25 @@ def augment(df: DataFrame, specs: list[str], seed: int = 0) -> DataFrame:
 
     The specs are a parameter of fixed size; records are expanded inside the task that reads them.
     """
+    each = df.select("key", "height", "width", "pixels", F.lit(None).cast("string").alias("transform"))
+    return _augmented(each, specs, seed)
+
+
+def _augmented(df: DataFrame, specs: list[str], seed: int) -> DataFrame:
+    """Records (key, height, width, pixels) under their spec ``transform``, or under all of them where that is null."""
     import zlib
 
-    chains = [[(s.split()[0], s.split()[1:]) for s in spec.lower().split(";") if s.strip()] for spec in specs]
+    chains = {spec: [(s.split()[0], s.split()[1:]) for s in spec.lower().split(";") if s.strip()] for spec in specs}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _batches(parts, 64):
             out = []
-            for k, h, w, p in zip(part["key"], part["height"], part["width"], part["pixels"], strict=True):
+            for k, h, w, p, only in zip(part["key"], part["height"], part["width"], part["pixels"], part["transform"], strict=True):
                 if not _fits(h, w, p):
                     continue
                 h, w = int(h), int(w)
                 base = np.asarray(p, float).reshape(h, w)
-                for spec, chain in zip(specs, chains, strict=True):
+                for spec, chain in chains.items() if only is None else [(only, chains[only])]:
                     rng, a = np.random.default_rng(zlib.crc32(f"{seed}:{k}:{spec}".encode())), base
                     for op, args in chain:
                         a = _augment(a, op, args, rng)
@@ -256,4 +420,43 @@ def augment(df: DataFrame, specs: list[str], seed: int = 0) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "transform", "height", "width", "pixels"])
 
     schema = T.StructType([df.schema["key"], T.StructField("transform", T.StringType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("pixels", T.ArrayType(T.DoubleType()))])
-    return df.select("key", "height", "width", "pixels").mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
+
+
+def choose_transform(df: DataFrame, specs: list[str], weights: list[float] | None = None, key: str = "key", seed: int = 0, name: str = "transform") -> DataFrame:
+    """Adds ``name``: one of the specs for each row, drawn by weight (alike without weights) from the key and the seed."""
+    from .sampling import LCG_M, draw
+
+    weights = [1.0] * len(specs) if weights is None else [float(w) for w in weights]
+    if len(weights) != len(specs) or min(weights, default=-1) < 0 or sum(weights) <= 0:
+        raise ValueError("a weight of 0 or more for each spec, and not all of them 0")
+    place, upto = draw(key, seed) / F.lit(float(LCG_M)) * F.lit(float(sum(weights))), 0.0
+    chosen, held = F.lit(None).cast("string"), [(s, w) for s, w in zip(specs, weights, strict=True) if w > 0]
+    for i, (spec, w) in enumerate(held):
+        upto += w
+        chosen = F.coalesce(chosen, F.when(place < F.lit(upto) if i + 1 < len(held) else F.lit(True), F.lit(spec)))
+    return df.withColumn(name, chosen)
+
+
+def augment_choice(df: DataFrame, specs: list[str], weights: list[float] | None = None, seed: int = 0) -> DataFrame:
+    """key, transform, height, width, pixels: every record under the one spec that ``choose_transform`` draws for it."""
+    return _augmented(choose_transform(df.select("key", "height", "width", "pixels"), specs, weights, "key", seed), specs, seed)
+
+
+def phase_crop(df: DataFrame, crop: int, phase: str, mirror: bool = False, seed: int = 0) -> DataFrame:
+    """key, top, left, mirrored, pixels: a crop * crop cut at a drawn place in phase ``train``, from the centre in ``test``.
+
+    With ``mirror`` half of the records are turned left to right, in either phase.  Draws depend on the key and the seed only.  All of it is
+    column expressions.  Records whose pixels do not fit their size, or that are smaller than the cut, are dropped.
+    """
+    from .sampling import draw
+
+    if phase not in ("train", "test"):
+        raise ValueError(f"no phase named {phase}")
+    good = (F.size("pixels") == F.col("height") * F.col("width")) & (F.col("height") >= crop) & (F.col("width") >= crop)
+    place = lambda size, no: draw(F.col("key") * 3 + no, seed, F.col(size) - crop + 1) if phase == "train" else F.floor((F.col(size) - crop) / 2)
+    flip = draw(F.col("key") * 3 + 2, seed, 2) == 1 if mirror else F.lit(False)
+    rows = df.where(good).select("key", "width", "pixels", place("height", 0).cast("int").alias("top"), place("width", 1).cast("int").alias("left"), flip.alias("mirrored"))
+    line = lambda r: F.slice("pixels", ((F.col("top") + r) * F.col("width") + F.col("left") + 1).cast("int"), crop)
+    lines = F.transform(F.sequence(F.lit(0), F.lit(crop - 1)), lambda r: F.when(F.col("mirrored"), F.reverse(line(r))).otherwise(line(r)))
+    return rows.select("key", "top", "left", "mirrored", F.flatten(lines).alias("pixels"))

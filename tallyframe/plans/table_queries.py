@@ -433,6 +433,16 @@ def d4_predict_tiled(spark, d):
     return made.select("key", F.col("cls").cast("long").alias("cls"), r6("p").alias("p"))
 
 
+@query("WITH px AS (SELECT vec_id AS key, i AS pos, floor(greatest(0.0, least(255.0, (CAST(embedding[i] AS DOUBLE) + 3.0) * 42.5))) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)) SELECT key, CAST(count(*) AS BIGINT) AS n, sum(pos * (255 - v)) AS weighed FROM px GROUP BY key")
+def d4_predict_stitched(spark, d):
+    """Negatives of the pictures, made a tile of 5 by 5 at a time; a pixel's place counts in the sum."""
+    from ..operators.scoring import predict_stitched
+
+    made = predict_stitched(images(spark, d), lambda x: 255 - x, 5, 3, 1)
+    weighed = F.aggregate(F.transform("pixels", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return made.select("key", F.size("pixels").cast("long").alias("n"), weighed.alias("weighed"))
+
+
 #: Pixels (0 to 255) of each embedding as an 8 by 8 picture.
 _PX = "px AS (SELECT vec_id AS key, CAST(label AS BIGINT) AS label, CAST((i - 1) // 8 AS BIGINT) AS y, CAST((i - 1) % 8 AS BIGINT) AS x, floor(greatest(0.0, least(255.0, (CAST(embedding[i] AS DOUBLE) + 3.0) * 42.5))) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
 
@@ -444,8 +454,13 @@ def _axis(n: int, m: int) -> str:
     return f"(SELECT line, sum(w) AS w FROM (SELECT lo AS line, 1 - f AS w FROM ({ends}) UNION ALL SELECT least(lo + 1, {n - 1}), f FROM ({ends})) GROUP BY line)"
 
 
+def _sums(x):
+    """A model: the sum of the values (exact for these pictures and sizes)."""
+    return x.sum(1)[:, None]
+
+
 @query(
-    f"WITH {_PX} SELECT key AS image_index, CAST(sy AS BIGINT) AS y1, CAST(sx AS BIGINT) AS x1, CAST(sy + 5 AS BIGINT) AS y2, CAST(sx + 4 AS BIGINT) AS x2, {sql6('sum(v * a.w * b.w) / 16 / 255')} AS bright"
+    f"WITH {_PX} SELECT key AS image_index, CAST(sy AS BIGINT) AS y1, CAST(sx AS BIGINT) AS x1, CAST(sy + 5 AS BIGINT) AS y2, CAST(sx + 4 AS BIGINT) AS x2, sum(v * a.w * b.w) AS total"
     f" FROM (SELECT unnest([0, 3]) AS sy), (SELECT unnest([0, 4]) AS sx), {_axis(5, 4)} a, {_axis(4, 4)} b, px WHERE y = sy + a.line AND x = sx + b.line GROUP BY key, sy, sx"
 )
 def d3_detect(spark, d):
@@ -453,8 +468,19 @@ def d3_detect(spark, d):
 
     im = images(spark, d).select(F.col("key").alias("image_index"), "height", "width", "pixels")
     win = im.select("image_index", F.inline(F.array(*[F.struct(F.lit(y).alias("y1"), F.lit(x).alias("x1"), F.lit(y + 5).alias("y2"), F.lit(x + 4).alias("x2")) for y in (0, 3) for x in (0, 4)])))
-    made = detect(im, win, _bright, 4)
-    return made.select("image_index", *[F.col(c).cast("long").alias(c) for c in ("y1", "x1", "y2", "x2")], r6(F.element_at("probs", 2)).alias("bright"))
+    made = detect(im, win, _sums, 4)
+    return made.select("image_index", *[F.col(c).cast("long").alias(c) for c in ("y1", "x1", "y2", "x2")], F.element_at("probs", 1).alias("total"))
+
+
+# the window (1, 1) to (4, 4) grows from -1 to 7, is 9 pixels at 8/9 of their size, so 0 to 6 stand from 1 on as 7 by 7; the ninth line is fill
+@query(f"WITH {_PX} SELECT key AS image_index, sum(v) + 15 * 100 AS total FROM px WHERE y < 7 AND x < 7 GROUP BY key")
+def d3_detect_context(spark, d):
+    """Crops with context beyond the picture's corner, filled with 100."""
+    from ..operators.scoring import detect
+
+    im = images(spark, d).select(F.col("key").alias("image_index"), "height", "width", "pixels")
+    win = im.select("image_index", *[F.lit(v).alias(c) for c, v in (("y1", 1), ("x1", 1), ("y2", 4), ("x2", 4))])
+    return detect(im, win, _sums, 8, context_pad=2, mean=100.0).select("image_index", F.element_at("probs", 1).alias("total"))
 
 
 @query(
@@ -507,3 +533,68 @@ def d6_user_operator(spark, d):
 
     register_op("shift", _Shift)
     return rounded(apply_op(vectors(spark, d).select("id", "x"), "shift", 1.5), ["id"], ["total"])
+
+
+class _Spread:
+    """A user's aggregate: count, mean and variance of a column, by joining means and sums of squares."""
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def state(self) -> str:
+        return "n long, mean double, m2 double"
+
+    def shape(self) -> str:
+        return "n long, mean double, variance double"
+
+    def init(self):
+        return 0, 0.0, 0.0
+
+    def update(self, state, batch):
+        x = batch[self.column].dropna().to_numpy(float)
+        return self.merge(state, (len(x), x.mean(), ((x - x.mean()) ** 2).sum()) if len(x) else self.init())
+
+    def merge(self, a, b):
+        n = a[0] + b[0]
+        if n == 0:
+            return a
+        gap = b[1] - a[1]
+        return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
+
+    def finish(self, state):
+        return state[0], state[1] if state[0] else None, state[2] / state[0] if state[0] else None
+
+
+@query(f"SELECT l_returnflag, l_linestatus, count(*) AS n, {sql6('avg(l_discount)')} AS mean, {sql6('var_pop(l_discount)')} AS variance FROM lineitem GROUP BY ALL")
+def d6_user_aggregate(spark, d):
+    from ..operators.scoring import apply_aggregate, register_aggregate
+
+    register_aggregate("spread", _Spread)
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_discount").cast("double").alias("x"))
+    return rounded(apply_aggregate(rows, ["l_returnflag", "l_linestatus"], "spread", "x"), ["l_returnflag", "l_linestatus", "n"], ["mean", "variance"])
+
+
+_CHOICE = f"{_PX}, u AS (SELECT *, {_draw('key', 21)} / 2147483648.0::DOUBLE * 8 AS u FROM px), t AS (SELECT *, CASE WHEN u < 5 THEN 'none' WHEN u < 7 THEN 'crop 4 4' ELSE 'mirror' END AS transform FROM u)"
+
+
+@query(f"WITH {_CHOICE} SELECT key, transform, CAST(sqrt(count(*)) AS INT) AS height, sum(v * (x + 1)) AS total FROM (SELECT key, transform, y, v, CASE transform WHEN 'mirror' THEN 7 - x WHEN 'crop 4 4' THEN x - 2 ELSE x END AS x FROM t) WHERE transform <> 'crop 4 4' OR (x BETWEEN 0 AND 3 AND y BETWEEN 2 AND 5) GROUP BY key, transform")
+def f21_random_choice(spark, d):
+    """One of three transforms a picture, 5 to 2 to 1; columns count in the sum."""
+    from ..operators.scoring import augment_choice
+
+    made = augment_choice(images(spark, d), ["none", "crop 4 4", "salt 0.5", "mirror"], [5, 2, 0, 1], seed=21)
+    total = F.aggregate(F.transform("pixels", lambda v, i: v * (i % F.col("width") + 1)), F.lit(0.0), lambda s, v: s + v)
+    return made.select("key", "transform", "height", total.alias("total"))
+
+
+_PHASES = f"{_PX}, o AS (SELECT vec_id AS key, 'train' AS phase, {_draw('vec_id * 3', 8, '4')} AS top, {_draw('vec_id * 3 + 1', 8, '4')} AS lft, {_draw('vec_id * 3 + 2', 8, '2')} = 1 AS mirrored FROM embeddings UNION ALL SELECT vec_id, 'test', 1, 1, {_draw('vec_id * 3 + 2', 8, '2')} = 1 FROM embeddings)"
+
+
+@query(f"WITH {_PHASES} SELECT key, phase, CAST(top AS BIGINT) AS top, CAST(lft AS BIGINT) AS \"left\", mirrored, sum(v * (CASE WHEN mirrored THEN 4 - (x - lft) ELSE x - lft END + 5 * (y - top) + 1)) AS weighed FROM o JOIN px USING (key) WHERE y BETWEEN top AND top + 4 AND x BETWEEN lft AND lft + 4 GROUP BY key, phase, top, lft, mirrored")
+def f21_phase_crop(spark, d):
+    """Crops of 5 by 5 for training and for testing."""
+    from ..operators.scoring import phase_crop
+
+    weighed = F.aggregate(F.transform("pixels", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    one = lambda phase: phase_crop(images(spark, d), 5, phase, True, 8).select("key", F.lit(phase).alias("phase"), F.col("top").cast("long").alias("top"), F.col("left").cast("long").alias("left"), "mirrored", weighed.alias("weighed"))
+    return one("train").unionByName(one("test"))
