@@ -48,13 +48,20 @@ def score(df: DataFrame, model: Model, batch_size: int = 256, vec: str = "vec",
     return df.mapInPandas(run, _schema(df, [(out, T.ArrayType(T.DoubleType()))]))
 
 
-def extract_features(df: DataFrame, model: Model, names: list[str], batch_size: int = 256, vec: str = "vec", key: str = "id") -> dict[str, DataFrame]:
-    """One table an output name: key (10 digits), vec.  A name that the model does not return raises KeyError."""
+def extract_features(df: DataFrame, model: Model, names: list[str], batch_size: int = 256, vec: str = "vec", key: str = "id", pool: bool = False) -> dict[str, DataFrame]:
+    """One table an output name: key (10 digits), vec.  A name that the model does not return raises KeyError.
+
+    An output of more than two axes is flattened, or with ``pool`` gives the largest value of each channel (second axis) over all places.
+    """
+
+    def row(made: np.ndarray, n: int) -> list:
+        made = np.asarray(made, float)
+        return list(made.max(tuple(range(2, made.ndim))) if pool and made.ndim > 2 else made.reshape(n, -1))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _batches(parts, batch_size):
             made = model(np.stack(part[vec].to_numpy()).astype(float))
-            yield pd.DataFrame({key: part[key], **{n: list(np.asarray(made[n], float).reshape(len(part), -1)) for n in names}})
+            yield pd.DataFrame({key: part[key], **{n: row(made[n], len(part)) for n in names}})
 
     fields = [df.schema[key], *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]]
     made = df.select(key, vec).mapInPandas(run, T.StructType(fields))

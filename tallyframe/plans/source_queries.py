@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import logs as G
 from ..sources import files as I
 from ..sources.stages import stage_path
-from ..streaming.plateau import stream_logs
+from ..streaming.plateau import follow_logs, stream_logs
 from .base import VECTORS, losses, query, r6, sql6, table, vectors
 
 
@@ -128,6 +128,25 @@ def st2_stream_logs(spark, d):
     return spark.read.parquet(out).where("iteration is not null").select("iteration", r6("lr").alias("lr"))
 
 
+_FOLLOWED = (
+    "WITH l AS (SELECT CAST(user_id % 20 AS VARCHAR) AS run, event_id, event_type, value, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS line_no FROM events),"
+    " c AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS iteration, last_value(CASE WHEN event_type = 'click' THEN value / 1000 END IGNORE NULLS) OVER w AS lr FROM l WINDOW w AS (PARTITION BY run ORDER BY event_id))"
+)
+
+
+@query(f"{_FOLLOWED} SELECT run, line_no, iteration, {sql6('lr')} AS lr, CASE WHEN event_type <> 'click' THEN 'test' END AS phase, {sql6("CASE WHEN event_type <> 'click' THEN value END")} AS metric FROM c WHERE event_id % 5 <> 0 OR event_type = 'click'")
+def st2_follow_logs(spark, d):
+    """Logs of twenty runs in parts, followed until all are read: iteration and rate go on from line to line."""
+    say = F.when(F.col("kind") == "click", F.format_string("I0210 13:39:22.381027 25210 solver.cpp:204] Iteration %d, lr = %s", "iteration", (F.col("loss") / 1000).cast("string")))
+    say = say.when(F.col("iteration") % 5 == 0, F.lit("I0210 13:39:22.381027 25210 solver.cpp:204] nothing of it")).otherwise(F.format_string("I0210 13:39:22.381027 25210 solver.cpp:204]     Test net output #0: accuracy = %s", F.col("loss").cast("string")))
+    logs, out, marks = stage_path(spark, "parts"), stage_path(spark, "followed"), stage_path(spark, "followmarks")
+    lines = losses(spark, d).select((F.col("run") % 20).alias("run"), F.format_string("%08d", F.floor(F.col("iteration") / 5000)).alias("part"), "iteration", say.alias("value"))
+    lines.repartition("run", "part").sortWithinPartitions("run", "part", "iteration").select("run", "part", "value").write.partitionBy("run", "part").text(logs)
+    query_ = follow_logs(spark, logs, r"run=([^/]*)").writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.parquet(out).select("run", "line_no", "iteration", r6("lr").alias("lr"), "phase", r6("metric").alias("metric"))
+
+
 @query("SELECT 'r' || user_id AS run, event_id AS line_no, event_id AS iteration FROM events WHERE event_type = 'click'")
 def f13_only_matching_lines(spark, d):
     """Of mixed lines, those that name an iteration."""

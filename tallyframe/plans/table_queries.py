@@ -409,6 +409,15 @@ def d2_extract_features(spark, d):
     return weighed("probs").unionByName(weighed("head"))
 
 
+@query(f"WITH {VECTORS} SELECT printf('%010d', id) AS key, CAST(c AS BIGINT) AS channel, {sql6('list_max(v[16 * c + 1:16 * c + 16])')} AS top FROM s, (SELECT unnest(range(0, 4)) AS c)")
+def d2_extract_features_pooled(spark, d):
+    """Each embedding as 4 channels of 4 by 4: the largest value of each."""
+    from ..operators.scoring import extract_features
+
+    made = extract_features(vectors(spark, d), lambda x: {"grid": x.reshape(-1, 4, 4, 4)}, ["grid"], vec="v", pool=True)["grid"]
+    return made.select("key", F.posexplode("vec").alias("channel", "top")).select("key", F.col("channel").cast("long").alias("channel"), r6("top").alias("top"))
+
+
 def _tiles(spark, d):
     from ..operators.geometry import tile_boxes
 

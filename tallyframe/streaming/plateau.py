@@ -100,3 +100,68 @@ def stream_logs(spark: SparkSession, folder: str) -> DataFrame:
 
     lines = spark.readStream.text(folder).select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "").alias("run"), F.lit(0).alias("line_no"), "value")
     return parse_log_metrics(lines).drop("line_no")
+
+
+#: Runs are named by the file up to its first dot, so a run's log may be in many files: a.0001.log, a.0002.log ...
+RUN_OF_FILE = r"([^/.]+)[^/]*$"
+FOLLOWED = "run string, line_no long, iteration long, lr double, phase string, output_no int, output string, metric double, loss double"
+_CARRIED = "lines long, iteration long, lr double"
+
+
+def _log_parts(files: DataFrame, run: str) -> DataFrame:
+    """Parsed lines of whole files (value, path): run, at (file, line in it), last (lines of the file, on its last one), and what F13 finds."""
+    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
+    rows = files.select(F.regexp_extract("path", run, 1).alias("run"), "path", F.size(lines).alias("n"), F.posexplode(lines).alias("at", "value"))
+    # the place goes through the parser as one column
+    from ..operators.logs import parse_log_metrics
+
+    place = F.struct(F.col("path"), F.col("at").cast("long").alias("at"), F.when(F.col("at") == F.col("n") - 1, F.col("n").cast("long")).alias("last"))
+    return parse_log_metrics(rows.select("run", place.alias("line_no"), "value")).select("run", "line_no.*", "iteration", "lr", "phase", "output_no", "output", "metric", "loss")
+
+
+def log_table(spark: SparkSession, folder: str, run: str = RUN_OF_FILE) -> DataFrame:
+    """The table of ``follow_logs`` from files that are all there: lines numbered along the files of a run, iteration and rate carried forward."""
+    from ..operators.logs import fill_forward
+    from ..operators.sampling import place_in
+
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    sizes = place_in(_log_parts(files, run).where("last is not null").select("run", "path", "last"), "run", ["path"], "_no", {"before": "last"}).select("path", "before")
+    rows = _log_parts(files, run).where(F.coalesce("iteration", "lr", "metric", "loss").isNotNull()).join(sizes, "path")
+    rows = rows.withColumn("line_no", F.col("before") + F.col("at"))
+    return fill_forward(rows).select(*[f.split()[0] for f in FOLLOWED.split(", ")])
+
+
+def follow_logs(spark: SparkSession, folder: str, run: str = RUN_OF_FILE, max_files: int | None = None) -> DataFrame:
+    """A stream of the metric lines of a growing folder: ``FOLLOWED``, a row a line that says something, iteration and rate carried forward.
+
+    A run's files are read in order of their names within a batch, and of their coming from batch to batch.  The state of a run is its number of
+    lines so far, its iteration and its rate, kept with the query's checkpoint, so that a restarted query goes on with the same numbers.  A file is a row until it is cut into
+    lines (logs in parts), and only lines that say something, and one a file, reach the state's function.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    names = [f.split()[0] for f in FOLLOWED.split(", ")]
+    source = spark.readStream.option("recursiveFileLookup", True)
+    source = source.option("maxFilesPerTrigger", max_files) if max_files else source
+    files = source.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    says = F.coalesce("iteration", "lr", "metric", "loss").isNotNull()
+    rows = _log_parts(files, run).withColumn("says", says).where("says or last is not null")
+    texts = {c: F.col(c).cast("string") for c in ("metric", "loss")}  # pandas would take not-a-number for null
+
+    def carry(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lines, iteration, lr = state.get if state.exists else (0, None, None)
+        pdf = pd.concat(list(parts)).sort_values(["path", "at"])
+        out = []
+        for r in pdf.itertuples(index=False):
+            iteration = iteration if pd.isna(r.iteration) else int(r.iteration)
+            lr = lr if pd.isna(r.lr) else float(r.lr)
+            if r.says:
+                out.append((key[0], lines + r.at, iteration, lr, *[None if pd.isna(v) else v for v in (r.phase, r.output_no, r.output, r.metric, r.loss)]))
+            if not pd.isna(r.last):
+                lines += int(r.last)
+        state.update((lines, iteration, lr))
+        yield pd.DataFrame(out, columns=names).astype({"iteration": "Int64", "output_no": "Int32", "lr": "Float64"})
+
+    schema = FOLLOWED.replace("metric double, loss double", "metric string, loss string")
+    made = rows.withColumns(texts).groupBy("run").applyInPandasWithState(carry, schema, _CARRIED, "append", GroupStateTimeout.NoTimeout)
+    return made.withColumns({c: F.col(c).cast("double") for c in texts})
