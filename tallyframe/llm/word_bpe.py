@@ -23,17 +23,46 @@ from .pieces import load_tokenizer, once, tokenizer_path
 #: Parts up to which a word is merged by scans.
 SHORT = 64
 #: Chunks and words that a task keeps, characters of the longest chunk that is kept, and bytes of the texts that are encoded at once.
-CHUNKS, WORDS, KEPT, GROUP = 100_000, 500_000, 64, 2_000_000
+CHUNKS, WORDS, KEPT, GROUP = 300_000, 200_000, 64, 2_000_000
 _NONE = 1 << 60
 
 
-class WordBpe:
+class TokenNames:
+    """The tokens of a tokenizers file by id; all that decoding needs."""
+
+    def __init__(self, path: str):
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        ids = made["model"]["vocab"] | {t["content"]: t["id"] for t in made["added_tokens"]}
+        self.names: list[str | None] = [None] * (max(ids.values()) + 1)
+        for token, i in ids.items():
+            self.names[i] = token
+
+    def decode(self, ids):
+        """Texts of an Arrow array of lists of ids, none and special ones included: the tokens in a row, by spaces (the file has no
+        decoder), as the library does.  Numbers that are no id are left out."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        good = (flat >= 0) & (flat < len(self.names))
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))])
+        bounds = np.concatenate([[0], np.cumsum(good)])[bounds]
+        tokens = pa.array(self.names).take(pa.array(flat[good]))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), tokens), " ")
+
+
+class WordBpe(TokenNames):
     """A tokenizers file of kind BPE without dropout, byte fallback and continuing prefix."""
 
     def __init__(self, path: str, limit: int = CHUNKS):
         import json
+
         import regex
 
+        super().__init__(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
@@ -50,7 +79,6 @@ class WordBpe:
         self.odd = regex.compile("|".join([r"\s", *map(regex.escape, self.special)]))
         self.limit = limit
         self.words: dict[str, bytes] = {}
-        self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
         self._forget()
 
     def _forget(self) -> None:
@@ -181,19 +209,6 @@ class WordBpe:
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - (ends - n), n)]
         return ids, np.diff(np.concatenate([[0], ends])[parts.offsets.to_numpy()])
 
-    def decode(self, ids):
-        """Texts of an Arrow array of lists of ids, none and special ones included: the tokens in a row, by spaces (the file has no
-        decoder), as the library does.  Numbers that are no id are left out."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        flat = ids.flatten().to_numpy(zero_copy_only=False)
-        good = (flat >= 0) & (flat < len(self.names))
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))])
-        bounds = np.concatenate([[0], np.cumsum(good)])[bounds]
-        tokens = pa.array(self.names).take(pa.array(flat[good]))
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), tokens), " ")
-
 
 def _groups(sizes, most: int = GROUP) -> Iterator[tuple[int, int]]:
     """Runs of rows whose ``sizes`` (an Arrow array) add up to about ``most``."""
@@ -239,7 +254,7 @@ def decode(rows: DataFrame, ids: str = "ids", name: str = "decoded", tokenizer:
 
         import pyarrow.compute as pc
 
-        coder = once(WordBpe, path)
+        coder = once(TokenNames, path)
         for batch in batches:
             for start, stop in _groups(pc.list_value_length(batch.column(len(kept)))):
                 part = batch.slice(start, stop - start)
