@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.stages import drop_stage, stage, stage_buckets, stage_path
 
-__all__ = ["WORD", "drop_stage", "free_names", "hash_sample", "likely", "stage", "stage_buckets", "stage_path", "table", "with_likely", "with_rank"]
+__all__ = ["WORD", "drop_stage", "free_names", "hash_sample", "let", "likely", "stage", "stage_buckets", "stage_path", "table", "with_likely", "with_rank"]
 
 #: Words are maximal runs of characters outside these: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, where the value is computed once: what a lambda refers to is computed anew at each of its calls."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def free_names(columns: list[str], *names: str) -> list[str]:
     """``names`` changed so that none is a name of ``columns``, letter case aside (Spark's names ignore it)."""
     taken, out = {c.lower() for c in columns}, []

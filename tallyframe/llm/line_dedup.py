@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, drop_stage, free_names, likely, stage, table, with_likely
+from .common import WORD, drop_stage, free_names, let, likely, stage, table, with_likely
 
 SIMILARITY, BINS = 0.8, 1 << 16
 #: How many of a set's least hashes the first round pairs up to look for earlier classes, and how many before a class in order it tries.
@@ -33,15 +33,15 @@ NEAR_WORDS, NEAR_STEPS = 3, 4
 _NO_ID = (1 << 63) - 1
 
 
-def words(line: Column) -> Column:
-    """Lower-cased words cut at single white characters; empty ones are among them."""
-    low = F.lower(line)
-    return F.split(F.when(low.rlike(r"[\x09\x0B-\x0D]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low), " ")
+def plain(text: Column) -> Column:
+    """The text lower-cased, with spaces for the other white characters but line feeds."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[\x09\x0B-\x0D]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
 
 
 def tokens(line: Column) -> Column:
-    """Distinct hashes of the words of a line."""
-    return F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
+    """Distinct hashes of the words of a line of a ``plain`` text."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
 def rarity(lines: DataFrame) -> Column:
@@ -64,7 +64,7 @@ def keyed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Texts are cut into words once: the words' hashes are staged, counted, and then put in order.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
     hashed = stage(rows.select("doc_id", "h", "line_no", tokens(F.col("line")).alias("tokens")), "linetokens")
     levels = rarity(hashed)
     # a word is one number: its level above 56 bits of its hash, so that numbers sort from rare to common
@@ -128,7 +128,7 @@ def near_candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataF
     me = F.struct(*ID, "n")
     order = Window.partitionBy("t").orderBy("doc", *ID)
     others = {"a0": F.first(me).over(order.rowsBetween(Window.unboundedPreceding, -1))} | {f"a{k}": F.lag(me, k).over(order) for k in range(1, NEAR_STEPS + 1)}
-    near = posts.select(me.alias("b"), *[w.alias(n) for n, w in others.items()])
+    near = posts.select(me.alias("b"), *[w.alias(n) for n, w in others.items()]).where("a1 is not null")
     # of those that may match, the one whose parity is nearest
     best = F.array_min(F.array(*[F.when(_may_match(n, "b", similarity), F.struct(_differ(n, "b").alias("differ"), _id(n).alias("a"))) for n in others]))
     return near.select(best["a"].alias("a"), _id("b").alias("b")).where("a is not null").distinct()
@@ -159,8 +159,9 @@ def later_ones(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select(F.struct(*ID).alias("id"), "first"), "id")
     wanted = stage(wanted.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")).agg(F.collect_list(F.struct("id", "first")).alias("want")), "linewanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    got = likely(texts, "h", wanted, "_h").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).withColumn("all", F.split("text", "\n"))
-    got = got.select(F.inline(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["first"].alias("first"), F.get("all", w["first"]["line_no"]).alias("line")))))
+    got = likely(texts, "h", wanted, "_h").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    line = lambda w, all_: F.struct(w["id"].alias("id"), w["first"].alias("first"), F.get(all_, w["first"]["line_no"]).alias("line"))
+    got = got.select(F.inline(let(F.split(plain(F.col("text")), "\n"), lambda all_: F.transform("want", lambda w: line(w, all_)))))
     sets = stage(got.select("id", F.struct("first.none", "first.doc_id", "first.line_no").alias("place"), tokens(F.col("line")).alias("set")).dropDuplicates(["id"]), "linesets")
     side = lambda s: sets.select(F.col("id").alias(s), F.col("place").alias(f"place_{s}"), F.col("set").alias(f"set_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -209,8 +210,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, removed: str |
     doc, h, doc2, h2, gone, may = free_names(docs.columns, "doc", "h", "doc2", "h2", "gone", "may")
     marks = find_repeats(docs.select("doc_id", "text"), similarity).select(F.col("doc_id").alias(doc2), F.col("h").alias(h2), F.col("removed").alias(gone))
     rows = with_likely(docs.withColumns({doc: F.col("doc_id").cast("long"), h: F.xxhash64("text")}), h, marks, h2, may)
-    all_ = F.split("text", "\n")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(gone)), lambda i: F.get(all_, i)), "\n")
+    stays = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(gone))
+    kept = let(F.split("text", "\n"), lambda all_: F.array_join(F.transform(stays(all_), lambda i: F.get(all_, i)), "\n"))
     text = F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text"))
     out = [text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
     none = F.array().cast("array<int>")
@@ -222,9 +223,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, removed: str |
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the md5 of the text that is kept (null text: of the empty one) of all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     made = dedup_lines(docs, removed="removed")
-    return made.select("doc_id", F.greatest(F.col("n_lines"), F.lit(0)).alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+    return made.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
 ORACLE = r"""
