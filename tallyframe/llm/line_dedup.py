@@ -45,8 +45,9 @@ def tokens(line: Column) -> Column:
 
 
 def rarity(lines: DataFrame) -> Column:
-    """The level of each bin as an array literal: thirds of octaves of how often ``lines(tokens)`` have a word of it, from 0 to 127."""
-    seen = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    """The level of each bin as an array literal: thirds of octaves of how often ``lines(line)`` have a word of it, from 0 to 127."""
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    seen = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"))
     levels = [0] * BINS
     for r in seen.collect():  # at most BINS rows
         levels[r["bin"]] = min(127, 1 + int(3 * log2(r["n"])))
@@ -62,20 +63,18 @@ def keyed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, h (of the text), line_no, key, low, high (which name the set: a hash of it and the parity of its words in 128 places),
     n (its size), prefix (its rarest words, as many as a similar set must meet one of) and least (its least hashes) of all lines that have words.
 
-    Texts are cut into words once: the words' hashes are staged, counted, and then put in order.
+    Texts are cut into words twice, to count them and to put their hashes in order; stored, the hashes would take as much disk as the texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
-    hashed = stage(rows.select("doc_id", "h", "line_no", tokens(F.col("line")).alias("tokens")), "linetokens")
-    levels = rarity(hashed)
+    levels = rarity(rows)
+    hashed = rows.select("doc_id", "h", "line_no", tokens(F.col("line")).alias("tokens"))
     # a word is one number: its level above 56 bits of its hash, so that numbers sort from rare to common
     level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BINS - 1)).cast("int")), F.lit(0)).cast("long")
     number = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     ranked = hashed.select("doc_id", "h", "line_no", F.sort_array(F.transform("tokens", number)).alias("ranked"), F.slice(F.sort_array("tokens"), 1, NEAR_WORDS).alias("least"))
     n = F.size("ranked")
     bits = lambda half: F.expr(f"aggregate(ranked, 0L, (b, t) -> if((t & 64) = {half}, b ^ shiftleft(1L, cast(t & 63 as int)), b))")
-    made = stage(ranked.select("doc_id", "h", "line_no", F.xxhash64("ranked").alias("key"), bits(0).alias("low"), bits(64).alias("high"), n.alias("n"), F.slice("ranked", F.lit(1), n - _least(similarity, n) + 1).alias("prefix"), "least"), "keyedlines")
-    drop_stage(hashed)
-    return made
+    return stage(ranked.select("doc_id", "h", "line_no", F.xxhash64("ranked").alias("key"), bits(0).alias("low"), bits(64).alias("high"), n.alias("n"), F.slice("ranked", F.lit(1), n - _least(similarity, n) + 1).alias("prefix"), "least"), "keyedlines")
 
 
 ID = ["key", "low", "high"]
