@@ -44,16 +44,34 @@ def read_fixed_records(spark: SparkSession, path: str, payload: int = 3072, labe
 
 
 def read_idx(spark: SparkSession, images: str, labels: str) -> DataFrame:
-    """idx, label, height, width, data of an image and a label file; wrong magic numbers or counts raise."""
-    word = lambda c, i: F.conv(F.hex(F.expr(f"substring({c}, {4 * i + 1}, 4)")), 16, 10).cast("int")
-    load = lambda p: spark.read.format("binaryFile").load(p).select("content")
-    im, la = load(images).withColumns({n: word("content", i) for i, n in enumerate(("magic", "n", "height", "width"))}), load(labels).withColumns({n: word("content", i) for i, n in enumerate(("magic", "n"))})
-    a, b = im.select("magic", "n").first(), la.select("magic", "n").first()
-    if a["magic"] != 2051 or b["magic"] != 2049 or a["n"] != b["n"]:
-        raise ValueError(f"not an idx pair: magic {a['magic']} and {b['magic']}, items {a['n']} and {b['n']}")
-    pix = im.select("height", "width", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"), "content").select("idx", "height", "width", F.expr("substring(content, 17 + idx * height * width, height * width)").alias("data"))
-    lab = la.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"), "content").select("idx", F.conv(F.hex(F.expr("substring(content, 9 + idx, 1)")), 16, 10).cast("int").alias("label"))
-    return pix.join(lab, "idx").select("idx", "label", "height", "width", "data")
+    """idx, label, height, width, data of image and label files; wrong magic numbers or counts raise.
+
+    Paths may name many files: in order of their paths, the k-th of one kind goes with the k-th of the other, and idx runs
+    on over them.  A file is one row while it is cut, so large sets come in many files (Spark reads up to 2 GB as one).
+    """
+    word = lambda i, kind="long": F.conv(F.hex(F.expr(f"substring(content, {4 * i + 1}, 4)")), 16, 10).cast(kind)
+    cut = lambda item: F.inline(F.expr(f"if(n > 0, transform(sequence(0L, n - 1), i -> named_struct('i', i, {item})), array())"))
+
+    def load(path: str, magic: int) -> tuple[DataFrame, DataFrame]:
+        files = spark.read.format("binaryFile").load(path).select("path", "content", word(0).alias("magic"), word(1).alias("n"))
+        order = Window.orderBy("path")  # a row a file
+        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        heads = files.select("path", (F.col("magic") == magic).alias("right"), "n", F.row_number().over(order).alias("file_no"), before.alias("start"))
+        return files, heads
+
+    (im, im_heads), (la, la_heads) = load(images, 2051), load(labels, 2049)
+    a, b = im_heads.alias("a"), la_heads.alias("b")
+    same = F.col("a.right") & F.col("b.right") & (F.col("a.n") == F.col("b.n"))
+    wrong = a.join(b, "file_no", "full").where(~F.coalesce(same, F.lit(False))).select("a.path", "b.path").first()
+    if wrong:
+        raise ValueError(f"not an idx pair: {wrong[0]} and {wrong[1]}")
+    pix = im.withColumns({"height": word(2, "int"), "width": word(3, "int")})
+    pix = pix.select("path", "height", "width", cut("'data', substring(content, cast(17 + i * height * width as int), height * width)"))
+    lab = la.select("path", cut("'label', cast(conv(hex(substring(content, cast(9 + i as int), 1)), 16, 10) as int)"))
+    # the pair's image file and where it starts travel with the labels, so that data move once
+    pairs = b.join(a, "file_no").select(F.col("b.path").alias("path"), F.col("a.path").alias("images"), "a.start")
+    lab = lab.join(pairs, "path").select(F.col("images").alias("path"), "i", (F.col("start") + F.col("i")).alias("idx"), "label")
+    return pix.join(lab, ["path", "i"]).select("idx", "label", "height", "width", "data")
 
 
 def parse_windows(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

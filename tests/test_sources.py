@@ -35,6 +35,22 @@ def test_idx_pair(spark, tmp_path):
         I.read_idx(spark, str(tmp_path / "im"), str(tmp_path / "bad"))
 
 
+def test_idx_pairs_of_many_files(spark, tmp_path):
+    """Files pair up in order of their paths, sizes may differ, a pair may be empty, and idx runs on."""
+    at = 0
+    for k, (n, side) in enumerate([(3, 2), (0, 2), (2, 3)]):
+        pixels = bytes((at + i) % 251 for i in range(n) for _ in range(side * side))
+        (tmp_path / f"im{k}").write_bytes(struct.pack(">4I", 2051, n, side, side) + pixels)
+        (tmp_path / f"la{k}").write_bytes(struct.pack(">2I", 2049, n) + bytes(200 + at + i for i in range(n)))
+        at += n
+    rows = I.read_idx(spark, str(tmp_path / "im*"), str(tmp_path / "la*")).collect()
+    want = {(i, 200 + i, side, bytes([i] * side * side)) for i, side in enumerate([2, 2, 2, 3, 3])}
+    assert {(r["idx"], r["label"], r["height"], bytes(r["data"])) for r in rows} == want and len(rows) == 5
+    (tmp_path / "la3").write_bytes(struct.pack(">2I", 2049, 1) + b"x")
+    with pytest.raises(ValueError):  # a label file without images
+        I.read_idx(spark, str(tmp_path / "im*"), str(tmp_path / "la*"))
+
+
 def test_windows(spark, tmp_path):
     (tmp_path / "w.txt").write_text("# 0\n/a.jpg\n3\n10\n20\n2\n1 0.9 0 0 5 5\n2 0.1 1 1 4 4\n# 1\n/b.jpg\n3\n8\n8\n0\n")
     im, win = I.read_windows(spark, str(tmp_path / "w.txt"))
