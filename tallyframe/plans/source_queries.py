@@ -63,10 +63,10 @@ def s3_read_fixed_records(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, item_id % 10 AS label, CAST(2 AS BIGINT) AS height, CAST(2 AS BIGINT) AS width, upper(md5(text))[1:8] AS data FROM benchmark")
 def s4_read_idx(spark, d):
-    """Pairs of files of 256 items each: the items' first digest bytes as 2 by 2 pictures, and their labels."""
+    """Pairs of files of 64 items each: the items' first digest bytes as 2 by 2 pictures, and their labels."""
     word = lambda n: F.lpad(F.hex(n), 8, "0")
     items = table(spark, d, "benchmark").select("item_id", F.substring(F.upper(F.md5("text")), 1, 8).alias("px"), F.lpad(F.hex(F.col("item_id") % 10), 2, "0").alias("label"))
-    shard = F.format_string("%010d", F.floor(F.col("place") / 256)).alias("shard")
+    shard = F.format_string("%010d", F.floor(F.col("place") / 64)).alias("shard")
     rows = with_index(items, ["item_id"], "place").groupBy(shard).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "px", "label"))).alias("all"))
     joined = lambda part: F.array_join(F.transform("all", lambda x: x[part]), "")
     files = {"images": F.concat(word(F.lit(2051)), word("n"), word(F.lit(2)), word(F.lit(2)), joined("px")), "labels": F.concat(word(F.lit(2049)), word("n"), joined("label"))}
