@@ -16,8 +16,8 @@ BLOCKS = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose content is not text of the page.
-RAW = "script style noscript template iframe svg math textarea select title object audio video canvas"
+#: Elements whose content is not text of the page; formulas, and what stands in for scripts and objects, are read like other text.
+RAW = "script style template iframe svg annotation annotation-xml textarea select title audio video canvas"
 #: A start tag of the first closes an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An open one of these is not closed by a start tag outside of it.
@@ -27,7 +27,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     # a foreign element that closes itself; a slash at the end of an unquoted value does not close it
     r"|<(?:svg|math)(?=[\s/])(?:\"[^\"]*\"|'[^']*'|=\s*+(?:[^\s>\"'][^\s>]*+)?+|[^>\"'=/]|/(?!>))*+/>"
-    rf"|<(?P<raw>{'|'.join(RAW.split())})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW.split())})(?![\w:-])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-z][\w:-]*)(?P<attrs2>[^>]*)>",
@@ -38,7 +38,7 @@ _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-PATH_DIM, WORD_DIM, PLAIN_DIM = 160, 48, 8
+PATH_DIM, WORD_DIM, PLAIN_DIM = 160, 256, 8
 DIM = PATH_DIM + WORD_DIM + PLAIN_DIM
 _known: dict[str, tuple[int, float]] = {}
 

@@ -24,34 +24,38 @@ from .html_blocks import DIM, blocks, vectors
 TRAIN_CHARS = 20_000
 #: Pages, and characters of them, that are parsed at once; a longer page goes alone.
 AT_ONCE, CHARS_AT_ONCE = 300, 4_000_000
-SAMPLE, PAGES, HIDDEN, EPOCHS, BATCH, RATE, SEED = 200, 900, 24, 10, 30, 0.01, 7
+SAMPLE, PAGES, HIDDEN, EPOCHS, BATCH, RATE, SEED = 200, 3000, 24, 7, 30, 0.01, 7
 
 #: Names under which sites keep what is, and what is not, the article.
 MAIN = [
     "article", "main", "div.content", "div#content", "div#main-content", "div.post-body", "div.entry-content", "section.article-body", "div.story", "article.post",
     "div.article-text", "div.main", "section", "div", "td", "article.story-body", "div.page-content", "main#main", "section.post", "div.body-text", "article.entry hentry",
+    "div.artikel", "div.inhalt", "div.contenu", "div.article-texte", "div.contenido", "div.noticia", "div.contenuto", "div.artigo",
 ]
 ASIDE = {
-    "menu": ["nav", "ul.menu", "div.navbar", "div#menu", "nav.main-nav", "div.navigation", "ul.nav", "div.breadcrumb", "div.topbar", "nav.breadcrumbs", "div.pagination", "div.tabs", "ol.breadcrumb", "menu", "div.toc"],
-    "header": ["header", "div.header", "div#masthead", "header.site-header", "div.page-header", "div.logo", "div#top", "div.branding", "header.banner"],
-    "footer": ["footer", "div.footer", "div#footer", "footer.site-footer", "div.copyright", "div.legal", "section.footer", "div#bottom", "div.colophon"],
-    "sidebar": ["aside", "div.sidebar", "div#sidebar", "aside.widget-area", "div.widget", "div.related", "div.related-posts", "section.recommended", "div.trending", "div.more-stories", "ul.popular", "div.tags", "div.share", "div.social-links", "div.author-box", "section.read-more", "div#right-column"],
-    "notice": ["div.cookie-notice", "div#cookie-banner", "div.gdpr", "div.alert", "div.notice", "section.consent", "div.popup", "div.modal", "div.privacy-banner", "div.paywall", "div.disclaimer", "dialog", "div.banner", "div.warning", "div.cookies"],
-    "advert": ["div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "section.promo", "div.promoted", "aside.ad", "div#ad-top", "div.banner-ad", "div.sponsor", "p.ad", "div.adsbygoogle", "div.commercial", "figure.ad"],
-    "form": ["form", "form.search", "div.newsletter", "form#login", "div.subscribe", "div.signup", "fieldset", "form.contact", "div.login", "div.search-box", "section.newsletter-signup", "form.poll"],
-    "comments": ["div#comments", "section.comments", "div.comment-list", "ol.commentlist", "div.comment", "div.disqus", "ul.replies", "section#respond", "div.reader-comments", "div.responses", "div.discussion", "section.user-comments"],
+    "menu": ["nav", "ul.menu", "div.navbar", "div#menu", "nav.main-nav", "div.navigation", "ul.nav", "div.breadcrumb", "div.topbar", "nav.breadcrumbs", "div.pagination", "div.tabs", "ol.breadcrumb", "menu", "div.toc", "div.menue", "ul.menu-principal", "div.navegacion"],
+    "header": ["header", "div.header", "div#masthead", "header.site-header", "div.page-header", "div.logo", "div#top", "div.branding", "header.banner", "div.kopf", "div.entete", "div.cabecera"],
+    "footer": ["footer", "div.footer", "div#footer", "footer.site-footer", "div.copyright", "div.legal", "section.footer", "div#bottom", "div.colophon", "div#fuss", "div.pied", "div.pie"],
+    "sidebar": ["aside", "div.sidebar", "div#sidebar", "aside.widget-area", "div.widget", "div.related", "div.related-posts", "section.recommended", "div.trending", "div.more-stories", "ul.popular", "div.tags", "div.share", "div.social-links", "div.author-box", "section.read-more", "div#right-column", "div.seitenleiste", "div.colonne", "div.lateral"],
+    "notice": ["div.cookie-notice", "div#cookie-banner", "div.gdpr", "div.alert", "div.notice", "section.consent", "div.popup", "div.modal", "div.privacy-banner", "div.paywall", "div.disclaimer", "dialog", "div.banner", "div.warning", "div.cookies", "div.hinweis", "div.avertissement", "div.aviso"],
+    "advert": ["div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "section.promo", "div.promoted", "aside.ad", "div#ad-top", "div.banner-ad", "div.sponsor", "p.ad", "div.adsbygoogle", "div.commercial", "figure.ad", "div.werbung", "div.publicite", "div.anuncio"],
+    "form": ["form", "form.search", "div.newsletter", "form#login", "div.subscribe", "div.signup", "fieldset", "form.contact", "div.login", "div.search-box", "section.newsletter-signup", "form.poll", "form.suche", "form.recherche", "form.buscar"],
+    "comments": ["div#comments", "section.comments", "div.comment-list", "ol.commentlist", "div.comment", "div.disqus", "ul.replies", "section#respond", "div.reader-comments", "div.responses", "div.discussion", "section.user-comments", "div.kommentare", "div.commentaires", "div.comentarios"],
 }
-#: Words that such blocks carry.
+#: Phrases that such blocks carry in the larger European languages, parted by bars.
 SAID = {
-    "menu": "home about contact news sports next previous menu skip login archive products blog accueil startseite inicio kontakt contacto".split(),
-    "header": "welcome the daily official site online since magazine".split(),
-    "footer": "© copyright all rights reserved privacy policy terms imprint impressum contact · 2024 inc mentions légales".split(),
-    "sidebar": "related read more popular trending share tweet tags by about the author latest stories see also".split(),
-    "notice": "we use cookies accept this site consent privacy agree by continuing you wir verwenden nous utilisons usamos notice".split(),
-    "advert": "advertisement sponsored buy now sale free offer click shop deal ad anzeige publicité publicidad".split(),
-    "form": "name email subscribe sign up search submit password send your newsletter enter comment".split(),
-    "comments": "reply says wrote comment posted by ago comments great thanks i agree like report 5 hours".split(),
-}
+    "menu": "home|about us|contact|news|sports|next|previous|back|menu|skip to content|log in|archive|products|blog|links|search|accueil|actualités|retour|startseite|über uns|aktuelles|zurück|kontakt|inicio|noticias|contacto|prima pagina|contatti|voorpagina|nieuws|início|start|nyheter|strona główna|aktualności",
+    "header": "welcome to the|the daily|official site|online since|magazine|gazette|journal|zeitung|le journal|el diario|il giornale|willkommen|bienvenue|bienvenidos",
+    "footer": "© copyright|all rights reserved|privacy policy|terms of use|imprint|contact us|site map|last updated|webmaster|impressum|datenschutz|alle rechte vorbehalten|mentions légales|tous droits réservés|aviso legal|política de privacidad|todos los derechos reservados|tutti i diritti riservati|alle rechten voorbehouden|todos os direitos reservados|alla rättigheter förbehållna|wszelkie prawa zastrzeżone|kontakt|colofon|accessibility|follow us|powered by",
+    "sidebar": "related articles|read more|most popular|most read|trending|share|tweet|print|tags|categories|about the author|latest stories|see also|you may also like|recent posts|archives|mehr zum thema|meistgelesen|lesen sie auch|à lire aussi|les plus lus|lo más leído|te puede interesar|i più letti|leggi anche|lees ook|mais lidas|mest läst|zobacz także|follow us on",
+    "notice": "we use cookies|accept all|this site uses cookies|consent to the use|privacy settings|i agree|by continuing you accept|manage your choices|free articles left|wir verwenden cookies|zustimmen|diese website nutzt cookies|nous utilisons des cookies|accepter|ce site utilise des cookies|utilizamos cookies|aceptar|este sitio usa cookies|utilizziamo i cookie|accetta|wij gebruiken cookies|akkoord|usamos cookies|aceitar|vi använder cookies|godkänn|używamy plików cookies|akceptuję",
+    "advert": "advertisement|sponsored|buy now|sale|free offer|click here|shop now|best deals|save up to 50%|from 9 euros|discount|order today|anzeige|jetzt kaufen|angebot|publicité|achetez maintenant|offre|meilleur prix|publicidad|compra ahora|oferta|pubblicità|offerta|advertentie|aanbieding|anúncio|annons|köp nu|reklama|promocja",
+    "form": "your name|email|subscribe|sign up|search|submit|password|send|newsletter|log in|register|forgot your password?|suchen|anmelden|absenden|passwort|rechercher|s'abonner|envoyer|mot de passe|buscar|enviar|contraseña|cerca|iscriviti|invia|zoeken|versturen|pesquisar|sök|szukaj",
+    "comments": "reply|says:|wrote:|posted by|5 hours ago|2 days ago|like|report|yesterday at 10:15|antworten|schrieb|vor 3 stunden|melden|répondre|a écrit|il y a 2 jours|responder|dijo|hace 4 horas|rispondi|ha scritto|2 ore fa|beantwoorden|schreef|svara|skrev|för 2 timmar sedan|odpowiedz|napisał",
+    "opening": "comments|3 comments|comments (12)|leave a comment|join the discussion|responses|what readers say|kommentare|leserkommentare|commentaires|vos réactions|comentarios|opiniones|commenti|reacties|comentários|kommentarer|komentarze",
+}
+#: How pages name their parts: as listed, by made-up names, not at all, by cells of tables, or each part one of these ways.
+STYLES, SHARES = ["listed", "made up", "bare", "table", "mixed"], [0.4, 0.2, 0.15, 0.15, 0.1]
 _MARK_MAIN, _MARK_REST = "", ""
 
 
@@ -63,72 +67,135 @@ def _tag(spec: str) -> tuple[str, str]:
     return f"<{spec}>", f"</{spec}>"
 
 
+def _namer(rng: random.Random):
+    """(style, function from a list of the usual names to the tags of a part) of one page."""
+    style = rng.choices(STYLES, SHARES)[0]
+    prefix, letters = rng.choice(["css-", "sc-", "x", "_", ""]), "abcdefghijklmnopqrstuvwxyz"
+    size = rng.choice([1, 4, 6, 10])
+
+    def tags(usual: list[str]) -> tuple[str, str]:
+        way = rng.choice(STYLES[:3]) if style == "mixed" else style
+        if way == "listed":
+            return _tag(rng.choice(usual))
+        if way == "made up":
+            name = "".join(rng.choice(letters if rng.random() < 0.7 else "0123456789") for _ in range(size))
+            return _tag(f"{rng.choice(['div', 'div', 'div', 'section', 'div' if usual is MAIN else 'ul'])}{rng.choice('.#')}{prefix}{name}")
+        return _tag(rng.choice(["div", "div", "div", "p", "span", "center"]) if way == "table" else rng.choice(["div", "div", "div", "section"]))
+
+    return style, tags
+
+
 def training_page(rng: random.Random, texts: list[str]) -> str:
-    """A page of random layout; every text starts with a mark of what it is."""
+    """A page of random layout; every text starts with a mark of what it is.
+
+    Half of the pages have their letters exchanged, so that nothing is learnt from the words of articles, only from the
+    phrases of what is around them and from the layout.
+    """
+    style, tags = _namer(rng)
+    named = style == "listed"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cipher = str.maketrans(letters, "".join(rng.sample(letters, 26))) if rng.random() < 0.5 else {}
 
     def words(lo: int, hi: int) -> str:
         t = rng.choice(texts).split()
         a = rng.randrange(len(t))
-        return " ".join((t[a:] + rng.choice(texts).split() * 8)[: rng.randint(lo, hi)]) or "text"
+        got = " ".join((t[a:] + rng.choice(texts).split() * 8)[: rng.randint(lo, hi)]) or "text"
+        return got.translate(cipher)
 
     def sentence(lo: int, hi: int) -> str:
         return words(lo, hi) + rng.choice([".", ".", ".", "!", "?", ""])
 
+    def phrase(kind: str) -> str:
+        got = rng.choice(SAID[kind].split("|"))
+        return rng.choice([got, got.capitalize(), got.capitalize(), got.upper()])
+
+    def link(inner: str) -> str:
+        return f'<a href="/{rng.randrange(99)}">{inner}</a>'
+
     def aside(kind: str) -> str:
-        start, end = _tag(rng.choice(ASIDE[kind]))
-        said = lambda: " ".join(rng.choice(SAID[kind]) for _ in range(rng.randint(1, 5)))
-        some = lambda lo, hi: _MARK_REST + rng.choice([words(lo, hi), sentence(lo, hi), said(), said() + " " + words(lo, hi)])
-        style = rng.random()
-        if kind == "menu" or (kind in ("sidebar", "footer") and style < 0.4):
-            items = "".join(f'<li><a href="/{i}">{some(1, 4)}</a></li>' for i in range(rng.randint(2, 8)))
-            inner = items if start[1:3] in ("ul", "ol") else f"<ul>{items}</ul>"
-            if rng.random() < 0.2:
-                inner = "".join(f'<a href="#">{some(1, 3)}</a> ' for _ in range(rng.randint(2, 6)))
+        start, end = tags(ASIDE[kind])
+        told = lambda: " ".join(rng.choice([phrase(kind), phrase(kind), words(1, 2)]) for _ in range(rng.randint(1, 4)))
+        # without names around them, parts are known by what they say only
+        some = lambda lo, hi: _MARK_REST + rng.choice([words(lo, hi), sentence(lo, hi), phrase(kind), told()] if named else [phrase(kind), told(), phrase(kind) + " " + sentence(1, 9), words(1, 3) + " " + phrase(kind)])
+        way = rng.random()
+        if kind == "menu" or (kind in ("sidebar", "footer") and way < 0.5):
+            short = lambda: _MARK_REST + (phrase(kind) if rng.random() < 0.4 else words(1, 4 if kind != "sidebar" else 9))
+            head = f"<{(h := rng.choice(['h2', 'h3', 'h4', 'p', 'div']))}>{_MARK_REST}{phrase('sidebar')}</{h}>" if kind == "sidebar" and rng.random() < 0.8 else ""
+            sep = rng.choice([" ", " ", "", " | ", " · ", " &gt; ", "<br>"])
+            items = [link(short()) for _ in range(rng.randint(1, 8))]
+            listed = "".join(f"<li>{i}</li>" for i in items)
+            inner = head + (listed if start[1:3] in ("ul", "ol") else rng.choice([f"<ul>{listed}</ul>", sep.join(items), sep.join(items), "".join(f"<div>{i}</div>" for i in items)]))
         elif kind == "form":
             inner = "".join(rng.choice(["<label>{}</label><input>", "<p>{}</p>", "<div>{}</div>", "<button>{}</button>"]).format(some(1, 12)) for _ in range(rng.randint(1, 4)))
+            inner = f"<form>{inner}</form>" if rng.random() < 0.5 else inner
         elif kind == "comments":
-            one = rng.choice(["<div class='comment'><b>{}</b><p>{}</p></div>", "<li><p>{}</p><p>{}</p></li>", "<article class='comment-body'><h4>{}</h4><p>{}</p></article>", "<p>{}</p><p>{}</p>"])
-            inner = rng.choice(["", f"<h3>{some(1, 3)}</h3>"]) + "".join(one.format(some(1, 3), some(3, 60)) for _ in range(rng.randint(1, 6)))
+            signed, headed = rng.choice([(True, True), (True, False), (False, True), (False, not named)])
+            who = lambda: _MARK_REST + words(1, 2) + (" " + phrase(kind) if signed else "")
+            said = lambda: _MARK_REST + " ".join(sentence(2, 25) for _ in range(rng.randint(1, 2)))
+            foot = lambda: _MARK_REST + rng.choice([phrase(kind), link(phrase(kind))])
+            one = rng.choice(["<div><b>{}</b><p>{}</p>{}</div>", "<li><p>{}</p><p>{}</p><p>{}</p></li>", "<article class='comment-body'><h4>{}</h4><p>{}</p>{}</article>", "<p>{}</p><p>{}</p><p>{}</p>", "<div><div>{}</div><div>{}</div><div>{}</div></div>"])
+            if not named:
+                one = one.replace(" class='comment-body'", "").replace("article", "div")
+            head = f"<h3>{_MARK_REST}{phrase('opening')}</h3>" if headed else ""
+            inner = head + "".join(one.format(who(), said(), foot()) for _ in range(rng.randint(1, 6)))
+        elif kind == "header":
+            name = rng.choice([_MARK_REST + words(1, 4), some(1, 6)])
+            inner = rng.choice(["{}", "<b>{}</b>", "<h2>{}</h2>", "<p>{}</p>", "<div>{}</div>"]).format(name if named and rng.random() < 0.5 else link(name))
         else:
-            inner = rng.choice(["{}", "<p>{}</p>", "<p>{}</p><p>{}</p>", "<div>{}</div>", "<h3>{}</h3><p>{}</p>", "<h2>{}</h2><div>{}</div><a href='#'>{}</a>", "<span>{}</span>"])
+            inner = rng.choice(["{}", "<p>{}</p>", "<p>{}</p><p>{}</p>", "<div>{}</div>", "<h3>{}</h3><p>{}</p>", "<h2>{}</h2><div>{}</div><a href='#'>{}</a>", "<span>{}</span>", "<p>{}</p><button>{}</button>", "<a href='#'>{}</a>"])
             for _ in range(inner.count("{}")):
-                inner = inner.replace("{}", some(1, 45), 1)
+                inner = inner.replace("{}", some(1, 45 if named else 16), 1)
         return f"{start}{inner}{end}"
 
     def body() -> str:
         parts = []
+        para = rng.choice(["p", "p", "p", "p", "div"])
         if rng.random() < 0.85:
-            title = f"<h1>{_MARK_MAIN}{words(1, 14)}</h1>"
-            parts.append(f"<header>{title}</header>" if rng.random() < 0.15 else title)
+            level = rng.choice(["h1", "h1", "h1", "h2"])
+            title = f"<{level}>{_MARK_MAIN}{words(1, 14)}</{level}>"
+            parts.append(f"<header>{title}</header>" if rng.random() < 0.1 else title)
+        longest = rng.choice([30, 30, 120])
         for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 20])):
             kind = rng.random()
-            if kind < 0.72:
-                link = f' <a href="#">{words(1, 3)}</a> ' if rng.random() < 0.1 else ""
-                bold = rng.choice(["", "", "", "<b>"])
-                parts.append(f"<p>{bold}{_MARK_MAIN}{sentence(1, rng.choice([8, 30, 120]))}{link}{rng.choice(['</p>', '</p>', '</p>', '<br>'])}")
-            elif kind < 0.8:
+            if kind < 0.7:
+                linked = f" {link(words(1, 3))} " if rng.random() < 0.1 else ""
+                bold = rng.choice(["", "", "", "<b>"]) if named else ""
+                end = rng.choice([f"</{para}>"] * 3 + ["<br>"]) if para == "p" else f"</{para}>"
+                parts.append(f"<{para}>{bold}{_MARK_MAIN}{sentence(*rng.choice([(1, 8), (6, longest), (6, longest), (6, longest)]))}{linked}{end}")
+            elif kind < 0.77:
                 level = rng.choice("23")
                 parts.append(f"<h{level}>{_MARK_MAIN}{words(1, 9)}</h{level}>")
-            elif kind < 0.87:
-                parts.append("<ul>" + "".join(f"<li>{_MARK_MAIN}{sentence(1, 20)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
+            elif kind < 0.85:
+                lists = rng.choice(["ul", "ol"])
+                parts.append(f"<{lists}>" + "".join(f"<li>{_MARK_MAIN}{sentence(1, 20)}</li>" for _ in range(rng.randint(1, 6))) + f"</{lists}>")
             elif kind < 0.92:
-                parts.append(f"<blockquote>{_MARK_MAIN}{sentence(4, 40)}</blockquote>")
-            elif kind < 0.95:
-                parts.append(f"<table><tr><td>{_MARK_MAIN}{words(1, 5)}</td><td>{_MARK_MAIN}{words(1, 5)}</td></tr></table>")
+                frame = rng.choice(["<blockquote>{}</blockquote>", "<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>", "<dl><dt>{}</dt><dd>{}</dd></dl>", "<table><tr><td>{}</td><td>{}</td></tr></table>"])
+                for _ in range(frame.count("{}")):
+                    frame = frame.replace("{}", _MARK_MAIN + sentence(1, 20), 1)
+                parts.append(frame)
             else:
-                parts.append(aside(rng.choice(["advert", "sidebar", "form", "notice"])))
+                parts.append(aside(rng.choice(["advert", "sidebar", "form", "notice", "menu"])))
         return "".join(parts)
 
     before = [aside(k) for k in ("header", "menu", "notice", "advert", "sidebar", "form", "menu") if rng.random() < 0.45]
     after = [aside(k) for k in ("advert", "sidebar", "comments", "form", "menu", "notice", "footer") if rng.random() < 0.45]
-    rng.shuffle(before)
+    if rng.random() < 0.5:
+        rng.shuffle(before)
     if rng.random() < 0.3:
         rng.shuffle(after)
-    start, end = _tag(rng.choice(MAIN))
+    if style == "table":
+        cell = lambda x: f"<td>{x}</td>"
+        row = lambda x: f"<tr>{x}</tr>"
+        sides = [*map(cell, before[1:]), cell(body()), *map(cell, after[:1])]
+        rows = "".join(row(cell(x)) for x in before[:1]) + (row("".join(sides)) if rng.random() < 0.5 else "".join(map(row, sides)))
+        return f"<html><body><table>{rows}{''.join(row(cell(x)) for x in after[1:])}</table></body></html>"
+    start, end = tags(MAIN) if rng.random() < 0.9 else ("", "")
     inner = f"{start}{body()}{end}"
     for _ in range(rng.choice([0, 0, 1, 2])):
-        a, b = _tag(rng.choice(["div", "div.wrapper", "div.container", "div#page", "main", "div.row", "div.col"]))
+        a, b = tags(MAIN) if not named else _tag(rng.choice(["div", "div.wrapper", "div.container", "div#page", "main", "div.row", "div.col"]))
         inner = f"{a}{inner}{b}"
+        if rng.random() < 0.3 and after:
+            inner = inner[: -len(b)] + after.pop(0) + b
     return f"<html><body>{''.join(before)}{inner}{''.join(after)}</body></html>"
 
 
