@@ -88,18 +88,18 @@ def _namer(rng: random.Random):
 def training_page(rng: random.Random, texts: list[str]) -> str:
     """A page of random layout; every text starts with a mark of what it is.
 
-    Half of the pages have their letters exchanged, so that nothing is learnt from the words of articles, only from the
+    Most pages have their letters exchanged, so that nothing is learnt from the words of articles, only from the
     phrases of what is around them and from the layout.
     """
     style, tags = _namer(rng)
     named = style == "listed"
     letters = "abcdefghijklmnopqrstuvwxyz"
-    cipher = str.maketrans(letters, "".join(rng.sample(letters, 26))) if rng.random() < 0.5 else {}
+    cipher = str.maketrans(letters, "".join(rng.sample(letters, 26))) if rng.random() < 0.8 else {}
 
     def words(lo: int, hi: int) -> str:
         t = rng.choice(texts).split()
         a = rng.randrange(len(t))
-        got = " ".join((t[a:] + rng.choice(texts).split() * 8)[: rng.randint(lo, hi)]) or "text"
+        got = " ".join((t[a:] + [w for _ in range(4) for w in rng.choice(texts).split()] * 2)[: rng.randint(lo, hi)]) or "text"
         return got.translate(cipher)
 
     def sentence(lo: int, hi: int) -> str:
