@@ -9,8 +9,9 @@ A Jaccard of 0.8 is about ten differing bits, which no table of 64-bit fingerpri
 Shingles are ordered from rare to common; two sets with a Jaccard of at least ``SIMILARITY`` share one of the first
 ``n - ceil(t n) + 1`` of them, so no pair can be missed.  Pairs are thinned by sizes and places only, and each is verified
 on its whole sets.  Only shingles that texts of different components share are looked at.  They are linked by a few pairs
-a shingle, round by round; the last round takes every pair of texts that are not in one component yet.  So components are
-those of all similar pairs, without all pairs of a group.
+a shingle, round by round; the last round takes every pair of texts that are not in one component yet and that sizes, places
+and parity sketches leave room for.  So components are those of all similar pairs, without all pairs of a group.  Links join
+components, not texts: what is known is contracted, so a group's links cost rows in proportion to its parts.
 
 Rarity is counted in ``BINS`` bins of the hashes over all texts.  The order need only be the same everywhere to be exact.
 """
@@ -29,7 +30,11 @@ from .common import drop_stage, likely, stage
 from .hashing import run_hashes, word_hashes
 from .simhash import components, first_rows, near_links, row_hash
 
-SHINGLE, SIMILARITY, BINS, ROUNDS = 5, 0.8, 1 << 18, 2
+SHINGLE, SIMILARITY, BINS, ROUNDS = 5, 0.8, 1 << 18, 3
+#: How many posts before each in order a round tries.
+STEPS = 4
+#: Longs of a folded sketch, and how many posts of other components a shingle has where the last round compares folded sketches.
+FOLD, CROWD = 8, 4
 #: Texts that are hashed at once.
 AT_ONCE = 200
 
@@ -133,11 +138,56 @@ def keyed_texts(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text").mapInPandas(run, KEYED)
 
 
+def _need(an: Column, bn: Column, similarity: float) -> Column:
+    """Shingles that two similar sets of these sizes share at least."""
+    return F.ceil((an + bn) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+
+
 def _ok(a: str, b: str, similarity: float) -> Column:
-    """Whether sizes and places of a shared shingle leave room for the similarity."""
+    """Whether sizes and places leave room for the similarity, if this is the first shingle in order that the two share."""
     an, bn, ap, bp = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
-    left = F.least(an - ap, bn - bp) + F.least(ap, bp)
-    return (F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - F.lit(1e-9)) & (left >= F.ceil((an + bn) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)))
+    return (F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - F.lit(1e-9)) & (F.least(an - ap, bn - bp) >= _need(an, bn, similarity))
+
+
+def _folded(sketch: Column) -> Column:
+    """A sketch of any length as one of ``FOLD`` longs: parities of places that many apart are added."""
+    long = lambda j: F.aggregate(F.sequence(F.lit(0), (F.size(sketch) / FOLD).cast("int") - 1), F.lit(0).cast("long"), lambda t, m: t.bitwiseXOR(F.get(sketch, m * FOLD + j)))
+    return F.array(*[long(j) for j in range(FOLD)])
+
+
+def _unlike(a: str, b: str, an: Column, bn: Column, similarity: float) -> Column:
+    """Whether folded sketches tell that sets of these sizes are not similar; false where one is null."""
+    differ = sum((F.bit_count(F.get(f"{a}.fold", F.lit(j)).bitwiseXOR(F.get(f"{b}.fold", F.lit(j)))) for j in range(FOLD)), F.lit(0))
+    return F.coalesce(an + bn - differ < 2 * _need(an, bn, similarity), F.lit(False))
+
+
+def _open_pairs(live: DataFrame, folds: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (x, y) of keys of different components at the first shingle that they share, of those that may be similar.
+
+    They are expanded from pairs of roots, so pairs inside a component cost nothing.  A root goes with the bounds of its posts
+    of the shingle; one post is its own bound, with its folded sketch.
+    """
+    posts = stage(live.join(folds, "key", "left").select("key", "n", "root", "pos", "t", F.when(F.col("others") > CROWD, F.col("fold")).alias("fold")), "shingleopen")
+    alone = F.count("*") == 1
+    r = posts.groupBy("t", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"), F.when(alone, F.any_value("fold")).alias("fold"))
+
+    def room(low_a, high_a, left_a, low_b, high_b, left_b) -> Column:
+        share = F.lit(similarity)
+        sizes = (high_a >= low_b * share - F.lit(1e-9)) & (high_b >= low_a * share - F.lit(1e-9))
+        return sizes & (F.least(left_a, left_b) >= _need(low_a, low_b, similarity))
+
+    bounds = lambda s: [F.col(f"{s}.{c}") for c in ("low", "high", "left")]
+    likes = ~_unlike("a", "b", F.col("a.low"), F.col("b.low"), similarity)
+    cross = r.alias("a").join(r.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.root") < F.col("b.root")) & room(*bounds("a"), *bounds("b")) & likes)
+    cross = cross.select(F.col("a.t").alias("t"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb"), F.struct("b.low", "b.high", "b.left", "b.fold").alias("b"))
+    me = F.struct("key", "n", "pos", "fold")
+    x, y = posts.select("t", F.col("root").alias("ra"), me.alias("x")), posts.select("t", F.col("root").alias("rb"), me.alias("y"))
+    n, left = F.col("x.n"), F.col("x.n") - F.col("x.pos")
+    some = cross.join(x, ["t", "ra"]).where(room(n, n, left, *bounds("b")) & ~_unlike("x", "b", n, F.col("b.low"), similarity)).select("t", "rb", "x")
+    found = some.join(y, ["t", "rb"]).where(_ok("x", "y", similarity) & ~_unlike("x", "y", n, F.col("y.n"), similarity))
+    made = stage(found.select(*_pairs(F.col("x.key"), F.col("y.key"))).distinct(), "shinglecrossing")
+    drop_stage(posts)
+    return made
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, sketches: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -156,7 +206,7 @@ def _verified(pairs: DataFrame, keyed: DataFrame, sketches: DataFrame, similarit
     side = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     # sketches of two lengths tell nothing
     differ = F.when(F.size("sa") == F.size("sb"), F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)).otherwise(0)
-    room = F.col("na") + F.col("nb") - differ >= 2 * F.ceil((F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    room = F.col("na") + F.col("nb") - differ >= 2 * _need(F.col("na"), F.col("nb"), similarity)
     pairs = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(room).select("a", "b"), "shinglepairs")
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "shinglewanted")
     # more than one task may have given a set
@@ -182,20 +232,30 @@ def close_pairs(keyed: DataFrame) -> DataFrame:
 
 def _live(posts: DataFrame, turn: int, similarity: float) -> DataFrame:
     """The ``posts(key, n, root, pos, t)`` of shingles that different components share, with ``others`` (posts of the shingle in other
-    components) and y1, y2: a neighbour in order and the first one, if they may match and are in another component."""
+    components) and ``tries``: keys of other components that may match, of those just before it in an order of the turn and the first one."""
     by = Window.partitionBy("t")
     me = F.struct("key", "n", "pos", "root")
     rows = posts.withColumn("others", F.count("*").over(by) - F.count("*").over(Window.partitionBy("t", "root"))).where("others > 0")
-    order = by.orderBy(*([F.xxhash64("root", F.lit(turn))] if turn else []), "n", "key")
-    rows = rows.select("*", me.alias("me"), F.lag(me).over(order).alias("a1"), F.first(me).over(order).alias("a2"))
-    try_ = lambda a: F.when((F.col(f"{a}.root") != F.col("root")) & _ok(a, "me", similarity), F.col(f"{a}.key"))
-    return stage(rows.select("key", "n", "root", "pos", "t", "others", try_("a1").alias("y1"), try_("a2").alias("y2")), "shinglelive")
+    order = by.orderBy(*([F.xxhash64("key", F.lit(turn))] if turn else ["n"]), "key")
+    names = [f"a{k}" for k in range(STEPS + 1)]
+    rows = rows.select("*", me.alias("me"), F.first(me).over(order).alias("a0"), *[F.lag(me, k).over(order).alias(f"a{k}") for k in range(1, STEPS + 1)])
+    tries = F.array_compact(F.array(*[F.when((F.col(f"{a}.root") != F.col("root")) & _ok(a, "me", similarity), F.col(f"{a}.key")) for a in names]))
+    return stage(rows.select("key", "n", "root", "pos", "t", "others", tries.alias("tries")), "shinglelive")
 
 
 def _pairs(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(key, root)`` after ``links(a, b)`` between keys: components of the graph whose nodes are the roots so far (a key without one is its own)."""
+    side = lambda c: roots.select(F.col("key").alias(c), F.col("root").alias(f"r{c}"))
+    ends = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    made = components(stage(ends.where("a <> b").select(*_pairs(F.col("a"), F.col("b"))).distinct(), "shingleends"))
+    new = made.select(F.col("node").alias("key")).join(roots, "key", "left_anti").select("key", F.col("key").alias("root"))
+    return stage(roots.unionByName(new).join(made.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("key", F.coalesce("far", "root").alias("root")), "shingleroots")
+
+
 def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """(key, root) of the sets that are similar to another: root is the smallest key of its component.
 
@@ -203,8 +263,8 @@ def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHI
     are taken.  Between rounds only posts of shingles that are still shared by different components are kept.
     """
     sketches = stage(keyed.where("sketch is not null").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "shinglesketches")
-    edges = _verified(close_pairs(keyed), keyed, sketches, similarity, k)
-    roots = stage(components(edges).select(F.col("node").alias("key"), "root"), "shingleroots")
+    links = _verified(close_pairs(keyed), keyed, sketches, similarity, k)
+    roots = stage(components(links).select(F.col("node").alias("key"), "root"), "shingleroots")
     posts = keyed.where("prefix is not null").select("key", "n", "prefix").join(roots, "key", "left")
     posts = posts.select("key", "n", F.coalesce("root", "key").alias("root"), F.posexplode("prefix").alias("pos", "t")).repartition("t").dropDuplicates(["t", "key"])
     live, seen = _live(posts, 0, similarity), None
@@ -213,29 +273,23 @@ def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHI
         if not total["p"]:
             break
         last = turn > rounds or total["p"] / 2 <= most * total["m"]
-        if last:  # expanded from pairs of roots, so pairs inside a component cost nothing
-            r = live.select("t", "root").distinct()
-            cross = r.alias("a").join(r.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.root") < F.col("b.root"))).select(F.col("a.t").alias("t"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
-            me = F.struct("key", "n", "pos")
-            x, y = live.select(F.col("t"), F.col("root").alias("ra"), me.alias("x")), live.select(F.col("t"), F.col("root").alias("rb"), me.alias("y"))
-            found = cross.join(x, ["t", "ra"]).join(y, ["t", "rb"]).where(_ok("x", "y", similarity)).select(*_pairs(F.col("x.key"), F.col("y.key")))
+        if last:
+            found = _open_pairs(live, sketches.select("key", _folded(F.col("sketch")).alias("fold")), similarity)
         else:
-            found = live.select("key", F.explode(F.array("y1", "y2")).alias("y")).where("y is not null").select(*_pairs(F.col("key"), F.col("y")))
+            found = live.select("key", F.explode("tries").alias("y")).select(*_pairs(F.col("key"), F.col("y"))).distinct()
         # a pair is looked at once
-        found = stage(found.distinct() if seen is None else found.distinct().join(seen, ["a", "b"], "left_anti"), "shinglefound")
+        found = stage(found if seen is None else found.join(seen, ["a", "b"], "left_anti"), "shinglefound")
         new = _verified(found, keyed, sketches, similarity, k)
         was, seen = seen, found if seen is None or last else stage(seen.unionByName(found), "shingleseen")
         if was is not None and was is not seen:
             drop_stage(was)
-        both = stage(edges.unionByName(new), "shinglelinks")
-        drop_stage(edges, new, roots)
-        edges = both
-        roots = stage(components(edges).select(F.col("node").alias("key"), "root"), "shingleroots")
+        old, roots = roots, _joined(roots, new)
+        drop_stage(links, new, old)
         if last:
             break
         old, live = live, _live(live.select("key", "n", "pos", "t").join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), "pos", "t"), turn, similarity)
         drop_stage(old)
-    drop_stage(live, edges, sketches)
+    drop_stage(live, links, sketches)
     return roots
 
 

@@ -413,6 +413,27 @@ def test_near_duplicates_of_the_pipeline_reach_a_similarity_of_08(spark):
     assert ids(corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, texts), "")) == ["0"]
 
 
+def test_near_duplicates_of_the_pipeline_look_at_few_pairs_of_a_group(spark, monkeypatch):
+    rng, rows, whole = random.Random(5), {}, shingle_join.stage
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(200)], []
+    for i in range(60):
+        words = list(base)
+        for j in rng.sample(range(200), 3):
+            words[j] = f"new{i}x{j}"
+        texts.append(" ".join(words))
+    texts += [texts[7] + " end", texts[7] + " end of it"]
+
+    def counted(df, name):
+        made = whole(df, name)
+        rows[name] = rows.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(shingle_join, "stage", counted)
+    got = shingle_join.drop_near_duplicates(docs_of(spark, texts), rounds=0)
+    # most pairs share rare shingles and are below 0.8, so there are about 1,800 of them to look at without sketches
+    assert sorted(r["doc_id"] for r in got.collect()) == _kept_brute(texts) and rows["shinglefound"] <= 6 * len(texts)
+
+
 def test_near_duplicates_of_the_pipeline_odd(spark, odd, none):
     kept = shingle_join.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and ids(kept) == ids(simhash.drop_near_duplicates(odd))
