@@ -35,8 +35,8 @@ SHINGLE, SIMILARITY, BINS, ROUNDS = 5, 0.8, 1 << 18, 3
 STEPS = 4
 #: Longs of a folded sketch, and how many posts of other components a shingle has where the last round compares folded sketches.
 FOLD, CROWD = 8, 4
-#: Texts that are hashed at once.
-AT_ONCE = 200
+#: Texts that are hashed at once, and bytes of them (a text may have more): about 60 times as much memory is used.
+AT_ONCE, BYTES = 200, 500_000
 
 
 def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
@@ -46,9 +46,21 @@ def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
     return [np.unique(runs[e - n : e - k + 1] if n >= k else run_hashes(words[e - n : e], max(1, int(n)))) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
+def runs_of(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of the rows that are hashed at once: all of them in order, ``AT_ONCE`` or about ``BYTES`` at a time."""
+    at = total = 0
+    for i, size in enumerate(sizes):
+        if i > at and (i - at == AT_ONCE or total + size > BYTES):
+            yield at, i
+            at, total = i, 0
+        total += size
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
 def _parts(pdf: pd.DataFrame, k: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    for at in range(0, len(pdf), AT_ONCE):
-        part = pdf.iloc[at : at + AT_ONCE]
+    for a, b in runs_of([len(t) if t else 0 for t in pdf["text"]]):
+        part = pdf.iloc[a:b]
         yield part, shingle_sets(part["text"].tolist(), k)
 
 
@@ -94,11 +106,11 @@ def set_fingerprint(found: np.ndarray) -> int:
 PLACES = (1 << 10, 1 << 13, 1 << 16)
 
 
-def sketch(found: np.ndarray) -> list[int]:
+def sketch(found: np.ndarray) -> np.ndarray:
     """Parity of a set's hashes in places, as longs.  Two sets differ in as many hashes at least as their sketches in bits."""
     places = next((p for p in PLACES if p > len(found)), PLACES[-1])
     odd = np.bincount((found & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 KEYED = "doc_id long, row long, key long, fp long, n int, prefix array<long>, sketch array<long>, data binary"
@@ -125,7 +137,7 @@ def keyed_texts(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
                         continue
                     seen.add(key)
                     m = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
-                    prefixes.append(s[np.argsort(order.value[_bins(s)], kind="stable")[:m]].view(np.int64).tolist())
+                    prefixes.append(s[np.argsort(order.value[_bins(s)], kind="stable")[:m]].view(np.int64))
                     sketches.append(sketch(s))
                     data.append(press.compress((t or "").encode()))
                 yield pd.DataFrame(
@@ -198,10 +210,10 @@ def _verified(pairs: DataFrame, keyed: DataFrame, sketches: DataFrame, similarit
 
         press = zstandard.ZstdDecompressor()
         for pdf in batches:
-            for at in range(0, len(pdf), AT_ONCE):
-                part = pdf.iloc[at : at + AT_ONCE]
+            for a, b in runs_of([zstandard.frame_content_size(d) for d in pdf["data"]]):
+                part = pdf.iloc[a:b]
                 sets = shingle_sets([press.decompress(d).decode() for d in part["data"]], k)
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "set": [s.view(np.int64).tolist() for s in sets]})
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "set": [s.view(np.int64) for s in sets]})
 
     side = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     # sketches of two lengths tell nothing

@@ -434,6 +434,13 @@ def test_near_duplicates_of_the_pipeline_look_at_few_pairs_of_a_group(spark, mon
     assert sorted(r["doc_id"] for r in got.collect()) == _kept_brute(texts) and rows["shinglefound"] <= 6 * len(texts)
 
 
+def test_texts_are_hashed_in_runs_of_bounded_size():
+    sizes = [10] * 450 + [300_000] * 3 + [2_000_000, 0, 5]
+    runs = list(shingle_join.runs_of(sizes))
+    assert [i for a, b in runs for i in range(a, b)] == list(range(len(sizes))) and not list(shingle_join.runs_of([]))
+    assert all(b - a <= shingle_join.AT_ONCE and (b - a == 1 or sum(sizes[a:b]) <= shingle_join.BYTES) for a, b in runs)
+
+
 def test_near_duplicates_of_the_pipeline_odd(spark, odd, none):
     kept = shingle_join.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and ids(kept) == ids(simhash.drop_near_duplicates(odd))
