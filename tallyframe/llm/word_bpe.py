@@ -4,7 +4,8 @@ A text is cut at spaces and line feeds, where no piece and no normal form goes a
 task makes the ids of a chunk once.  A chunk goes through the file's own normaliser and pre-tokenizer, and each word that
 they give is merged here: an array holds the boundaries of its parts and, beside each, the rank of the merge of the part
 there with the next one.  The least rank is found by a scan, its boundary deleted, and the two ranks beside it made anew.
-A scan a merge suits short words; a long one (``SHORT``) keeps the same array under a heap.
+A scan a merge suits short words; a long one (``SHORT``) keeps the same array under a heap.  New words of one length are
+merged together: a row each of two tables, tokens at the boundaries and ranks beside them, which lose a column a merge.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .pieces import load_tokenizer, once, tokenizer_path
 SHORT = 64
 #: Chunks and words that a task keeps, characters of the longest chunk that is kept, and bytes of the texts that are encoded at once.
 CHUNKS, WORDS, KEPT, GROUP = 300_000, 200_000, 64, 2_000_000
+#: Code points of the letters that stand for bytes are below this.
+LETTERS = 1 << 10
 _NONE = 1 << 60
 
 
@@ -72,6 +75,7 @@ class WordBpe(TokenNames):
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        self._tables(pairs)
         self.tok = load_tokenizer(path)
         added = self.tok.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
@@ -81,6 +85,64 @@ class WordBpe(TokenNames):
         self.words: dict[str, bytes] = {}
         self._forget()
 
+    def _tables(self, pairs: list[tuple[str, str]]) -> None:
+        """What ``_together`` looks up: ids of letters inside and at the end of a word by code point (-1: none), the pairs of ids
+        in order with their ranks, and the id that each rank makes.  No pairs if a part of one is no token."""
+        get = self.vocab.get
+        self.letters = np.array([[get(chr(c), -1) for c in range(LETTERS)], [get(chr(c) + self.suffix, -1) for c in range(LETTERS)]], np.int64)
+        ids = np.array([(get(a, -1), get(b, -1), get(a + b, -1)) for a, b in pairs], np.int64).reshape(-1, 3)
+        whole = len(ids) > 0 and len(self.ranks) == len(pairs) and bool((ids >= 0).all())
+        self.many = len(self.names)
+        order = np.argsort(ids[:, 0] * self.many + ids[:, 1], kind="stable")
+        self.pairs, self.rank_of, self.makes = (ids[:, 0] * self.many + ids[:, 1])[order] if whole else None, order.astype(np.int64), ids[:, 2]
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * self.many + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.rank_of[at], _NONE)
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of one length as 32-bit integers; words with a letter that is no token are left out."""
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int64)
+        inside = np.minimum(points, LETTERS - 1)
+        parts = np.concatenate([self.letters[0][inside[:, :-1]], self.letters[1][inside[:, -1:]]], axis=1)
+        of = np.flatnonzero((parts >= 0).all(1) & (points < LETTERS).all(1))
+        parts, made = parts[of], {}
+        rank = self._rank(parts[:, :-1], parts[:, 1:])
+        while len(of):
+            width, row = parts.shape[1], np.arange(len(of))
+            at = rank.argmin(1) if width > 1 else np.zeros(len(of), np.int64)
+            least = rank[row, at] if width > 1 else np.full(len(of), _NONE)
+            done = least == _NONE
+            if done.any():
+                data = parts[done].astype(np.int32).tobytes()
+                made.update((words[k], data[4 * width * i : 4 * width * (i + 1)]) for i, k in enumerate(of[done].tolist()))
+                of, parts, rank, at, least = of[~done], parts[~done], rank[~done], at[~done], least[~done]
+                row = np.arange(len(of))
+            if not len(of):
+                break
+            parts[row, at] = self.makes[least]
+            column = np.arange(width - 1)
+            parts = np.take_along_axis(parts, column + (column > at[:, None]), 1)
+            rank = np.take_along_axis(rank, column[:-1] + (column[:-1] >= at[:, None]), 1)
+            for some, left in ((at < width - 2, at), (at > 0, at - 1)):
+                r, c = row[some], left[some]
+                rank[r, c] = self._rank(parts[r, c], parts[r, c + 1])
+        return made
+
+    def _learn(self, words) -> None:
+        """Keeps the ids of all of these short words."""
+        short = {w for w in words if 0 < len(w) <= min(KEPT, SHORT)}
+        if len(self.words) >= WORDS:
+            self.words.clear()
+        if self.pairs is None:
+            return
+        by: dict[int, list[str]] = {}
+        for w in short.difference(self.words):
+            by.setdefault(len(w), []).append(w)
+        for same in by.values():
+            self.words.update(self._together(same))
+
     def _forget(self) -> None:
         """Known chunks, and where their ids stand in ``flat``."""
         self.known: dict[str, int] = {}
@@ -170,6 +232,7 @@ class WordBpe(TokenNames):
         ends = np.cumsum(sizes + 1)
         of = np.searchsorted(ends, np.array([at for _, (at, _) in words], np.int64), side="right")
         bounds = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
+        self._learn(letters for letters, _ in words)
         made = [self._packed(letters) for letters, _ in words]
         joined = iter([b"".join(made[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
         return [next(joined) if p else self.chunk(c) for c, p in zip(chunks, plain, strict=True)]

@@ -230,6 +230,15 @@ def test_long_words_merge_as_short_ones_do(coder, monkeypatch):
     assert [coder.word(w) for w in words] == want
 
 
+def test_words_of_one_length_merge_together_as_each_does(coder):
+    rng = random.Random(10)
+    for size in (1, 2, 3, 7, 20, 64):
+        words = list({"".join(rng.choice("etaoinshrdlu" if i % 2 else "thé") for _ in range(size)).replace("é", "\u00c3\u00a9"[i % 2]) for i in range(300)})
+        made = coder._together(words)
+        assert {w: np.frombuffer(b, np.int32).tolist() for w, b in made.items()} == {w: coder.word(w) for w in words}
+    assert coder._together(["a\u4e2d", "at"]).keys() == {"at"}  # a letter that stands for no byte
+
+
 def test_forgetting_changes_nothing(library):
     small = word_bpe.WordBpe(tokenizer_path("word_bpe_49k.json"), limit=3)
     for t in ["one two three four five", "one two six", "", "seven one"]:
