@@ -8,8 +8,8 @@ group, without looking at shingles.
 A Jaccard of 0.8 is about ten differing bits, which no table of 64-bit fingerprints reaches, so the rest is found exactly.
 Shingles are ordered from rare to common; two sets with a Jaccard of at least ``SIMILARITY`` share one of the first
 ``n - ceil(t n) + 1`` of them, so no pair can be missed.  Pairs are thinned by sizes and places only, and each is verified
-on its whole sets.  Only shingles that texts of different components share are looked at.  They are linked by a few pairs
-a shingle, round by round; the last round takes every pair of texts that are not in one component yet and that sizes, places
+on its whole sets.  Only shingles that texts of different components share are looked at.  They are linked by one
+pair a post at most, to the nearest by SimHash, round by round; the last round takes every pair of texts that are not in one component yet and that sizes, places
 and parity sketches leave room for.  So components are those of all similar pairs, without all pairs of a group.  Links join
 components, not texts: what is known is contracted, so a group's links cost rows in proportion to its parts.
 
@@ -31,8 +31,10 @@ from .hashing import run_hashes, word_hashes
 from .simhash import components, first_rows, near_links, row_hash
 
 SHINGLE, SIMILARITY, BINS, ROUNDS = 5, 0.8, 1 << 18, 3
-#: How many posts before each in order a round tries.
-STEPS = 4
+#: How many posts before each in order a round chooses from, and in how many bits fingerprints of what it tries differ at most.
+STEPS, CLOSE = 4, 16
+#: How many open pairs a round has to take away for each post, for another one to be worth its sorting.
+WORTH = 4
 #: Longs of a folded sketch, and how many posts of other components a shingle has where the last round compares folded sketches.
 FOLD, CROWD = 8, 4
 #: Texts that are hashed at once, and bytes of them (a text may have more): about 60 times as much memory is used.
@@ -243,16 +245,18 @@ def close_pairs(keyed: DataFrame) -> DataFrame:
 
 
 def _live(posts: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """The ``posts(key, n, root, pos, t)`` of shingles that different components share, with ``others`` (posts of the shingle in other
-    components) and ``tries``: keys of other components that may match, of those just before it in an order of the turn and the first one."""
+    """The ``posts(key, n, fp, root, pos, t)`` of shingles that different components share, with ``others`` (posts of the shingle in other
+    components) and ``near``: the key of another component that is nearest by fingerprint, of those that may match, stand just before it in an
+    order of the turn or first, and differ in ``CLOSE`` bits at most.  So a round tries one pair a post, and none of texts that have little in common."""
     by = Window.partitionBy("t")
-    me = F.struct("key", "n", "pos", "root")
+    me = F.struct("key", "n", "fp", "pos", "root")
     rows = posts.withColumn("others", F.count("*").over(by) - F.count("*").over(Window.partitionBy("t", "root"))).where("others > 0")
     order = by.orderBy(*([F.xxhash64("key", F.lit(turn))] if turn else ["n"]), "key")
     names = [f"a{k}" for k in range(STEPS + 1)]
     rows = rows.select("*", me.alias("me"), F.first(me).over(order).alias("a0"), *[F.lag(me, k).over(order).alias(f"a{k}") for k in range(1, STEPS + 1)])
-    tries = F.array_compact(F.array(*[F.when((F.col(f"{a}.root") != F.col("root")) & _ok(a, "me", similarity), F.col(f"{a}.key")) for a in names]))
-    return stage(rows.select("key", "n", "root", "pos", "t", "others", tries.alias("tries")), "shinglelive")
+    differ = lambda a: F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col("fp")))
+    best = F.array_min(F.array(*[F.when((F.col(f"{a}.root") != F.col("root")) & (differ(a) <= CLOSE) & _ok(a, "me", similarity), F.struct(differ(a).alias("differ"), F.col(f"{a}.key").alias("key"))) for a in names]))
+    return stage(rows.select("key", "n", "fp", "root", "pos", "t", "others", best["key"].alias("near")), "shinglelive")
 
 
 def _pairs(x: Column, y: Column) -> list[Column]:
@@ -271,24 +275,25 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """(key, root) of the sets that are similar to another: root is the smallest key of its component.
 
-    While more than ``most`` pairs a post are open, a round links neighbours only, ``rounds`` times at most; then all open pairs
-    are taken.  Between rounds only posts of shingles that are still shared by different components are kept.
+    While more than ``most`` pairs a post are open, and the round before took away more than ``WORTH`` of them a post, a round links neighbours
+    only, ``rounds`` times at most; then all open pairs are taken.  Between rounds only posts of shingles that are still shared by different components are kept.
     """
     sketches = stage(keyed.where("sketch is not null").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "shinglesketches")
     links = _verified(close_pairs(keyed), keyed, sketches, similarity, k)
     roots = stage(components(links).select(F.col("node").alias("key"), "root"), "shingleroots")
-    posts = keyed.where("prefix is not null").select("key", "n", "prefix").join(roots, "key", "left")
-    posts = posts.select("key", "n", F.coalesce("root", "key").alias("root"), F.posexplode("prefix").alias("pos", "t")).repartition("t").dropDuplicates(["t", "key"])
-    live, seen = _live(posts, 0, similarity), None
+    posts = keyed.where("prefix is not null").select("key", "n", "fp", "prefix").join(roots, "key", "left")
+    posts = posts.select("key", "n", "fp", F.coalesce("root", "key").alias("root"), F.posexplode("prefix").alias("pos", "t")).repartition("t").dropDuplicates(["t", "key"])
+    live, seen, before = _live(posts, 0, similarity), None, None
     for turn in range(1, rounds + 2):
         total = live.agg(F.coalesce(F.sum("others"), F.lit(0)).alias("p"), F.count("*").alias("m")).first()
         if not total["p"]:
             break
-        last = turn > rounds or total["p"] / 2 <= most * total["m"]
+        slow = before is not None and (before["p"] - total["p"]) / 2 <= WORTH * before["m"]
+        last, before = turn > rounds or slow or total["p"] / 2 <= most * total["m"], total
         if last:
             found = _open_pairs(live, sketches.select("key", _folded(F.col("sketch")).alias("fold")), similarity)
         else:
-            found = live.select("key", F.explode("tries").alias("y")).select(*_pairs(F.col("key"), F.col("y"))).distinct()
+            found = live.where("near is not null").select(*_pairs(F.col("key"), F.col("near"))).distinct()
         # a pair is looked at once
         found = stage(found if seen is None else found.join(seen, ["a", "b"], "left_anti"), "shinglefound")
         new = _verified(found, keyed, sketches, similarity, k)
@@ -299,7 +304,7 @@ def similar_texts(keyed: DataFrame, similarity: float = SIMILARITY, k: int = SHI
         drop_stage(links, new, old)
         if last:
             break
-        old, live = live, _live(live.select("key", "n", "pos", "t").join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), "pos", "t"), turn, similarity)
+        old, live = live, _live(live.select("key", "n", "fp", "pos", "t").join(roots, "key", "left").select("key", "n", "fp", F.coalesce("root", "key").alias("root"), "pos", "t"), turn, similarity)
         drop_stage(old)
     drop_stage(live, links, sketches)
     return roots

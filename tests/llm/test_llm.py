@@ -434,6 +434,35 @@ def test_near_duplicates_of_the_pipeline_look_at_few_pairs_of_a_group(spark, mon
     assert sorted(r["doc_id"] for r in got.collect()) == _kept_brute(texts) and rows["shinglefound"] <= 6 * len(texts)
 
 
+def test_rounds_of_the_pipeline_try_one_close_pair_a_post_and_end_when_they_take_little_away(spark, monkeypatch):
+    rng, live, whole = random.Random(6), [], shingle_join.stage
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(200)], []
+    for i in range(40):  # these share rare shingles, but no two are similar
+        words = list(base)
+        for j in rng.sample(range(200), 12):
+            words[j] = f"new{i}x{j}"
+        texts.append(" ".join(words))
+
+    def kept(df, name):
+        made = whole(df, name)
+        if name == "shinglelive":
+            live.append(made.agg(F.count("*").alias("posts"), F.count("near").alias("tried")).first())
+        return made
+
+    monkeypatch.setattr(shingle_join, "stage", kept)
+    got = shingle_join.drop_near_duplicates(docs_of(spark, texts), most=0)
+    assert sorted(r["doc_id"] for r in got.collect()) == _kept_brute(texts)
+    # five pairs a post were tried in each of three rounds
+    assert 1 <= len(live) <= 2 and all(r["tried"] <= r["posts"] for r in live)
+
+
+def test_a_round_tries_the_nearest_of_other_components(spark):
+    posts = spark.createDataFrame([(k, 100, fp, root, 0, 1) for k, fp, root in [(1, 0, 1), (2, 0b111, 2), (3, 0b1, 3), (4, 0, 3), (5, (1 << 40) - 1, 5)]], "key long, n int, fp long, root long, pos int, t long")
+    near = {r["key"]: r["near"] for r in shingle_join._live(posts, 0, 0.8).collect()}
+    # in the order of keys: none before 1; 3 is nearer to 1 than to 2; 4 is in the component of 3; 5 is close to none
+    assert near == {1: None, 2: 1, 3: 1, 4: 1, 5: None}
+
+
 def test_texts_are_hashed_in_runs_of_bounded_size():
     sizes = [10] * 450 + [300_000] * 3 + [2_000_000, 0, 5]
     runs = list(shingle_join.runs_of(sizes))
