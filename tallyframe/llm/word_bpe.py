@@ -1,8 +1,8 @@
 """Encoding and decoding by a BPE of words, with ranks held in one array.
 
 A text is cut at spaces and line feeds, where no piece and no normal form goes across; what lies between repeats, so each
-task makes the ids of a chunk once.  A chunk goes through the file's own normaliser and pre-tokenizer, and each word that
-they give is merged here: an array holds the boundaries of its parts and, beside each, the rank of the merge of the part
+task makes the ids of a chunk once.  A chunk goes through the file's own normaliser and pre-tokenizer (one of
+ASCII letters only where they are not known to leave it one word), and each word that they give is merged here: an array holds the boundaries of its parts and, beside each, the rank of the merge of the part
 there with the next one.  The least rank is found by a scan, its boundary deleted, and the two ranks beside it made anew.
 A scan a merge suits short words; a long one (``SHORT``) keeps the same array under a heap.  New words of one length are
 merged together: a row each of two tables, tokens at the boundaries and ranks beside them, which lose a column a merge.
@@ -13,6 +13,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +29,10 @@ CHUNKS, WORDS, KEPT, GROUP = 300_000, 200_000, 64, 2_000_000
 #: Code points of the letters that stand for bytes are below this.
 LETTERS = 1 << 10
 _NONE = 1 << 60
+#: Rules under which a chunk of ASCII letters is one word: its own letters, or their lower case.
+_NORMAL = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 class TokenNames:
@@ -67,7 +72,8 @@ class WordBpe(TokenNames):
 
         super().__init__(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            made = json.load(f)
+        model = made["model"]
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
         if model["type"] != "BPE" or odd:
             raise ValueError(f"not a plain BPE of words: {model['type']} {odd}")
@@ -81,6 +87,10 @@ class WordBpe(TokenNames):
         self.special = {t.content: i for i, t in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.odd = regex.compile("|".join([r"\s", *map(regex.escape, self.special)]))
+        rules = [(r or {}).get(k, [r] if r else []) for r, k in ((made["normalizer"], "normalizers"), (made["pre_tokenizer"], "pretokenizers"))]
+        #: Whether the file's rules leave a chunk of ASCII letters one word, and lower its case.
+        self.letters_stay = all(r in _NORMAL for r in rules[0]) and rules[1] == [_SPLIT, _BYTES] and not any(t.isalpha() for t in self.special)
+        self.lower = {"type": "Lowercase"} in rules[0]
         self.limit = limit
         self.words: dict[str, bytes] = {}
         self._forget()
@@ -132,7 +142,8 @@ class WordBpe(TokenNames):
 
     def _learn(self, words) -> None:
         """Keeps the ids of all of these short words."""
-        short = {w for w in words if 0 < len(w) <= min(KEPT, SHORT)}
+        most = min(KEPT, SHORT)
+        short = {w for w in words if 0 < len(w) <= most}
         if len(self.words) >= WORDS:
             self.words.clear()
         if self.pairs is None:
@@ -223,26 +234,43 @@ class WordBpe(TokenNames):
 
     def _many(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk: those without white space and special strings go through the file's rules as one text, by spaces."""
-        plain = [bool(c) and not self.odd.search(c) for c in chunks]
-        some = [c for c, p in zip(chunks, plain, strict=True) if p]
+        odd = self._odd(chunks)
+        some = [c for i, c in enumerate(chunks) if i not in odd] if odd else chunks
         normal, words = self._pieces(" ".join(some))
-        sizes = np.array([len(c) for c in normal.split(" ")])
-        if len(sizes) != len(some):
+        ends = np.append(np.flatnonzero(np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32) == 32), len(normal))
+        if len(ends) != len(some):
             return [self.chunk(c) for c in chunks]
-        ends = np.cumsum(sizes + 1)
-        of = np.searchsorted(ends, np.array([at for _, (at, _) in words], np.int64), side="right")
-        bounds = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
-        self._learn(letters for letters, _ in words)
-        made = [self._packed(letters) for letters, _ in words]
-        joined = iter([b"".join(made[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
-        return [next(joined) if p else self.chunk(c) for c, p in zip(chunks, plain, strict=True)]
+        letters = [w for w, _ in words]
+        bounds = np.searchsorted(np.fromiter((at[0] for _, at in words), np.int64, len(words)), np.append(0, ends + 1)).tolist()
+        made = self._whole(letters)
+        joined = [made[a] if b - a == 1 else b"".join(made[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        if not odd:
+            return joined
+        rest = iter(joined)
+        return [self.chunk(c) if i in odd else next(rest) for i, c in enumerate(chunks)]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; short ones are learned together."""
+        self._learn(words)
+        made = [*map(self.words.get, words)]
+        return [self._packed(w) if m is None else m for w, m in zip(words, made, strict=True)] if None in made else made
+
+    def _odd(self, chunks: list[str]) -> set[int]:
+        """Which chunks are empty or have white space or special strings; all are searched as one text, by a character that is in neither."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        found = [m.start() for m in self.odd.finditer("\0".join(chunks))]
+        return {*np.flatnonzero(sizes == 0).tolist(), *np.searchsorted(np.cumsum(sizes + 1), np.array(found, np.int64), side="right").tolist()}
 
     def _places(self, chunks: list[str]) -> np.ndarray:
         """The place of each of these different chunks among the known ones; new ones are learned."""
         if len(self.known) > self.limit:
             self._forget()
         new = [c for c in chunks if c not in self.known]
-        made = [m for at in range(0, len(new), 20_000) for m in self._many(new[at : at + 20_000])]
+        whole = [self.letters_stay and c.isascii() and c.isalpha() for c in new]
+        alone, rest = [*compress(new, whole)], [c for c, w in zip(new, whole, strict=True) if not w]
+        new = alone + rest
+        made = [m for at in range(0, len(alone), 20_000) for m in self._whole([c.lower() for c in alone[at : at + 20_000]] if self.lower else alone[at : at + 20_000])]
+        made += [m for at in range(0, len(rest), 20_000) for m in self._many(rest[at : at + 20_000])]
         if new:
             self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
             size = np.array([len(m) // 4 for m in made], np.int64)
@@ -257,10 +285,10 @@ class WordBpe(TokenNames):
 
         parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         coded = parts.values.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        short = [c for c in chunks if len(c) <= KEPT]
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False)
+        short = pc.less_equal(pc.utf8_length(coded.dictionary), KEPT).to_numpy(zero_copy_only=False)
         place = np.full(len(chunks), -1, np.int64)
-        place[[len(c) <= KEPT for c in chunks]] = self._places(short)
+        place[short] = self._places(chunks[short].tolist())
         at, size, flat = self.at[place], self.size[place], self.flat
         for k in np.flatnonzero(place < 0).tolist():  # long ones are made and forgotten
             ids = np.frombuffer(self.chunk(chunks[k]), np.int32)

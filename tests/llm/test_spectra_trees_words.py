@@ -245,6 +245,20 @@ def test_forgetting_changes_nothing(library):
         assert small.encode(pa.array([t]))[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_chunks_of_letters_do_not_pass_the_rules_again(library, monkeypatch):
+    coder, seen = word_bpe.WordBpe(tokenizer_path("word_bpe_49k.json")), []
+    pieces = coder._pieces
+    monkeypatch.setattr(coder, "_pieces", lambda text: seen.append(text) or pieces(text))
+    texts = ["Plain LETTERS only", "it's e\u0301 \u0130x  tab\tbed x\x00y a<|endoftext|>b", "<|startoftext|> 12ab \u212a \ufb01n", "q" * 70 + " Z" * 3, ""]
+    ids, n = coder.encode(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+    assert coder.letters_stay and not any(w in " ".join(seen) for w in ("Plain", "LETTERS", "only"))
+    coder.letters_stay, coder.known = False, {}
+    coder._forget()
+    assert coder.encode(pa.array(texts))[0].tolist() == ids.tolist()
+
+
 def test_word_bpe_query_and_odd_rows(spark, library):
     def want(t):
         ids = library.encode(t or "", add_special_tokens=False).ids
