@@ -25,7 +25,7 @@ from .pieces import load_tokenizer, once, tokenizer_path
 #: Parts up to which a word is merged by scans.
 SHORT = 64
 #: Chunks and words that a task keeps, characters of the longest chunk that is kept, and bytes of the texts that are encoded at once.
-CHUNKS, WORDS, KEPT, GROUP = 300_000, 200_000, 64, 2_000_000
+CHUNKS, WORDS, KEPT, GROUP = 100_000, 60_000, 64, 2_000_000
 #: Code points of the letters that stand for bytes are below this.
 LETTERS = 1 << 10
 _NONE = 1 << 60
