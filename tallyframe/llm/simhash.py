@@ -14,9 +14,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import drop_stage, free_names, stage, table
@@ -47,12 +48,19 @@ def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def with_fingerprint(docs: DataFrame, name: str = "fp", k: int = SHINGLE) -> DataFrame:
-    @F.pandas_udf("long")
-    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([fingerprint(t, k) for t in s], dtype="int64")
+    """The other columns of ``docs`` and ``name``, the fingerprint of ``text``.
 
-    return docs.withColumn(name, fp(F.col("text")))
+    Rows go to Python and only short ones come back: beside a column function, the JVM would hold every text that waits
+    for its fingerprint, in all tasks at once.
+    """
+    rest = [f for f in docs.schema if f.name != "text"]
+
+    def fp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([fingerprint(t.as_py(), k) for t in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in rest], made], [*[f.name for f in rest], name])
+
+    return docs.mapInArrow(fp, T.StructType([*rest, T.StructField(name, T.LongType())]))
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -108,7 +116,8 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, n_
     ``blocks`` is chosen by the number of fingerprints if it is not given.
     """
     rows = pivot_tables(prints, radius, blocks or choose_blocks(prints.count(), radius), n_pivots)
-    a, b = rows.alias("a"), rows.alias("b")
+    # Spark guesses these rows from the files of the fingerprints, too low by far: it is not to broadcast them
+    a, b = rows.hint("merge").alias("a"), rows.hint("merge").alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _survives("a", "b", radius, n_pivots))
     return _verified(pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")), radius)
 
@@ -161,7 +170,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataF
     columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    prints = stage(with_fingerprint(rows, k=shingle).select("doc_id", "fp"), "fingerprints")
+    prints = stage(with_fingerprint(rows, k=shingle), "fingerprints")
     made = stage(classes(prints, **options), "classes")
     return prints.join(made, "fp").select("doc_id", "fp", "component_id")
 
@@ -193,7 +202,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, **options) ->
     every column are one; an empty table stays empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), row_hash(docs).alias("row"))
-    prints = stage(with_fingerprint(rows, "fp", shingle).select("doc_id", "row", "fp"), "fingerprints")
+    prints = stage(with_fingerprint(rows, "fp", shingle), "fingerprints")
     made = stage(classes(prints, **options), "classes")
     return first_rows(docs, prints.join(made, "fp").select("doc_id", "row", "root"))
 

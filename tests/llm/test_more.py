@@ -318,3 +318,15 @@ def test_pipeline_against_brute_force(spark):
     for r in sorted(got, key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
+
+
+def test_fingerprints_and_their_tables_stay_off_one_machine(spark):
+    """No text waits in the JVM for its fingerprint, and the tables of the fingerprints, many times their files, are not broadcast."""
+    docs = spark.createDataFrame([(i, None if i == 3 else f"a b c{i} d e") for i in range(40)], "doc_id long, text string")
+    made = simhash.with_fingerprint(docs)
+    assert made.columns == ["doc_id", "fp"]
+    assert {r["doc_id"]: r["fp"] for r in made.collect()} == {r["doc_id"]: simhash.fingerprint(r["text"]) for r in docs.collect()}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan(made)
+    joined = plan(simhash.links(made.select("fp").distinct()))
+    assert "SortMergeJoin" in joined and "BroadcastHashJoin" not in joined
