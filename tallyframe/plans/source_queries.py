@@ -134,13 +134,19 @@ _FOLLOWED = (
 )
 
 
+def part_width(most: int) -> int:
+    """Iterations of a log's part: 5,000, more so that there are no more than 64 parts, but 250,000 at most (files of a megabyte)."""
+    return min(max(5000, -(-(most + 1) // 64)), 250_000)
+
+
 @query(f"{_FOLLOWED} SELECT run, line_no, iteration, {sql6('lr')} AS lr, CASE WHEN event_type <> 'click' THEN 'test' END AS phase, {sql6("CASE WHEN event_type <> 'click' THEN value END")} AS metric FROM c WHERE event_id % 5 <> 0 OR event_type = 'click'")
 def st2_follow_logs(spark, d):
     """Logs of twenty runs in parts, followed until all are read: iteration and rate go on from line to line."""
     say = F.when(F.col("kind") == "click", F.format_string("I0210 13:39:22.381027 25210 solver.cpp:204] Iteration %d, lr = %s", "iteration", (F.col("loss") / 1000).cast("string")))
     say = say.when(F.col("iteration") % 5 == 0, F.lit("I0210 13:39:22.381027 25210 solver.cpp:204] nothing of it")).otherwise(F.format_string("I0210 13:39:22.381027 25210 solver.cpp:204]     Test net output #0: accuracy = %s", F.col("loss").cast("string")))
     logs, out, marks = stage_path(spark, "parts"), stage_path(spark, "followed"), stage_path(spark, "followmarks")
-    lines = losses(spark, d).select((F.col("run") % 20).alias("run"), F.format_string("%08d", F.floor(F.col("iteration") / 5000)).alias("part"), "iteration", say.alias("value"))
+    width = part_width(losses(spark, d).agg(F.max("iteration")).first()[0] or 0)
+    lines = losses(spark, d).select((F.col("run") % 20).alias("run"), F.format_string("%08d", F.floor(F.col("iteration") / width)).alias("part"), "iteration", say.alias("value"))
     lines.repartition("run", "part").sortWithinPartitions("run", "part", "iteration").select("run", "part", "value").write.partitionBy("run", "part").text(logs)
     query_ = follow_logs(spark, logs, r"run=([^/]*)").writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query_.awaitTermination()

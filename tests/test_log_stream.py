@@ -1,9 +1,11 @@
 """Following logs with carried state: split files, small batches, and a restart give the table that a batch read gives."""
 
 import random
+import time
 
 import pytest
 
+from tallyframe.plans.source_queries import part_width
 from tallyframe.streaming.plateau import follow_logs, log_table
 
 STAMP = "I0210 13:39:22.381027 25210 solver.cpp:204] "
@@ -67,3 +69,21 @@ def test_followed_logs_are_the_batch_table_across_a_restart(spark, tmp_path, max
         add(part)
     follow()  # goes on from the checkpoint: numbers, iterations and rates continue
     assert rows(spark.read.parquet(out)) == plain(logs) == rows(log_table(spark, str(folder)))
+
+
+def test_a_long_file_is_cut_once(spark, tmp_path):
+    """A log of 12,000 lines, numbered and carried forward like short ones, in time that does not grow with the square of its lines."""
+    rng = random.Random(2)
+    folder, out = tmp_path / "logs", str(tmp_path / "out")
+    folder.mkdir()
+    lines = [line(rng, k) for k in range(12_000)]
+    write(folder, "a.0001.log", lines)
+    began = time.time()
+    q = follow_logs(spark, str(folder)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert time.time() - began < 30
+    assert rows(spark.read.parquet(out)) == plain({"a": lines})
+
+
+def test_parts_of_logs_do_not_become_many_small_files():
+    assert [part_width(n) for n in (0, 99_999, 1_000_000, 6_000_000, 36_000_000)] == [5000, 5000, 15_626, 93_751, 250_000]
